@@ -78,8 +78,7 @@ def fine_gray_risk_table(
     grid = steps.select(
         *by, "time", "day_events",
         F.when(ended, 0.0).otherwise(F.coalesce(F.exp(log_keep), F.lit(1.0))).alias("g_before"),
-        F.explode(F.array(*[F.lit(v) for v in levels])).alias("group"),
-    )
+    ).withColumn("group", F.explode(F.array(*[F.lit(v) for v in levels])))
     per_group = cells.groupBy(*by, "group", "time").agg(
         F.sum("w").alias("w_day"), _at(1, "n").alias("n_event"), _at(1, "w").alias("w_event"), _at(2, "w").alias("w_comp")
     )

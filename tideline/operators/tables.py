@@ -203,7 +203,7 @@ def keep_order(df: DataFrame, variables: list[str], variable: str = "variable")
 
 
 def _fixed(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", F.round(c + ADJUST, digits))
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.round(c + ADJUST, digits)))
 
 
 def baseline_export(

@@ -219,7 +219,7 @@ def fit_propensity(
             new = np.zeros(n_levels * width)
             new[i] = delta
             step[key] = new.reshape(n_levels, width)
-            if converged[key] and np.abs(delta).max() < TOLERANCE:
+            if converged[key] and np.abs(delta).max() < 1e-3:
                 coefs[key] = coefs[key] + step[key]
     return PropensityModel(group, tuple(levels), described, by, coefs, converged, loglik)
 
