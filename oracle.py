@@ -472,11 +472,12 @@ _INFO = ", ".join(
     + [f"-sum(m * p{j} * p{k}) AS i{j}{k}" for j, k in ((1, 2), (1, 3), (2, 3))]
 )
 _SCORE = ", ".join(f"max(e{k}) - sum(m * p{k}) AS u{k}" for k in (1, 2, 3))
+# Steps are limited to 1 per iteration, so that few events do not make them overshoot.
 NEWTON = f"""newton AS (
   SELECT outcome, 0 AS i, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM had
   UNION ALL
-  SELECT outcome, i + 1, b1 + v11 * u1 + v12 * u2 + v13 * u3, b2 + v12 * u1 + v22 * u2 + v23 * u3,
-    b3 + v13 * u1 + v23 * u2 + v33 * u3
+  SELECT outcome, i + 1, b1 + greatest(-1, least(1, v11 * u1 + v12 * u2 + v13 * u3)),
+    b2 + greatest(-1, least(1, v12 * u1 + v22 * u2 + v23 * u3)), b3 + greatest(-1, least(1, v13 * u1 + v23 * u2 + v33 * u3))
   FROM (SELECT *, {_inverse()} FROM (
     SELECT outcome, i, b1, b2, b3, {_SCORE}, {_INFO} FROM {_shares('newton').format(where='WHERE newton.i < 30')}
     GROUP BY outcome, i, b1, b2, b3))),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -26,11 +26,11 @@ def comorbidity_score(weights=S.SCORE_WEIGHTS, hierarchy=S.SCORE_HIERARCHY, pref
     """
     terms = []
     for flag, points in weights.items():
-        value = F.col(prefix + flag)
+        value = f"`{prefix}{flag}`"
         if flag in hierarchy:
-            value = ((value != 0) & ~(F.col(prefix + hierarchy[flag]) != 0)).cast("int")
-        terms.append(value * points)
-    return reduce(add, terms)
+            value = f"CAST({value} <> 0 AND NOT `{prefix}{hierarchy[flag]}` <> 0 AS INT)"
+        terms.append(f"{value} * {points}")
+    return F.expr(" + ".join(terms))
 
 
 def age_adjusted_score(score="score_cci", age="age") -> Column:

@@ -146,8 +146,12 @@ def dose_in_window(df: DataFrame, lo: int = 0, hi: int = S.ACUTE_DAYS, doses=S.A
 
 
 def dose_in_window_long(df: DataFrame, doses: DataFrame, lo: int = 0, hi: int = S.ACUTE_DAYS) -> DataFrame:
-    """As ``dose_in_window`` with doses as rows (``subject_id, dose_date``) instead of columns."""
+    """As ``dose_in_window`` with doses as rows (``subject_id, dose_date``) instead of columns.
+
+    Repeated dates are dropped first, which bounds the rows of one subject by the days.
+    """
     index = F.col("index_date")
+    doses = doses.select("subject_id", "dose_date").distinct()
     near = (F.col("dose_date") >= F.date_add(index, lo)) & (F.col("dose_date") < F.date_add(index, hi))
     return df.join(doses, (df["subject_id"] == doses["subject_id"]) & near, "left_semi")
 

@@ -7,19 +7,24 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.sources.stages import materialise
+
 COLLECT_ROWS = 100_000
 BUCKETS = 1000
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
-    """The values at 0-based ranks of the non-NULL sorted column.
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """Distinct non-NULL values with their counts, written once for the passes over them."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
+    return materialise(counts.agg(F.count(F.lit(1)).alias("c")), "values")
+
 
-    Equal values are counted first. While the distinct values left are too many to collect, they are cut
-    into about a thousand equal buckets and only the buckets that hold a wanted rank are kept.
+def order_statistics(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
+    """The values at 0-based ranks of the sorted column behind ``counts``.
+
+    While the distinct values left are too many to collect, they are cut into about a thousand equal
+    buckets and only the buckets that hold a wanted rank are looked into.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("c")
-    )
     return _select(counts, sorted(set(ranks)))
 
 
@@ -55,9 +60,10 @@ def _select(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
 
 def numeric_summary(df: DataFrame, col: str) -> DataFrame:
     """Minimum, quartiles, median, mean and maximum; quartiles interpolate between order statistics."""
-    stats = df.agg(
-        F.count(col).alias("n"), F.min(col).cast("double").alias("min"), F.avg(col).alias("mean"),
-        F.max(col).cast("double").alias("max"),
+    counts = value_counts(df, col)
+    stats = counts.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.try_divide(F.sum(F.col("v") * F.col("c")), F.sum("c")).alias("mean"),
     ).first()
     n = stats["n"]
     quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -65,7 +71,7 @@ def numeric_summary(df: DataFrame, col: str) -> DataFrame:
     if n:
         at = {k: (n - 1) * p for k, p in quartiles.items()}
         ranks = [r for h in at.values() for r in (math.floor(h), math.ceil(h))]
-        values = order_statistics(df, col, ranks)
+        values = order_statistics(counts, ranks)
         for k, h in at.items():
             lo, hi = values[math.floor(h)], values[math.ceil(h)]
             out[k] = lo + (hi - lo) * (h - math.floor(h))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from tideline import schema as S
 from tideline.sources.definitions import add_total_row
@@ -22,72 +22,104 @@ def _kinds(df: DataFrame, variables: list[str]) -> tuple[list[str], list[str], l
     return [v for v in variables if v not in flags + texts], flags, texts
 
 
-def baseline_table(df: DataFrame, variables: list[str], by: list[str] = ["group"], weight: str | None = None) -> DataFrame:
-    """Long baseline table per group, weighted if a weight column is given.
+def _summaries(df: DataFrame, variables: list[str], by: list[str], weights: dict[str, Column | None]) -> DataFrame:
+    """Long summaries per group, for several weightings in the same passes.
 
-    One row per group for the size ``n``, for each numeric variable (mean, sd), each flag (its TRUE
-    share) and each category level (count, pct). Missing values leave the denominators. The weighted sd
-    carries n/(n-1) with the number of rows.
+    ``weights`` maps a column suffix to its weight, None for unweighted. Numeric variables and flags come
+    from one aggregate per group, categories from one per group and level.
     """
     numeric, flags, texts = _kinds(df, variables)
-    w = F.col(weight) if weight else F.lit(1.0)
-    aggregates = [F.sum(w).alias("w")]
-    for v in numeric:
-        x = F.col(v).cast("double")
-        known = F.when(x.isNotNull(), w)
-        aggregates += [F.sum(known).alias(f"w_{v}"), F.sum(w * x).alias(f"wx_{v}"), F.count(x).alias(f"n_{v}")]
-        aggregates.append((F.sum(w * x * x) if weight else F.var_samp(x)).alias(f"v_{v}"))
-    for v in flags:
-        aggregates += [
-            F.sum(F.when(F.col(v).isNotNull(), w)).alias(f"w_{v}"), F.sum(F.when(F.col(v), w).otherwise(0.0)).alias(f"wx_{v}")
-        ]
+    w_of = {s: F.lit(1.0) if w is None else w for s, w in weights.items()}
+    aggregates = []
+    for s, w in w_of.items():
+        aggregates.append(F.sum(w).alias(f"w{s}"))
+        for v in numeric:
+            x = F.col(v).cast("double")
+            aggregates += [
+                F.sum(F.when(x.isNotNull(), w)).alias(f"w_{v}{s}"),
+                F.sum(w * x).alias(f"wx_{v}{s}"),
+                F.count(x).alias(f"n_{v}{s}"),
+                (F.var_samp(x) if weights[s] is None else F.sum(w * x * x)).alias(f"v_{v}{s}"),
+            ]
+        for v in flags:
+            aggregates += [
+                F.sum(F.when(F.col(v).isNotNull(), w)).alias(f"w_{v}{s}"),
+                F.sum(F.when(F.col(v), w).otherwise(0.0)).alias(f"wx_{v}{s}"),
+            ]
     wide = df.groupBy(*by).agg(*aggregates)
 
-    def entry(variable, level, kind, n, mean=None, sd=None, count=None, pct=None) -> Column:
+    def entry(variable, level, kind, cells) -> Column:
         texts_ = [F.lit(variable), F.lit(level).cast("string"), F.lit(kind)]
-        numbers = [F.lit(None).cast("double") if c is None else c.cast("double") for c in (n, mean, sd, count, pct)]
-        return F.struct(*[c.alias(name) for c, name in zip(texts_ + numbers, TABLE_COLUMNS)])
-
-    entries = [entry("n", None, "size", F.col("w"), count=F.col("w"))]
-    for v in numeric:
-        total, mean, n = F.col(f"w_{v}"), F.try_divide(f"wx_{v}", f"w_{v}"), F.col(f"n_{v}")
-        if weight:
-            spread = F.greatest(F.try_divide(F.col(f"v_{v}"), total) - mean * mean, F.lit(0.0))
-            variance = spread * F.try_divide(n, n - 1)
-        else:
-            variance = F.col(f"v_{v}")
-        entries.append(entry(v, None, "numeric", total, mean=mean, sd=F.sqrt(variance)))
-    for v in flags:
-        share = F.try_divide(F.col(f"wx_{v}") * 100, F.col(f"w_{v}"))
-        entries.append(entry(v, "TRUE", "flag", F.col(f"w_{v}"), count=F.col(f"wx_{v}"), pct=share))
+        numbers = []
+        for s in weights:
+            found = cells(s)
+            numbers += [found.get(n, F.lit(None)).cast("double").alias(n + s) for n in TABLE_COLUMNS[3:]]
+        return F.struct(*[c.alias(name) for c, name in zip(texts_, TABLE_COLUMNS)], *numbers)
+
+    def numeric_cells(v):
+        def cells(s):
+            total, n = F.col(f"w_{v}{s}"), F.col(f"n_{v}{s}")
+            mean = F.try_divide(f"wx_{v}{s}", f"w_{v}{s}")
+            variance = F.col(f"v_{v}{s}")
+            if weights[s] is not None:
+                spread = F.greatest(F.try_divide(variance, total) - mean * mean, F.lit(0.0))
+                variance = spread * F.try_divide(n, n - 1)
+            return {"n": total, "mean": mean, "sd": F.sqrt(variance)}
+
+        return cells
+
+    def flag_cells(v):
+        return lambda s: {
+            "n": F.col(f"w_{v}{s}"), "count": F.col(f"wx_{v}{s}"),
+            "pct": F.try_divide(F.col(f"wx_{v}{s}") * 100, F.col(f"w_{v}{s}")),
+        }
+
+    entries = [entry("n", None, "size", lambda s: {"n": F.col(f"w{s}"), "count": F.col(f"w{s}")})]
+    entries += [entry(v, None, "numeric", numeric_cells(v)) for v in numeric]
+    entries += [entry(v, "TRUE", "flag", flag_cells(v)) for v in flags]
     table = wide.select(*by, F.inline(F.array(*entries)))
     if not texts:
         return table
     exploded = df.select(
-        *by, w.alias("w"),
+        *by, *[w.alias(f"w{s}") for s, w in w_of.items()],
         F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("level")) for v in texts])),
     ).where(F.col("level").isNotNull())
-    counts = exploded.groupBy(*by, "variable", "level").agg(F.sum("w").alias("count"))
-    totals = counts.groupBy(*by, "variable").agg(F.sum("count").alias("n"))
-    categories = counts.join(totals, [*by, "variable"]).select(
-        *by, "variable", "level", F.lit("category").alias("kind"), "n", F.lit(None).cast("double").alias("mean"),
-        F.lit(None).cast("double").alias("sd"), "count", F.try_divide(F.col("count") * 100, F.col("n")).alias("pct"),
-    )
+    counts = exploded.groupBy(*by, "variable", "level").agg(*[F.sum(f"w{s}").alias(f"count{s}") for s in weights])
+    whole = Window.partitionBy(*by, "variable")
+    categories = counts.withColumns({f"n{s}": F.sum(f"count{s}").over(whole) for s in weights}).withColumn("kind", F.lit("category"))
+    for s in weights:
+        categories = categories.withColumns(
+            {
+                f"mean{s}": F.lit(None).cast("double"), f"sd{s}": F.lit(None).cast("double"),
+                f"pct{s}": F.try_divide(F.col(f"count{s}") * 100, F.col(f"n{s}")),
+            }
+        )
     return table.unionByName(categories)
 
 
-def _pairs(table: DataFrame, levels: list[str], group: str, values: list[str], keys: list[str]) -> DataFrame:
+def baseline_table(df: DataFrame, variables: list[str], by: list[str] = ["group"], weight: str | None = None) -> DataFrame:
+    """Long baseline table per group, weighted if a weight column is given.
+
+    One row per group for the size ``n``, for each numeric variable (mean, sd), each flag (its TRUE
+    share) and each category level (count, pct). Missing values leave the denominators. The weighted sd
+    carries n/(n-1) with the number of rows.
+    """
+    return _summaries(df, variables, by, {"": F.col(weight) if weight else None})
+
+
+def _pairs(table: DataFrame, levels: list[str], group: str, values: list[str]) -> DataFrame:
     """Table rows side by side for every pair of groups: ``<value>_1`` and ``<value>_2``."""
     pairs = F.array(
         *[F.struct(F.lit(a).alias("group1"), F.lit(b).alias("group2")) for a, b in combinations(levels, 2)]
     )
-    rows = table.select("*", F.inline(pairs)).where(F.col(group).isin(F.col("group1"), F.col("group2")))
+    rows = table.where("kind <> 'size'").select("*", F.inline(pairs))
+    rows = rows.where(F.col(group).isin(F.col("group1"), F.col("group2")))
     sides = []
-    for v in values:
-        for i in (1, 2):
-            sides.append(F.max(F.when(F.col(group) == F.col(f"group{i}"), F.col(v))).alias(f"{v}_{i}"))
-    sizes = [F.count(F.when(F.col(group) == F.col(f"group{i}"), 1)).alias(f"rows_{i}") for i in (1, 2)]
-    return rows.groupBy(*keys, "group1", "group2").agg(*sides, *sizes)
+    for i in (1, 2):
+        mine = F.col(group) == F.col(f"group{i}")
+        sides += [F.max(F.when(mine, F.col(v))).alias(f"{v}_{i}") for v in values]
+        sides.append(F.count(F.when(mine, 1)).alias(f"rows_{i}"))
+    return rows.groupBy("variable", "level", "kind", "group1", "group2").agg(*sides)
 
 
 def smd(table: DataFrame, levels: list[str] = S.DOSE_LEVELS, group: str = "group", pairwise: bool = False) -> DataFrame:
@@ -97,25 +129,27 @@ def smd(table: DataFrame, levels: list[str] = S.DOSE_LEVELS, group: str = "group
     level shares, which for shares p and q is sqrt(Q / (1 - Q/4)) with Q = sum (p - q)^2 / ((p + q) / 2).
     A variable that does not vary, or whose groups share no level, gives NULL.
     """
-    numeric = _pairs(table.where("kind = 'numeric'"), levels, group, ["mean", "sd"], ["variable"])
+    sides = _pairs(table, levels, group, ["mean", "sd", "pct"])
     pooled = F.sqrt((F.col("sd_1") ** 2 + F.col("sd_2") ** 2) / 2)
-    by_mean = numeric.where("rows_1 > 0 and rows_2 > 0").select(
-        "variable", "group1", "group2", F.try_divide(F.abs(F.col("mean_1") - F.col("mean_2")), pooled).alias("smd")
-    )
-    shares = table.where("kind in ('flag', 'category')").select(
-        group, "variable", "level", "kind", (F.col("pct") / 100).alias("p")
-    )
-    other = shares.where("kind = 'flag'").select(group, "variable", F.lit("FALSE").alias("level"), "kind", (1 - F.col("p")).alias("p"))
-    levelled = _pairs(shares.unionByName(other), levels, group, ["p"], ["variable", "level"])
-    p, q = F.coalesce("p_1", F.lit(0.0)), F.coalesce("p_2", F.lit(0.0))
-    distance = levelled.groupBy("variable", "group1", "group2").agg(
-        F.sum(F.coalesce(F.try_divide((p - q) ** 2, (p + q) / 2), F.lit(0.0))).alias("q"),
-        F.sum("rows_1").alias("rows_1"), F.sum("rows_2").alias("rows_2"),
-    ).where("rows_1 > 0 and rows_2 > 0")
-    by_level = distance.select(
-        "variable", "group1", "group2", F.sqrt(F.try_divide(F.col("q"), 1 - F.col("q") / 4)).alias("smd")
+    p, q = F.coalesce("pct_1", F.lit(0.0)) / 100, F.coalesce("pct_2", F.lit(0.0)) / 100
+
+    def part(p: Column, q: Column) -> Column:
+        return F.coalesce(F.try_divide((p - q) ** 2, (p + q) / 2), F.lit(0.0))
+
+    distance = F.when(F.col("kind") == "flag", part(p, q) + part(1 - p, 1 - q)).when(F.col("kind") == "category", part(p, q))
+    pairs = (
+        sides.groupBy("variable", "group1", "group2")
+        .agg(
+            F.max(F.try_divide(F.abs(F.col("mean_1") - F.col("mean_2")), pooled)).alias("by_mean"),
+            F.sum(distance).alias("q"), F.sum("rows_1").alias("rows_1"), F.sum("rows_2").alias("rows_2"),
+        )
+        .where("rows_1 > 0 AND rows_2 > 0")
+        .select(
+            "variable", "group1", "group2",
+            F.when(F.col("q").isNull(), F.col("by_mean"))
+            .when(F.col("q") < 4, F.sqrt(F.try_divide(F.col("q"), 1 - F.col("q") / 4))).alias("smd"),
+        )
     )
-    pairs = by_mean.unionByName(by_level)
     return pairs if pairwise else pairs.groupBy("variable").agg(F.avg("smd").alias("smd"))
 
 
@@ -137,19 +171,11 @@ def balance_table(
     Numeric variables: standardised mean difference with the unweighted pooled sd on both sides. Flags and
     levels: difference in proportion.
     """
-    before = baseline_table(df, variables)
-    after = baseline_table(df, variables, weight=weight)
-    keys = ["group", "variable", "level", "kind"]
-    value = F.coalesce(F.col("mean"), F.col("pct") / 100)
-    joined = (
-        before.where("kind <> 'size'").select(*keys, value.alias("un"), "sd").alias("a")
-        .join(
-            after.where("kind <> 'size'").select(*keys, value.alias("adj")).alias("b"),
-            reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]),
-        )
-        .select("a.*", "b.adj")
+    both = _summaries(df, variables, ["group"], {"": None, "_w": F.col(weight)})
+    table = both.withColumns(
+        {"un": F.coalesce(F.col("mean"), F.col("pct") / 100), "adj": F.coalesce(F.col("mean_w"), F.col("pct_w") / 100)}
     )
-    pairs = _pairs(joined, levels, "group", ["un", "adj", "sd"], ["variable", "level", "kind"])
+    pairs = _pairs(table, levels, "group", ["un", "adj", "sd"])
     pooled = F.sqrt((F.col("sd_1") ** 2 + F.col("sd_2") ** 2) / 2)
 
     def difference(v: str) -> Column:

@@ -168,7 +168,8 @@ def fit_propensity(
     complete = df.where(reduce(and_, [F.col(c).isNotNull() for c in columns]))
     complete = complete.where(F.col(group).isin(list(levels)))
     cells = materialise(
-        complete.select(fit_key.alias("fit"), *columns).groupBy("fit", *columns).agg(F.count(F.lit(1)).alias("n_cell")),
+        complete.select(fit_key.alias("fit"), *columns).groupBy("fit", *columns).agg(F.count(F.lit(1)).alias("n_cell"))
+        .sortWithinPartitions("fit"),  # so that late passes skip the row groups of finished fits
         "propensity",
     )
     described = _describe(cells, terms)
@@ -212,14 +213,14 @@ def fit_propensity(
             loglik[key] = value
             i = free[key]
             delta = np.linalg.lstsq(info[np.ix_(i, i)], score[i], rcond=1e-12)[0]
-            total = counts[key].sum()
-            # Done when the step is negligible, or when only separated subjects still move.
-            if np.abs(delta).max() < TOLERANCE or 0 <= gained < 1e-14 * total:
+            # Done when the step is negligible, or when separated groups still move without a gain.
+            size = np.abs(delta).max()
+            if size < TOLERANCE or (size > 0.1 and 0 <= gained < 1e-9 * (abs(value) + 0.1)):
                 converged[key] = True
             new = np.zeros(n_levels * width)
             new[i] = delta
             step[key] = new.reshape(n_levels, width)
-            if converged[key] and np.abs(delta).max() < 1e-3:
+            if converged[key] and size < TOLERANCE:
                 coefs[key] = coefs[key] + step[key]
     return PropensityModel(group, tuple(levels), described, by, coefs, converged, loglik)
 

@@ -79,15 +79,17 @@ def weighted(spark: SparkSession, sf: str, terms: list[str]) -> DataFrame:
 
 
 def weighted_cells(spark, sf, terms, competing=False) -> DataFrame:
+    """Cells are a few thousand rows that several steps read, so they are written once."""
     long = open_long(weighted(spark, sf, terms), keep=[*LONG, "weight"], competing="death" if competing else None)
     if competing:
         long = Z.competing_status(long).where("outcome <> 'death'")
     status = "status_cr" if competing else "status"
-    return V.survival_cells(Z.check_time(Z.at_risk(long)), ["outcome"], "weight", status)
+    return materialise(V.survival_cells(Z.check_time(Z.at_risk(long)), ["outcome"], "weight", status), "cells")
 
 
 def crude_cells(spark, sf) -> DataFrame:
-    return V.survival_cells(Z.check_time(Z.at_risk(open_long(analysable(spark, sf)))), ["outcome"])
+    long = Z.check_time(Z.at_risk(open_long(analysable(spark, sf))))
+    return materialise(V.survival_cells(long, ["outcome"]), "cells")
 
 
 # Cohort build --------------------------------------------------------------------------------------
@@ -176,7 +178,7 @@ def index_not_after(spark, sf):
 
 @query
 def recent_dose_180(spark, sf):
-    df = eligible(spark, sf)
+    df = materialise(eligible(spark, sf), "eligible")
     both = {"acute": K.recent_dose(df), "postacute": K.recent_dose(K.landmark(df))}
     return concat_tables({k: v.select("subject_id") for k, v in both.items()}).withColumnRenamed("table_name", "phase")
 
@@ -188,7 +190,7 @@ def test_type(spark, sf):
 
 @query
 def dose_in_window(spark, sf):
-    df = eligible(spark, sf)
+    df = materialise(eligible(spark, sf), "eligible")
     both = {"acute": K.dose_in_window(df, 0, 28), "postacute": K.dose_in_window(K.landmark(df), -28, 0)}
     return concat_tables({k: v.select("subject_id") for k, v in both.items()}).withColumnRenamed("table_name", "phase")
 
@@ -204,8 +206,9 @@ def dose_in_window_rows(spark, sf):
 @query
 def exclude_matched_sets(spark, sf):
     """Sets with a dose in the first 28 days of any person leave the analysable subjects."""
-    excluded = K.dose_in_window(person_table(spark, sf))
-    return K.exclude_matched_sets(analysable(spark, sf), excluded).select("subject_id", "match")
+    persons = materialise(person_table(spark, sf), "persons")
+    excluded = K.dose_in_window(persons)
+    return K.exclude_matched_sets(K.analysable(K.eligible(persons)), excluded).select("subject_id", "match")
 
 
 @query
@@ -324,7 +327,8 @@ def smd(spark, sf):
 
 @query
 def baseline_export(spark, sf):
-    table = tables.baseline_table(table_input(analysable(spark, sf)), TABLE_VARIABLES)
+    # Both the print form and the differences read the table, so it is written once.
+    table = materialise(tables.baseline_table(table_input(analysable(spark, sf)), TABLE_VARIABLES), "table1")
     defs = spark.createDataFrame(DESCRIPTIONS, S.TABLE1_SCHEMA)
     return tables.baseline_export(table, defs, TABLE_VARIABLES, smds=tables.smd(table))
 
@@ -355,7 +359,7 @@ def numeric_summary(spark, sf):
 
 @query
 def stacked_tables(spark, sf):
-    df = table_input(analysable(spark, sf))
+    df = materialise(table_input(analysable(spark, sf)), "analysable")
     both = {"all": df, "exposed": K.exposed_only(df)}
     stacked = concat_tables({k: tables.baseline_table(v, ["age", "dx_mi"]) for k, v in both.items()})
     return rounded(stacked, *TABLE_NUMBERS)

@@ -2,15 +2,13 @@
 
 Item rows are first reduced to one bit mask per customer and day, so a customer that holds a large
 share of all orders shrinks to at most one row per day before anything is grouped by customer.
+Expressions are SQL text: hundreds of them as Column calls would spend longer in the driver than the
+small scale factors take to run.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, SparkSession
 
 from tideline import schema as S
 
@@ -35,29 +33,21 @@ CODES = {f"dx_{flag}": (101, k) for k, flag in enumerate(S.DX_FLAGS)} | {
     "vent": (23, 7),
 }
 BIT = {name: 1 << i for i, name in enumerate(CODES)}
-
-
-def _has(name: str) -> Column:
-    return F.col("codes").bitwiseAND(F.lit(BIT[name])) != 0
+FLAGS = [c for c in CODES if c[:3] in ("dx_", "hx_")]
+FIRSTS = [c for c in CODES if c not in FLAGS and c != "death"]
 
 
 def _code_days(items: DataFrame, orders: DataFrame) -> DataFrame:
     """(custkey, day, codes): the codes a customer has on a day, as bits."""
-    part = F.col("l_partkey")
-    mask = reduce(
-        lambda a, b: a.bitwiseOR(b),
-        [F.when(part % m == r, F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, (m, r) in CODES.items()],
-    )
-    remainders: dict[int, list[int]] = {}
-    for m, r in CODES.values():
-        remainders.setdefault(m, []).append(r)
-    relevant = reduce(or_, [(part % m).isin(rs) for m, rs in remainders.items()])
-    coded = items.where(relevant).select("l_orderkey", F.to_date("l_shipdate").alias("day"), mask.alias("codes"))
-    return (
-        coded.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy("o_custkey", "day")
-        .agg(F.bit_or("codes").alias("codes"))
+    lookups: dict[int, list[int]] = {}
+    for name, (m, r) in CODES.items():
+        lookups.setdefault(m, [0] * m)[r] = BIT[name]
+    mask = " | ".join(
+        f"get(array({', '.join(f'{b}L' for b in bits)}), CAST(l_partkey % {m} AS INT))" for m, bits in lookups.items()
     )
+    coded = items.selectExpr("l_orderkey AS o_orderkey", "to_date(l_shipdate) AS day", f"{mask} AS codes").where("codes <> 0")
+    owned = coded.join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    return _aggregate(owned, "o_custkey, day", ["bit_or(codes) AS codes"])
 
 
 def _doses(orders: DataFrame) -> DataFrame:
@@ -65,73 +55,56 @@ def _doses(orders: DataFrame) -> DataFrame:
 
     The rank filter lets Spark cut each customer to five rows per input partition before the shuffle.
     """
-    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ranked = (
-        orders.where(F.col("o_orderpriority") == "1-URGENT")
-        .select("o_custkey", "o_orderdate", "o_orderkey")
-        .withColumn("dose_no", F.row_number().over(by_date))
-        .where(F.col("dose_no") <= 5)
+    ranked = orders.where("o_orderpriority = '1-URGENT'").selectExpr(
+        "o_custkey", "o_orderdate", "o_orderkey",
+        "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS dose_no",
+    ).where("dose_no <= 5")
+    doses = ranked.selectExpr(
+        "o_custkey", "dose_no", "to_date(o_orderdate) AS day",
+        "CASE WHEN o_orderkey % 53 <> 0 THEN IF((o_custkey % 2 = 0) <> (o_orderkey % 20 = 0), 'BNT', 'Sino') END AS brand",
     )
-    even_customer = F.col("o_custkey") % 2 == 0
-    swapped = F.col("o_orderkey") % 20 == 0
-    brand = F.when(F.col("o_orderkey") % 53 != 0, F.when(even_customer != swapped, "BNT").otherwise("Sino"))
-    picks = []
-    for k in range(1, 6):
-        picks.append(F.max(F.when(F.col("dose_no") == k, F.to_date("o_orderdate"))).alias(f"dose{k}_date"))
-        if k <= 4:
-            picks.append(F.max(F.when(F.col("dose_no") == k, brand)).alias(f"brand{k}"))
-    return ranked.groupBy("o_custkey").agg(*picks)
+    picks = [f"max(IF(dose_no = {k}, day, NULL)) AS dose{k}_date" for k in range(1, 6)]
+    picks += [f"max(IF(dose_no = {k}, brand, NULL)) AS brand{k}" for k in range(1, 5)]
+    return _aggregate(doses, "o_custkey", picks)
+
+
+def _aggregate(df: DataFrame, key: str, aggregates: list[str]) -> DataFrame:
+    return df.sparkSession.sql(f"SELECT {key}, {', '.join(aggregates)} FROM {{rows}} GROUP BY {key}", rows=df)
 
 
 def person_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_shipdate")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_mktsegment")
-
-    index = (
-        orders.where(F.col("o_orderdate") >= F.lit(INDEX_FROM).cast("timestamp_ntz"))
-        .groupBy("o_custkey")
-        .agg(F.to_date(F.min("o_orderdate")).alias("index_date"))
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        "c_custkey AS o_custkey", "c_nationkey", "c_mktsegment"
     )
-
-    day, index_date = F.col("day"), F.col("index_date")
-    flags = [
-        F.max(F.when((day < index_date) & _has(c), 1).otherwise(0)).alias(c) for c in CODES if c[:3] in ("dx_", "hx_")
-    ]
-    firsts = [
-        F.min(F.when((day >= index_date) & _has(c), day)).alias(f"first_{c}")
-        for c in ("cv_stroke", "cv_cad", "cv_hf", "cv_mi", "cv_acs", "icu", "vent")
-    ]
-    death = F.min(F.when((day >= F.date_sub(index_date, 10)) & _has("death"), day)).alias("death_date")
-    facts = index.join(_code_days(items, orders), "o_custkey").groupBy("o_custkey").agg(*flags, *firsts, death)
-
-    key = F.col("o_custkey")
-    return (
-        index.join(customers, key == F.col("c_custkey"))
-        .join(_doses(orders), "o_custkey", "left")
-        .join(facts, "o_custkey", "left")
-        .select(
-            key.alias("subject_id"),
-            F.when(key % 97 != 0, F.floor(key / 5)).cast("long").alias("match"),
-            F.when(F.col("c_nationkey") % 2 == 0, "M").otherwise("F").alias("sex"),
-            (F.year("index_date") - (15 + key % 75)).cast("int").alias("birth_year"),
-            "index_date",
-            F.col("index_date").alias("covid_date"),
-            F.when(key % 10 == 9, 0).otherwise(1).alias("infected"),
-            F.when(key % 3 == 0, "PCR").otherwise("RAT").alias("test_type"),
-            "death_date",
-            F.col("first_icu").alias("icu_date"),
-            F.col("first_vent").alias("vent_date"),
-            *S.ALL_DOSE_DATES,
-            *S.BRANDS,
-            *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in CODES if c[:3] in ("dx_", "hx_")],
-            F.least("first_cv_stroke", "first_cv_cad", "first_cv_hf", "first_cv_mi").alias("outcome_cv_major_date"),
-            *[
-                F.col(f"first_{o}").alias(f"outcome_{o}_date")
-                for o in ("cv_stroke", "cv_cad", "cv_hf", "cv_mi", "cv_acs")
-            ],
-            F.when(key % 2 == 0, F.col("death_date")).alias("outcome_cv_death_date"),
-            F.col("death_date").alias("outcome_death_date"),
-            F.col("c_mktsegment").alias("segment"),
-        )
+    recent = orders.where(f"o_orderdate >= TIMESTAMP_NTZ '{INDEX_FROM} 00:00:00'")
+    index = _aggregate(recent, "o_custkey", ["to_date(min(o_orderdate)) AS index_date"])
+
+    facts = [f"max(IF(day < index_date AND codes & {BIT[c]}L <> 0, 1, 0)) AS {c}" for c in FLAGS]
+    facts += [f"min(IF(day >= index_date AND codes & {BIT[c]}L <> 0, day, NULL)) AS first_{c}" for c in FIRSTS]
+    facts.append(f"min(IF(day >= index_date - 10 AND codes & {BIT['death']}L <> 0, day, NULL)) AS death_date")
+    history = _aggregate(index.join(_code_days(items, orders), "o_custkey"), "o_custkey", facts)
+
+    joined = index.join(customers, "o_custkey").join(_doses(orders), "o_custkey", "left").join(history, "o_custkey", "left")
+    return joined.selectExpr(
+        "o_custkey AS subject_id",
+        "CASE WHEN o_custkey % 97 <> 0 THEN o_custkey DIV 5 END AS match",
+        "IF(c_nationkey % 2 = 0, 'M', 'F') AS sex",
+        "CAST(year(index_date) - (15 + o_custkey % 75) AS INT) AS birth_year",
+        "index_date",
+        "index_date AS covid_date",
+        "IF(o_custkey % 10 = 9, 0, 1) AS infected",
+        "IF(o_custkey % 3 = 0, 'PCR', 'RAT') AS test_type",
+        "death_date",
+        "first_icu AS icu_date",
+        "first_vent AS vent_date",
+        *S.ALL_DOSE_DATES,
+        *S.BRANDS,
+        *[f"coalesce({c}, 0) AS {c}" for c in FLAGS],
+        "least(first_cv_stroke, first_cv_cad, first_cv_hf, first_cv_mi) AS outcome_cv_major_date",
+        *[f"first_{o} AS outcome_{o}_date" for o in FIRSTS if o.startswith("cv_")],
+        "IF(o_custkey % 2 = 0, death_date, NULL) AS outcome_cv_death_date",
+        "death_date AS outcome_death_date",
+        "c_mktsegment AS segment",
     )
