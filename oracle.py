@@ -102,7 +102,7 @@ BASE = f"WITH RECURSIVE {_person()},\n{_derived()}"
 
 
 def r3(x: str) -> str:
-    return f"round(({x}) + 1e-7, 3)"
+    return f"round(({x}) + 1e-5, 3)"
 
 
 def sql(body: str, *ctes: str) -> str:
@@ -479,9 +479,9 @@ NEWTON = f"""newton AS (
   SELECT outcome, i + 1, b1 + greatest(-1, least(1, v11 * u1 + v12 * u2 + v13 * u3)),
     b2 + greatest(-1, least(1, v12 * u1 + v22 * u2 + v23 * u3)), b3 + greatest(-1, least(1, v13 * u1 + v23 * u2 + v33 * u3))
   FROM (SELECT *, {_inverse()} FROM (
-    SELECT outcome, i, b1, b2, b3, {_SCORE}, {_INFO} FROM {_shares('newton').format(where='WHERE newton.i < 30')}
+    SELECT outcome, i, b1, b2, b3, {_SCORE}, {_INFO} FROM {_shares('newton').format(where='WHERE newton.i < 22')}
     GROUP BY outcome, i, b1, b2, b3))),
-fitted AS MATERIALIZED (SELECT outcome, b1, b2, b3 FROM newton WHERE i = 30),
+fitted AS MATERIALIZED (SELECT outcome, b1, b2, b3 FROM newton WHERE i = 22),
 at_fit AS MATERIALIZED (SELECT * FROM {_shares('fitted').format(where='')}),
 info AS MATERIALIZED (SELECT *, {_inverse()} FROM (SELECT outcome, max(b1) AS b1, max(b2) AS b2, max(b3) AS b3,
   max(e1) AS e1, max(e2) AS e2, max(e3) AS e3, {_INFO} FROM at_fit GROUP BY outcome))"""
@@ -522,15 +522,16 @@ def _hr_rows(se: str, source: str) -> str:
     z = "1.959963984540054"
     parts = [f"SELECT outcome, 'X' AS \"group\", NULL::DOUBLE AS b, NULL::DOUBLE AS se FROM info"]
     for k in (1, 2, 3):
-        parts.append(f"""SELECT info.outcome, '{GROUPS[k]}', CASE WHEN e{k} > 0 THEN b{k} ELSE -'inf'::DOUBLE END,
-          CASE WHEN e{k} > 0 THEN {se.format(k=k)} END FROM {source}
-          WHERE EXISTS (SELECT 1 FROM cells c WHERE c.outcome = info.outcome AND c."group" = '{GROUPS[k]}')""")
+        parts.append(f"""SELECT outcome, '{GROUPS[k]}', CASE WHEN had.e0 = 0 THEN NULL WHEN info.e{k} = 0 OR b{k} < -15 THEN -'inf'::DOUBLE
+            WHEN b{k} > 15 THEN 'inf'::DOUBLE ELSE b{k} END,
+          CASE WHEN had.e0 > 0 AND info.e{k} > 0 AND abs(b{k}) <= 15 THEN {se.format(k=k)} END FROM {source} JOIN had USING (outcome)
+          WHERE (outcome, '{GROUPS[k]}') IN (SELECT (outcome, "group") FROM cells)""")
     return f"""hr AS (SELECT outcome, "group", b AS log_hr, se, exp(b) AS hr, exp(b - {z} * se) AS hr_lo,
       exp(b + {z} * se) AS hr_hi FROM ({' UNION ALL '.join(parts)}))"""
 
 
 MODEL_SE = _hr_rows("sqrt(v{k}{k})", "info")
-ROBUST_SE = _hr_rows("se{k}", "info JOIN robust ON robust.outcome = info.outcome")
+ROBUST_SE = _hr_rows("se{k}", "info JOIN robust USING (outcome)")
 HR_OUT = ", ".join(f"{r6(c)} AS {c}" for c in ("log_hr", "se", "hr", "hr_lo", "hr_hi"))
 CRUDE_FIT = [OPEN, CRUDE_CELLS, NO_KEEP, GRID, TIES, NEWTON]
 WEIGHTED_FIT = [SATURATED, OPEN_W, W_CELLS, NO_KEEP, GRID, TIES, NEWTON]
@@ -605,7 +606,9 @@ def _analysis() -> tuple[list[str], str]:
             bound = f"CAST(index_date + 61 AS DATE), {STUDY_END}"
         ctes.append(f"v{i} AS (SELECT * FROM {source} q)")
         ctes.append(censored(f"v{i}", f"c{i}", bound, prior, outcomes, extra=", subgroup, weight"))
-        parts.append(f"""SELECT '{variant}' AS variant, '{phase}' AS phase, subgroup, outcome, "group", "time", status, weight FROM c{i}""")
+        model = STATUS_CR if variant == "competing" else "status"
+        parts.append(f"""SELECT '{variant}' AS variant, '{phase}' AS phase, subgroup, outcome, "group", "time", status,
+          {model} AS model_status, weight FROM c{i}""")
     return ctes, " UNION ALL ".join(parts)
 
 
@@ -616,3 +619,87 @@ ORACLE["analysis_counts"] = sql(
     FROM ({_rows}) GROUP BY ALL""",
     *_ctes,
 )
+
+# The full result of every variant: the same fits, keyed by variant, subgroup, phase and outcome together.
+_KEYED = f"""keyed AS MATERIALIZED (SELECT concat_ws('|', variant, subgroup, phase, outcome) AS outcome, "group", "time", status,
+  model_status, weight FROM ({_rows}))"""
+_KEYED_CELLS = """cells AS MATERIALIZED (SELECT outcome, "group", "time" AS t, model_status AS status, count(*) AS n,
+  sum(weight) AS w, sum(weight * weight) AS w2 FROM keyed GROUP BY ALL)"""
+_KEYED_COUNTS = """counts AS MATERIALIZED (SELECT outcome, "group", count(*) AS n, CAST(sum(status) AS BIGINT) AS events,
+  sum(weight * status) AS w_events, sum(weight * "time") AS pt FROM keyed GROUP BY outcome, "group")"""
+
+
+def gamma_limits(name: str, source: str, events: str) -> str:
+    """CTEs that bisect for the limits of weighted counts: P(x, lo) = 0.025 and P(x + 1, hi) = 0.975, P by its series."""
+    series = "list_sum([exp(-mid + (a + k) * ln(mid) - lgamma(a + k + 1)) FOR k IN range(0, CAST(16 * sqrt(a + 1) + 80 AS BIGINT))])"
+    return f"""{name}_bis AS (
+  SELECT x, 'lo' AS side, x AS a, 0.025 AS goal, 0 AS i, 0.0::DOUBLE AS l, x + 1.0::DOUBLE AS h
+  FROM (SELECT DISTINCT {events} AS x FROM {source}) WHERE x > 0
+  UNION ALL SELECT x, 'hi', x + 1, 0.975, 0, x, x + 6 * sqrt(x + 1) + 20 FROM (SELECT DISTINCT {events} AS x FROM {source})
+  UNION ALL
+  SELECT x, side, a, goal, i + 1, CASE WHEN up THEN mid ELSE l END, CASE WHEN up THEN h ELSE mid END FROM (
+    SELECT *, {series} < goal AS up FROM (SELECT *, (l + h) / 2 AS mid FROM {name}_bis WHERE i < 56))),
+{name}_lim AS (SELECT x, coalesce(max(l) FILTER (WHERE side = 'lo'), 0) AS lo, max(l) FILTER (WHERE side = 'hi') AS hi
+  FROM {name}_bis WHERE i = 56 GROUP BY x)"""
+
+
+ORACLE["analysis_grid_saturated"] = sql(
+    f"""SELECT split_part(c.outcome, '|', 1) AS variant, split_part(c.outcome, '|', 2) AS subgroup,
+      split_part(c.outcome, '|', 3) AS phase, split_part(c.outcome, '|', 4) AS outcome, c."group", n, events,
+      {r3('w_events')} AS w_events, {r3('pt')} AS pt, {r6('w_events / pt')} AS rate, {r6('lo / pt')} AS rate_lo,
+      {r6('hi / pt')} AS rate_hi, {HR_OUT}
+    FROM counts c JOIN p_lim ON x = w_events LEFT JOIN hr ON hr.outcome = c.outcome AND hr."group" = c."group\"""",
+    *_ctes, _KEYED, _KEYED_CELLS, _KEYED_COUNTS, gamma_limits("p", "counts", "w_events"), KEEP, GRID, TIES, NEWTON,
+    SANDWICH, ROBUST_SE,
+)
+
+ORACLE["cox_curve"] = sql(
+    " UNION ALL ".join(
+        f"""SELECT outcome, '{g}' AS "group", CAST(t AS INTEGER) AS "time", {r6('cum * z')} AS cum_hazard, {r6('exp(-cum * z)')} AS surv,
+          CASE WHEN cum * z > 0 THEN {r6('ln(cum * z)')} END AS cloglog
+          FROM (SELECT days.outcome, t, sum(s) OVER (PARTITION BY days.outcome ORDER BY t) AS cum,
+                  {'1' if k == 0 else f'CASE WHEN e{k} > 0 THEN exp(b{k}) ELSE 0 END'} AS z
+                FROM days JOIN info ON info.outcome = days.outcome) c
+          WHERE EXISTS (SELECT 1 FROM cells x WHERE x.outcome = c.outcome AND x."group" = '{g}')"""
+        for k, g in enumerate(GROUPS)
+    ),
+    *WEIGHTED_FIT, _DAYS,
+)
+
+
+# Proportional hazards: score test of a slope on g(t) = 1 - S(t-), S being the unweighted survival of all.
+def _sym(j: int, k: int) -> str:
+    return f"{min(j, k)}{max(j, k)}"
+
+
+_PAIRS3 = [(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 3)]
+_MOMENTS = ", ".join(
+    f"sum({g} * m * ({f'p{j}' if j == k else '0'} - p{j} * p{k})) AS {name}{j}{k}"
+    for name, g in (("m", "gt"), ("n", "gt * gt")) for j, k in _PAIRS3
+)
+_V = ", ".join(
+    f"n{j}{k} - (" + " + ".join(f"m{_sym(j, a)} * v{_sym(a, b)} * m{_sym(b, k)}" for a in (1, 2, 3) for b in (1, 2, 3)) + f") AS c{j}{k}"
+    for j, k in _PAIRS3
+)
+PH = f"""km AS (SELECT outcome, t, d, sum(d_all) OVER (PARTITION BY outcome ORDER BY t DESC) AS n_risk FROM (
+    SELECT outcome, t, sum(CASE WHEN status = 1 THEN n ELSE 0 END) AS d, sum(n) AS d_all FROM cells GROUP BY ALL)),
+slope AS (SELECT outcome, t, 1 - coalesce(product(1 - d / n_risk) OVER (PARTITION BY outcome ORDER BY t
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS gt FROM km),
+observed AS (SELECT w.outcome, {', '.join(f'sum(gt * w.e{k}) AS o{k}' for k in (1, 2, 3))}
+  FROM wide w JOIN slope ON slope.outcome = w.outcome AND slope.t = w.t GROUP BY w.outcome),
+moments AS (SELECT a.outcome, {', '.join(f'sum(gt * m * p{k}) AS x{k}' for k in (1, 2, 3))}, {_MOMENTS}
+  FROM at_fit a JOIN slope ON slope.outcome = a.outcome AND slope.t = a.t GROUP BY a.outcome),
+tests AS (SELECT outcome, scale, {', '.join(f'o{k} - x{k} AS u{k}' for k in (1, 2, 3))}, {', '.join(f'e{k} > 0 AS has{k}' for k in (1, 2, 3))}, {_V}
+  FROM moments JOIN observed USING (outcome) JOIN info USING (outcome)
+  JOIN (SELECT outcome, sum(n) / sum(w) AS scale FROM cells GROUP BY outcome) USING (outcome)),
+inverted AS (SELECT *, {_inverse()} FROM (SELECT * EXCLUDE (c11, c22, c33), c11, c22, c33,
+  {', '.join(f'CASE WHEN has{k} THEN c{k}{k} ELSE 1 END AS i{k}{k}' for k in (1, 2, 3))}, c12 AS i12, c13 AS i13, c23 AS i23 FROM tests)),
+chi AS (
+  {' UNION ALL '.join(f"SELECT outcome, '{GROUPS[k]}' AS term, scale * u{k} * u{k} / c{k}{k} AS chisq, 1 AS df FROM tests WHERE has{k}" for k in (1, 2, 3))}
+  UNION ALL SELECT outcome, 'GLOBAL', scale * ({' + '.join(f'u{a} * v{_sym(a, b)} * u{b}' for a in (1, 2, 3) for b in (1, 2, 3))}),
+    {' + '.join(f'CAST(has{k} AS INTEGER)' for k in (1, 2, 3))} FROM inverted)"""
+ORACLE["ph_test"] = sql(
+    f"""SELECT outcome, term, {r6('chisq')} AS chisq, CAST(df AS INTEGER) AS df, {r6(
+        "1 - list_sum([exp(-chisq / 2 + (df / 2 + k) * ln(chisq / 2) - lgamma(df / 2 + k + 1)) FOR k IN range(0, 400)])")} AS p FROM chi""",
+    *WEIGHTED_FIT, PH,
+)

@@ -23,6 +23,7 @@ from tideline.sources.stages import materialise
 MAX_LEVELS = 1000
 MAX_TERMS = 10_000
 TOLERANCE = 1e-10
+JUMP = 20.0
 
 
 def ps_terms(defs: DataFrame, level: int = 4) -> list[str]:
@@ -196,6 +197,7 @@ def fit_propensity(
     converged = {key: not free[key] for key in coefs}
     halvings = dict.fromkeys(coefs, 0)
     loglik: dict[str, float] = {}
+    jumped: set[str] = set()
     for _ in range(max_iter):
         active = [k for k in coefs if not converged[k]]
         if not active:
@@ -213,10 +215,15 @@ def fit_propensity(
             loglik[key] = value
             i = free[key]
             delta = np.linalg.lstsq(info[np.ix_(i, i)], score[i], rcond=1e-12)[0]
-            # Done when the step is negligible, or when separated groups still move without a gain.
             size = np.abs(delta).max()
-            if size < TOLERANCE or (size > 0.1 and 0 <= gained < 1e-9 * (abs(value) + 0.1)):
+            slow = size > 0.1 and gained >= 0
+            if size < TOLERANCE or (key in jumped and slow and gained < 1e-9 * (abs(value) + 0.1)):
                 converged[key] = True
+            elif key not in jumped and slow and gained < 1e-5 * (abs(value) + 0.1):
+                # Some covariate separates the groups and its coefficient drifts to infinity by equal
+                # steps; one long step gets there. The halving above takes it back if it is wrong.
+                delta = JUMP * delta
+                jumped.add(key)
             new = np.zeros(n_levels * width)
             new[i] = delta
             step[key] = new.reshape(n_levels, width)

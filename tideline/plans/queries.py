@@ -41,7 +41,7 @@ SUMS = {"w_events", "w_event", "pt", "w_risk", "fg_risk", "ess", "n", "count"}
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + 1e-7, 3) if c in SUMS else r6(c) for c in cols})
+    return df.withColumns({c: F.round(F.col(c) + 1e-5, 3) if c in SUMS else r6(c) for c in cols})
 
 
 def derived(spark: SparkSession, sf: str) -> DataFrame:
@@ -429,7 +429,7 @@ def km_curve(spark, sf):
 
 @query
 def cox_curve(spark, sf):
-    curve = V.cox_curve(weighted_cells(spark, sf, TERMS), ["outcome"])
+    curve = V.cox_curve(weighted_cells(spark, sf, ["segment"]), ["outcome"])
     return rounded(curve, "cum_hazard", "surv", "cloglog")
 
 
@@ -451,7 +451,7 @@ def cox_weighted(spark, sf):
 
 @query
 def ph_test(spark, sf):
-    return rounded(V.ph_test(weighted_cells(spark, sf, TERMS), ["outcome"]), "chisq", "p")
+    return rounded(V.ph_test(weighted_cells(spark, sf, ["segment"]), ["outcome"]), "chisq", "p")
 
 
 @query
@@ -486,6 +486,13 @@ def analysis_counts(spark, sf):
 RESULT_NUMBERS = S.RESULT_COLUMNS[7:]
 
 
+@query
+def analysis_grid_saturated(spark, sf):
+    """The full result of every variant, weights saturated in one covariate."""
+    result = analysis.run_analysis(eligible(spark, sf), ["segment"], VARIANTS, SAMPLE_STUDY_END)
+    return rounded(result, *RESULT_NUMBERS)
+
+
 @query
 def subgroup_results(spark, sf):
     variants = [v for v in VARIANTS if v.name == "subgroup"]
