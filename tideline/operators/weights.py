@@ -106,17 +106,19 @@ def _describe(cells: DataFrame, terms: list[str]) -> tuple[Term, ...]:
 def _pass(cells: DataFrame, coefs: dict, width: int, n_levels: int) -> dict:
     """One pass over all cells: per fit, log likelihood, score and information at ``coefs``."""
     size = width * n_levels
-    length = 1 + size + size * size
+    upper = np.triu_indices(size)
+    length = 1 + size + len(upper[0])
 
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            fits = np.array(batch.column("fit").to_pylist(), dtype=object)
+            keys = batch.column("fit").dictionary_encode()
+            fits = keys.indices.to_numpy(zero_copy_only=False)
             x_all = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             y_all = batch.column("y").to_numpy(zero_copy_only=False)
             n_all = batch.column("n_cell").to_numpy(zero_copy_only=False).astype(float)
-            for key in set(fits):
-                rows = fits == key
+            for i, key in enumerate(keys.dictionary.to_pylist()):
+                rows = fits == i
                 x, y, n = x_all[rows], y_all[rows], n_all[rows]
                 b = coefs[key]
                 eta = x[:, 1:] @ np.where(np.isfinite(b[:, 1:]), b[:, 1:], 0.0).T + b[:, 0]
@@ -134,7 +136,7 @@ def _pass(cells: DataFrame, coefs: dict, width: int, n_levels: int) -> dict:
                         block = (x * v[:, None]).T @ x
                         info[k, :, l, :] = block
                         info[l, :, k, :] = block.T
-                part = np.concatenate([[loglik], score.ravel(), info.ravel()])
+                part = np.concatenate([[loglik], score.ravel(), info.reshape(size, size)[upper]])
                 sums[key] = sums[key] + part if key in sums else part
         for key, values in sums.items():
             yield pa.RecordBatch.from_pydict(
@@ -147,7 +149,9 @@ def _pass(cells: DataFrame, coefs: dict, width: int, n_levels: int) -> dict:
     for key, mine in rows.groupby("fit"):
         v = np.zeros(length)
         v[mine["pos"].to_numpy()] = mine["value"].to_numpy()
-        out[key] = (v[0], v[1 : 1 + size], v[1 + size :].reshape(size, size))
+        info = np.zeros((size, size))
+        info[upper] = v[1 + size :]
+        out[key] = (v[0], v[1 : 1 + size], info + np.triu(info, 1).T)
     return out
 
 
