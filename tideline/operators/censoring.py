@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline import schema as S
@@ -14,24 +16,22 @@ def unpivot_outcomes(
     outcomes: list[str],
     keep: list[str],
     competing: str | None = None,
+    only: Callable[[str, Column], Column] | None = None,
 ) -> DataFrame:
     """One row per subject and outcome with ``outcome, hx, outcome_date``.
 
     ``competing`` names the outcome whose date rides along as ``competing_date``, so that competing
-    events need no second look at the subject's other rows.
+    events need no second look at the subject's other rows. ``only`` maps an outcome and its history to
+    a condition; rows that fail it are left out.
     """
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(o).alias("outcome"),
-                (F.lit(0) if o in NO_HISTORY else F.col(f"hx_{o}").cast("int")).alias("hx"),
-                F.col(f"outcome_{o}_date").alias("outcome_date"),
-            )
-            for o in outcomes
-        ]
-    )
+    rows = []
+    for o in outcomes:
+        hx = F.lit(0) if o in NO_HISTORY else F.col(f"hx_{o}").cast("int")
+        row = F.struct(F.lit(o).alias("outcome"), hx.alias("hx"), F.col(f"outcome_{o}_date").alias("outcome_date"))
+        rows.append(F.when(only(o, hx), row) if only else row)
     extra = [F.col(f"outcome_{competing}_date").alias("competing_date")] if competing else []
-    return df.select(*keep, *extra, F.inline(rows))
+    long = df.select(*keep, *extra, F.inline(F.array(*rows)))
+    return long.where(F.col("outcome").isNotNull()) if only else long
 
 
 def censor(

@@ -186,8 +186,16 @@ def subgroup_conditions() -> dict[str, Column]:
 def subgroups(df: DataFrame, conditions: dict[str, Column] | None = None) -> DataFrame:
     """One row per subject and subgroup it belongs to, in one pass over ``df``."""
     conditions = conditions or subgroup_conditions()
-    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
-    return df.withColumn("subgroup", F.explode(names))
+    return explode_where(df, "subgroup", {n: F.lit(n) for n in conditions}, conditions)
+
+
+def explode_where(df: DataFrame, name: str, values: dict[str, Column], conditions: dict[str, Column]) -> DataFrame:
+    """One row per value whose condition holds.
+
+    NULLs are filtered after the explode: array_compact would take the whole array out of code generation.
+    """
+    listed = F.array(*[F.when(conditions[k], v) for k, v in values.items()])
+    return df.withColumn(name, F.explode(listed)).where(F.col(name).isNotNull())
 
 
 def order_by_level(df: DataFrame, col: str, levels: list[str], first: list[str] = ()) -> DataFrame:

@@ -48,35 +48,28 @@ def stage_rows(cohort: DataFrame, stages: list[Stage]) -> DataFrame:
     the original index.
     """
     rows = K.use_dose_group(K.analysable(cohort))
-    memberships = [
-        F.when(
-            _in_stage(s),
-            F.struct(
-                F.lit(s.name).alias("stage_name"),
-                F.date_add("index_date", s.landmark).alias("stage_index"),
-                F.lit(s.by_subgroup).alias("by_subgroup"),
-            ),
-        )
-        for s in stages
-    ]
-    # One array per subject: the subgroups are fixed by values at the original index.
-    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in K.subgroup_conditions().items()]))
-    fanned = (
-        rows.withColumns({"stages": F.array_compact(F.array(*memberships)), "own_subgroups": names})
-        .withColumn("in_stage", F.explode("stages"))
-        .withColumn("subgroup", F.explode(F.when(F.col("in_stage.by_subgroup"), F.col("own_subgroups")).otherwise(F.array(F.lit("all")))))
+    fanned = K.explode_where(
+        rows, "stage_no", {s.name: F.lit(i) for i, s in enumerate(stages)}, {s.name: _in_stage(s) for s in stages}
     )
-    return fanned.withColumns(
+    number = F.col("stage_no")
+
+    def value(f) -> Column:
+        return F.get(F.array(*[F.lit(f(s)) for s in stages]), number)
+
+    # The subgroups are those of the original index, on which all their conditions are defined.
+    own = F.array(*[F.when(c, F.lit(n)) for n, c in K.subgroup_conditions().items()])
+    everyone = F.array(F.lit("all"))
+    fanned = fanned.withColumn("subgroup", F.explode(F.when(value(lambda s: s.by_subgroup), own).otherwise(everyone)))
+    return fanned.where(F.col("subgroup").isNotNull()).withColumns(
         {
-            "stage_name": F.col("in_stage.stage_name"),
-            "stage": F.concat_ws("|", "in_stage.stage_name", "subgroup"),
-            "index_date": F.col("in_stage.stage_index"),
+            "stage": F.concat_ws("|", value(lambda s: s.name), "subgroup"),
+            "index_date": F.date_add("index_date", value(lambda s: s.landmark)),
         }
-    ).drop("stages", "own_subgroups", "in_stage")
+    )
 
 
-def _in_variant(v: Variant, study_end: str) -> Column:
-    conditions = [F.col("stage_name") == v.stage.name]
+def _in_variant(v: Variant, stages: list[Stage], study_end: str) -> Column:
+    conditions = [F.col("stage_no") == stages.index(v.stage)]
     if v.exclude_added_dose:
         conditions.append(F.col("added_post" if v.stage.landmark else "added_acute") == 0)
     if v.index_by_study_end:
@@ -84,34 +77,51 @@ def _in_variant(v: Variant, study_end: str) -> Column:
     return reduce(and_, conditions)
 
 
+def stages_of(variants: list[Variant]) -> list[Stage]:
+    return list(dict.fromkeys(v.stage for v in variants))
+
+
 def variant_rows(weighted: DataFrame, variants: list[Variant], study_end: str) -> DataFrame:
-    """Weighted stage rows once per variant that uses the stage, one row per outcome, censored and at risk."""
+    """Weighted stage rows once per variant that uses the stage, one row per outcome, censored and at risk.
+
+    Variants are numbers here (``variant_no``), which keeps the rows and the aggregation keys narrow. Only
+    the outcomes a variant asks for, without a baseline history, become rows.
+    """
+    number = F.col("variant_no")
+    stages, numbered = stages_of(variants), dict(enumerate(variants))
+    fanned = K.explode_where(
+        weighted, "variant_no", {i: F.lit(i) for i in numbered},
+        {i: _in_variant(v, stages, study_end) for i, v in numbered.items()},
+    )
+
+    def numbers(chosen) -> Column:
+        picked = [i for i, v in enumerate(variants) if chosen(v)]
+        return number.isin(picked) if picked else F.lit(False)
+
     outcomes = [o for o in S.OUTCOMES if any(o in v.outcomes for v in variants)]
-    entries = [
-        F.when(
-            _in_variant(v, study_end),
-            F.struct(
-                F.lit(v.name).alias("variant"),
-                F.lit(v.phase).alias("phase"),
-                F.lit(v.days).cast("int").alias("days"),
-                F.lit(v.prior_counts).alias("prior_counts"),
-                F.lit(v.competing).alias("competing_model"),
-                F.array(*[F.lit(o) for o in v.outcomes]).alias("wanted"),
-            ),
-        )
-        for v in variants
-    ]
-    fanned = weighted.withColumn("entry", F.explode(F.array_compact(F.array(*entries)))).select("*", "entry.*")
-    keep = ["variant", "subgroup", "phase", "group", "index_date", "death_date", "weight", "days", "prior_counts",
-            "competing_model", "wanted"]
-    long = censoring.unpivot_outcomes(fanned, outcomes, keep, competing="death")
-    long = long.where(F.array_contains("wanted", F.col("outcome")))
-    censored = censoring.censor(long, F.col("days"), study_end, F.col("prior_counts"))
+    keep = ["variant_no", "subgroup", "group", "index_date", "death_date", "weight"]
+    long = censoring.unpivot_outcomes(
+        fanned, outcomes, keep, competing="death", only=lambda o, hx: numbers(lambda v: o in v.outcomes) & (hx == 0)
+    )
+    days = F.get(F.array(*[F.lit(v.days).cast("int") for v in variants]), number)
+    censored = censoring.censor(long, days, study_end, numbers(lambda v: v.prior_counts))
     return censoring.at_risk(censoring.competing_status(censored)).withColumn(
-        "status", F.when(F.col("competing_model"), F.col("status_cr")).otherwise(F.col("status"))
+        "status", F.when(numbers(lambda v: v.competing), F.col("status_cr")).otherwise(F.col("status"))
     )
 
 
+def name_variants(cells: DataFrame, variants: list[Variant]) -> DataFrame:
+    """Replace ``variant_no`` by ``variant, phase, competing_model``."""
+    number = F.col("variant_no")
+
+    def value(f) -> Column:
+        return F.get(F.array(*[F.lit(f(v)) for v in variants]), number)
+
+    names = [value(lambda v: v.name).alias("variant"), value(lambda v: v.phase).alias("phase"),
+             value(lambda v: v.competing).alias("competing_model")]
+    return cells.select(*names, *[c for c in cells.columns if c != "variant_no"])
+
+
 def _needed(variants: list[Variant], terms: list[str], columns: list[str]) -> list[str]:
     """Columns an analysis reads, so that the written cohort holds no others."""
     outcomes = {o for v in variants for o in v.outcomes} | {"death"}
@@ -137,11 +147,12 @@ def analysis_cells(
             {"added_acute": F.lit(0), "added_post": F.lit(0)}
         )
     kept = materialise(K.analysable(kept), "cohort")
-    rows = stage_rows(kept, list(dict.fromkeys(v.stage for v in variants)))
+    rows = stage_rows(kept, stages_of(variants))
     model = weights.fit_propensity(rows, terms, by="stage")
     weighted = weights.iptw_weights(rows, model)
     long = censoring.check_time(variant_rows(weighted, variants, study_end))
-    return survival.survival_cells(long, [*KEY, "competing_model"], weight="weight")
+    cells = survival.survival_cells(long, ["variant_no", "subgroup", "outcome"], weight="weight")
+    return name_variants(cells, variants)
 
 
 def result_table(
