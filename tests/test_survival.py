@@ -139,6 +139,16 @@ def test_tie_sums_in_blocks(monkeypatch):
     assert whole.q1[2] == pytest.approx((f / (7 - f * 6.9) ** 2).sum())
 
 
+@pytest.mark.parametrize("share", [1e-9, 1e-3, 0.4, 0.999, 1.0])
+def test_days_with_many_events(share):
+    """The constant-time sums against all terms, also where everyone at risk dies that day."""
+    d = 300_000
+    a, b = np.array([2.5e5]), np.array([2.5e5 * share])
+    got = hazards.tie_sums(a, b, np.array([float(d)]))
+    for name, values in hazards._terms(np.arange(d) / d, a[0], b[0]).items():
+        assert getattr(got, name)[0] == pytest.approx(values.sum(), rel=2e-12), name
+
+
 def test_groups_without_estimates():
     df = subjects(n=200)
     df.loc[df["group"] == "3d", "status"] = 0
