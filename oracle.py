@@ -233,7 +233,7 @@ ORACLE["time_check"] = sql(
     'd AS (SELECT *, group_dose AS "group" FROM derived WHERE group_brand IS NOT NULL AND infected = 1)',
     censored("d", "c", ACUTE_BOUND, False),
 )
-ORACLE["rates_open"] = sql(f"""SELECT outcome, "group", count(*) AS n, CAST(sum(status) AS BIGINT) AS events,
+ORACLE["rates"] = sql(f"""SELECT outcome, "group", count(*) AS n, CAST(sum(status) AS BIGINT) AS events,
   CAST(sum("time") AS BIGINT) AS fu, {r3('sum(status)')} AS w_events, {r3('sum("time")')} AS pt,
   {r6('sum(status) / sum("time")')} AS rate FROM follow GROUP BY outcome, "group\"""", OPEN)
 
@@ -328,13 +328,17 @@ _VARIABLES = ["n", "age", "score_cci", "sex", "segment", "dx_mi", "dx_cancer"]
 ORACLE["baseline_export"] = sql(
     f"""SELECT CAST(list_position({_VARIABLES}, variable) AS INTEGER) AS row_order, level,
       coalesce(description, variable) || CASE kind WHEN 'size' THEN '' WHEN 'numeric' THEN ' (mean (SD))'
-        WHEN 'flag' THEN ' (%)' ELSE ' = ' || level || ' (%)' END AS "Name",
+        WHEN 'flag' THEN ' (%)' ELSE CASE WHEN variable IN (SELECT variable FROM two) THEN ' (%)'
+          ELSE ' = ' || level || ' (%)' END END AS "Name",
       {', '.join(f"max(CASE WHEN \"group\" = '{g}' THEN {_CELL} END) AS group_{g}" for g in GROUPS)},
       max({_fixed('smd', 3)}) AS smd
     FROM tab LEFT JOIN smds USING (variable) LEFT JOIN (VALUES ('n', 'n'), ('age', 'Age, years'), ('score_cci', 'Comorbidity score'),
       ('sex', 'Sex'), ('dx_mi', 'Infarction')) AS defs(variable, description) USING (variable)
+    WHERE kind <> 'category' OR variable NOT IN (SELECT variable FROM two) OR level IN (SELECT last FROM two WHERE two.variable = tab.variable)
     GROUP BY variable, level, kind, description""",
     *SMD_CTES,
+    """two AS (SELECT variable, max(level) AS last FROM tab WHERE kind = 'category' GROUP BY variable
+      HAVING count(DISTINCT level) = 2)""",
 )
 
 

@@ -57,7 +57,7 @@ def test_cohort_operators_do_not_shuffle(spark):
     df = spark.createDataFrame([], S.PERSON_SCHEMA)
     long = Q.acute_long(Q.K.use_dose_group(Q.K.analysable(Q.K.eligible(df))))
     assert exchanges(long)[0] == 0
-    counts = Q.rates.event_counts(Q.Z.at_risk(long), ["outcome", "group"])
+    counts = Q.R.event_counts(Q.Z.at_risk(long), ["outcome", "group"])
     n, text = exchanges(counts)
     assert n == 1 and "partial_sum" in text
 
@@ -79,3 +79,33 @@ def test_a_spread_hot_set_does_not_change_the_exclusion(spark, sf_dir):
     dosed = {r["match"] for r in Q.K.dose_in_window(df).select("match").collect()}
     want = [int((None if m != m else m) in dosed) for m in flagged["match"]]
     assert flagged["added_acute"].tolist() == want
+
+
+def test_a_hot_set_is_split(spark):
+    """A third of the rows without a set id: the adaptive join splits that partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(0, 300_000, 1, 8).selectExpr("id", "IF(id % 3 = 0, NULL, id % 5000) AS match")
+        kept = Q.K.exclude_matched_sets(df, df.where("match % 10 = 1"))
+        rows = kept.collect()
+        assert "SortMergeJoin(skew=true)" in kept._jdf.queryExecution().executedPlan().toString()
+        assert len(rows) == df.where("match IS NULL OR match % 10 <> 1").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_doses_are_ranked_before_the_shuffle(spark, sf_dir):
+    from tideline.sources import sample
+
+    text = exchanges(sample._doses(spark.read.parquet(f"{sf_dir}/orders.parquet")))[1]
+    first, last = text.index("row_number(), 5, Final"), text.index("row_number(), 5, Partial")
+    assert first < text.index("Exchange hashpartitioning") < last

@@ -101,13 +101,16 @@ def test_weight_summary_and_distribution(df):
 
 def test_export_labels(df, spark):
     _, sdf = df
-    variables = ["age", "area", "dx"]
+    variables = ["age", "area", "dx", "sex"]
     table = tables.baseline_table(sdf, variables)
     defs = spark.createDataFrame([("age", "Age, years"), ("area", "Area")], S.TABLE1_SCHEMA)
     rows = tables.baseline_export(table, defs, variables, LEVELS, tables.smd(table, LEVELS)).orderBy("row_order", "level").collect()
     names = [r["Name"] for r in rows]
-    assert names == ["n", "Age, years (mean (SD))", "Area = a (%)", "Area = b (%)", "Area = c (%)", "dx (%)"]
-    assert [r["row_order"] for r in rows] == [1, 2, 3, 3, 3, 4]
+    assert names == ["n", "Age, years (mean (SD))", "Area = a (%)", "Area = b (%)", "Area = c (%)", "dx (%)", "sex (%)"]
+    assert [r["row_order"] for r in rows] == [1, 2, 3, 3, 3, 4, 5]
+    assert rows[-1]["level"] == "M"
+    every = tables.baseline_export(table, defs, variables, LEVELS, all_levels=True)
+    assert {"sex = F (%)", "sex = M (%)"} <= {r["Name"] for r in every.collect()}
 
 
 @pytest.mark.parametrize("limit", [100_000, 50])

@@ -234,24 +234,29 @@ def _fixed(c: Column, digits: int) -> Column:
 
 def baseline_export(
     table: DataFrame, defs: DataFrame, variables: list[str], levels: list[str] = S.DOSE_LEVELS,
-    smds: DataFrame | None = None,
+    smds: DataFrame | None = None, all_levels: bool = False, count_digits: int = 0,
 ) -> DataFrame:
     """Print form of a baseline table: one row per label, one text column per group, and the SMD.
 
     Labels are built as ``name (mean (SD))``, ``name (%)`` or ``name = level (%)``; the leading name is
-    then replaced by its description where there is one.
+    then replaced by its description where there is one. Of a variable with two levels only the second is
+    shown, without its name, unless ``all_levels`` is set. Weighted counts want ``count_digits=1``.
     """
     kind = F.col("kind")
+    levels_of = F.collect_set("level").over(Window.partitionBy("variable"))
+    table = table.withColumn("levels", F.sort_array(levels_of))
+    single = (kind == "flag") | ((kind == "category") & (F.size("levels") == 2) & F.lit(not all_levels))
+    table = table.where(~(single & (F.size("levels") == 2)) | (F.col("level") == F.get("levels", F.lit(1))))
     label = (
         F.when(kind == "size", F.col("variable"))
         .when(kind == "numeric", F.concat("variable", F.lit(" (mean (SD))")))
-        .when(kind == "flag", F.concat("variable", F.lit(" (%)")))
+        .when(single, F.concat("variable", F.lit(" (%)")))
         .otherwise(F.concat("variable", F.lit(" = "), "level", F.lit(" (%)")))
     )
     cell = (
-        F.when(kind == "size", _fixed(F.col("count"), 0))
+        F.when(kind == "size", _fixed(F.col("count"), count_digits))
         .when(kind == "numeric", F.concat(_fixed(F.col("mean"), 2), F.lit(" ("), _fixed(F.col("sd"), 2), F.lit(")")))
-        .otherwise(F.concat(_fixed(F.col("count"), 0), F.lit(" ("), _fixed(F.col("pct"), 1), F.lit(")")))
+        .otherwise(F.concat(_fixed(F.col("count"), count_digits), F.lit(" ("), _fixed(F.col("pct"), 1), F.lit(")")))
     )
     cells = table.select("variable", "level", "group", label.alias("label"), cell.alias("cell"))
     rows = cells.groupBy("variable", "level", "label").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tideline import schema as S
 from tideline.functions import columns as C
-from tideline.operators import censoring as Z, cohort as K, quantiles, rates, survival as V, tables, weights
+from tideline.operators import censoring as Z, cohort as K, quantiles, rates as R, survival as V, tables, weights
 from tideline.plans import analysis
 from tideline.plans.variants import VARIANTS
 from tideline.sources.cohort import normalise_dates
@@ -269,15 +269,15 @@ def competing_status(spark, sf):
 def event_counts(spark, sf):
     """Flagship: crude acute events, follow-up and rate per dose group, all outcomes in one pass."""
     long = Z.check_time(Z.at_risk(acute_long(analysable(spark, sf))))
-    counts = rates.event_counts(long, ["outcome", "group"])
-    total = rates.with_total_events(counts, ["outcome"])
+    counts = R.event_counts(long, ["outcome", "group"])
+    total = R.with_total_events(counts, ["outcome"])
     return rounded(total.withColumn("rate", F.try_divide("events", "fu")), "rate")
 
 
 @query
 def weighted_event_rates(spark, sf):
     long = Z.at_risk(acute_long(weighted(spark, sf, ["segment"]), keep=[*LONG, "weight"]))
-    return rounded(rates.weighted_event_rates(long, ["outcome", "group"]), "w_events", "pt", "rate")
+    return rounded(R.weighted_event_rates(long, ["outcome", "group"]), "w_events", "pt", "rate")
 
 
 @query
@@ -288,14 +288,14 @@ def time_check(spark, sf):
 
 
 @query
-def rates_open(spark, sf):
-    return rounded(rates.counts_from_cells(crude_cells(spark, sf), ["outcome", "group"]), "w_events", "pt", "rate")
+def rates(spark, sf):
+    return rounded(R.counts_from_cells(crude_cells(spark, sf), ["outcome", "group"]), "w_events", "pt", "rate")
 
 
 @query
 def poisson_ci(spark, sf):
-    counts = rates.event_counts(Z.at_risk(acute_long(analysable(spark, sf))), ["outcome", "group"])
-    return rounded(rates.poisson_rate_ci(counts, "events", "fu"), "rate", "rate_lo", "rate_hi")
+    counts = R.event_counts(Z.at_risk(acute_long(analysable(spark, sf))), ["outcome", "group"])
+    return rounded(R.poisson_rate_ci(counts, "events", "fu"), "rate", "rate_lo", "rate_hi")
 
 
 # Tables --------------------------------------------------------------------------------------------
@@ -479,7 +479,7 @@ def result_table_crude(spark, sf):
 def analysis_counts(spark, sf):
     """Counts, weighted events and person-time of every variant, weights saturated in one covariate."""
     cells = analysis.analysis_cells(eligible(spark, sf), ["segment"], VARIANTS, SAMPLE_STUDY_END)
-    counts = rates.counts_from_cells(cells, [*analysis.KEY, "group"])
+    counts = R.counts_from_cells(cells, [*analysis.KEY, "group"])
     return rounded(counts.drop("rate", "fu"), "w_events", "pt")
 
 
