@@ -291,6 +291,16 @@ ORACLE["stacked_tables"] = sql(
     UNION ALL SELECT *, 'exposed' FROM ({TABLE_OUT} ({table_rows("(SELECT * FROM ana WHERE \"group\" <> 'X')", '1.0::DOUBLE', ['age'], ['dx_mi'], [])}))"""
 )
 
+_PLAIN, _WEIGHTED = table_rows("weighted", "1.0::DOUBLE"), table_rows("weighted", "weight")
+ORACLE["phase_tables"] = sql(
+    " UNION ALL ".join(
+        f"""SELECT *, '{name}_{part}' AS table_name FROM ({TABLE_OUT} ({rows})) WHERE {keep}"""
+        for name, rows in (("plain", _PLAIN), ("weighted", _WEIGHTED))
+        for part, keep in (("all", "true"), ("exposed", "\"group\" <> 'X'"))
+    ),
+    SATURATED,
+)
+
 
 def _pairs_cte() -> str:
     pairs = ", ".join(f"('{a}', '{b}')" for i, a in enumerate(GROUPS) for b in GROUPS[i + 1 :])

@@ -109,3 +109,20 @@ def test_doses_are_ranked_before_the_shuffle(spark, sf_dir):
     text = exchanges(sample._doses(spark.read.parquet(f"{sf_dir}/orders.parquet")))[1]
     first, last = text.index("row_number(), 5, Final"), text.index("row_number(), 5, Partial")
     assert first < text.index("Exchange hashpartitioning") < last
+
+
+def test_weighted_stages_round_trip(spark, sf_dir, tmp_path):
+    """Saved weighted stages give the weights back per stage and subgroup."""
+    from tideline.plans.variants import ACUTE, POSTACUTE_SUB
+    from tideline.sources import materialise, read_stage, write_stage
+
+    cohort = materialise(Q.eligible(spark, sf_dir), "eligible")
+    weighted = analysis.weighted_stages(cohort, ["sex"], [ACUTE, POSTACUTE_SUB])
+    write_stage(weighted, str(tmp_path / "stages"), ["stage_name", "subgroup"])
+    back = read_stage(spark, str(tmp_path / "stages"), stage_name="acute")
+    assert back.count() == Q.analysable(spark, sf_dir).count()
+    # Each group that has both sexes is weighted up to everybody.
+    sizes = back.groupBy("group").agg(F.sum("weight").alias("w"), F.countDistinct("sex").alias("sexes")).toPandas()
+    sizes = sizes[sizes["sexes"] == 2]
+    assert len(sizes) >= 2 and abs(sizes["w"] - back.count()).max() < 1e-6
+    assert read_stage(spark, str(tmp_path / "stages"), subgroup="sex.male").where("sex <> 'M'").count() == 0

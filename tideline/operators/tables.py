@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from tideline import schema as S
 from tideline.sources.definitions import add_total_row
+from tideline.sources.stages import materialise
 
 TABLE_COLUMNS = ["variable", "level", "kind", "n", "mean", "sd", "count", "pct"]
 ADJUST = 1e-9  # added before rounding for print, so that halves go one way whatever the order of sums
@@ -107,6 +108,24 @@ def baseline_table(df: DataFrame, variables: list[str], by: list[str] = ["group"
     return _summaries(df, variables, by, {"": F.col(weight) if weight else None})
 
 
+def phase_tables(
+    df: DataFrame, variables: list[str], weight: str = "weight", baseline: str = S.DOSE_LEVELS[0]
+) -> dict[str, DataFrame]:
+    """The tables of a phase: all groups and exposed groups only, plain and weighted.
+
+    One pass makes all four; tables are per group, so the exposed ones are a part of the others.
+    """
+    both = materialise(_summaries(df, variables, ["group"], {"": None, "_w": F.col(weight)}), "tables")
+    keys = ["group", *TABLE_COLUMNS[:3]]
+    plain = both.select(*keys, *TABLE_COLUMNS[3:])
+    weighted = both.select(*keys, *[F.col(f"{c}_w").alias(c) for c in TABLE_COLUMNS[3:]])
+    out = {}
+    for name, table in (("weighted", weighted), ("plain", plain)):
+        out[f"{name}_all"] = table
+        out[f"{name}_exposed"] = table.where(F.col("group") != baseline)
+    return out
+
+
 def _pairs(table: DataFrame, levels: list[str], group: str, values: list[str]) -> DataFrame:
     """Table rows side by side for every pair of groups: ``<value>_1`` and ``<value>_2``."""
     pairs = F.array(

@@ -44,7 +44,7 @@ def _in_stage(stage: Stage) -> Column:
 def stage_rows(cohort: DataFrame, stages: list[Stage]) -> DataFrame:
     """Analysable subjects once per stage (and subgroup) they belong to.
 
-    ``stage`` names the fit, ``index_date`` is moved to the landmark; everything else keeps its value at
+    ``stage`` names the fit (stage and subgroup), ``index_date`` is moved to the landmark; everything else keeps its value at
     the original index.
     """
     rows = K.use_dose_group(K.analysable(cohort))
@@ -62,6 +62,7 @@ def stage_rows(cohort: DataFrame, stages: list[Stage]) -> DataFrame:
     fanned = fanned.withColumn("subgroup", F.explode(F.when(value(lambda s: s.by_subgroup), own).otherwise(everyone)))
     return fanned.where(F.col("subgroup").isNotNull()).withColumns(
         {
+            "stage_name": value(lambda s: s.name),
             "stage": F.concat_ws("|", value(lambda s: s.name), "subgroup"),
             "index_date": F.date_add("index_date", value(lambda s: s.landmark)),
         }
@@ -131,6 +132,16 @@ def _needed(variants: list[Variant], terms: list[str], columns: list[str]) -> li
     return [c for c in columns if c in names]
 
 
+def weighted_stages(cohort: DataFrame, terms: list[str], stages: list[Stage]) -> DataFrame:
+    """Analysable subjects once per stage and subgroup, with the weights of that fit.
+
+    ``write_stage(df, path, ["stage_name", "subgroup"])`` keeps them for later analyses. ``cohort`` is read
+    by the fit and by whatever uses the result, so it should be a written table.
+    """
+    rows = stage_rows(cohort, stages)
+    return weights.iptw_weights(rows, weights.fit_propensity(rows, terms, by="stage"))
+
+
 def analysis_cells(
     cohort: DataFrame, terms: list[str], variants: list[Variant] = VARIANTS, study_end: str = S.STUDY_END
 ) -> DataFrame:
@@ -140,16 +151,13 @@ def analysis_cells(
     read it.
     """
     variants = list(variants)
+    kept = cohort.select(*_needed(variants, terms, cohort.columns))
     if any(v.exclude_added_dose for v in variants):
-        kept = added_dose_flags(cohort.select(*_needed(variants, terms, cohort.columns)))
+        kept = added_dose_flags(kept)
     else:
-        kept = cohort.select(*_needed(variants, terms, cohort.columns)).withColumns(
-            {"added_acute": F.lit(0), "added_post": F.lit(0)}
-        )
+        kept = kept.withColumns({"added_acute": F.lit(0), "added_post": F.lit(0)})
     kept = materialise(K.analysable(kept), "cohort")
-    rows = stage_rows(kept, stages_of(variants))
-    model = weights.fit_propensity(rows, terms, by="stage")
-    weighted = weights.iptw_weights(rows, model)
+    weighted = weighted_stages(kept, terms, stages_of(variants))
     long = censoring.check_time(variant_rows(weighted, variants, study_end))
     cells = survival.survival_cells(long, ["variant_no", "subgroup", "outcome"], weight="weight")
     return name_variants(cells, variants)

@@ -365,6 +365,13 @@ def stacked_tables(spark, sf):
     return rounded(stacked, *TABLE_NUMBERS)
 
 
+@query
+def phase_tables(spark, sf):
+    """The four tables of a phase, stacked."""
+    parts = tables.phase_tables(table_input(weighted(spark, sf, ["segment"])), TABLE_VARIABLES)
+    return rounded(concat_tables(parts), *TABLE_NUMBERS)
+
+
 # Weights -------------------------------------------------------------------------------------------
 
 
