@@ -23,7 +23,7 @@ from tideline.sources.stages import materialise
 MAX_LEVELS = 1000
 MAX_TERMS = 10_000
 TOLERANCE = 1e-10
-JUMP = 20.0
+JUMP = 27.0
 
 
 def ps_terms(defs: DataFrame, level: int = 4) -> list[str]:
@@ -202,6 +202,7 @@ def fit_propensity(
     halvings = dict.fromkeys(coefs, 0)
     loglik: dict[str, float] = {}
     jumped: set[str] = set()
+    last: dict[str, np.ndarray] = {}
     for _ in range(max_iter):
         active = [k for k in coefs if not converged[k]]
         if not active:
@@ -220,13 +221,16 @@ def fit_propensity(
             i = free[key]
             delta = np.linalg.lstsq(info[np.ix_(i, i)], score[i], rcond=1e-12)[0]
             size = np.abs(delta).max()
-            slow = size > 0.1 and gained >= 0
-            if size < TOLERANCE or (key in jumped and slow and gained < 1e-9 * (abs(value) + 0.1)):
+            # Newton steps shrink fast unless a covariate separates the groups; then a coefficient drifts to
+            # infinity by equal steps.
+            drifts = (np.abs(delta) > 0.1) & (np.abs(delta) > 0.5 * np.abs(last.get(key, np.inf)))
+            last[key] = delta
+            tiny = 0 <= gained < 1e-9 * (abs(value) + 0.1)
+            if size < TOLERANCE or (key in jumped and drifts.any() and tiny):
                 converged[key] = True
-            elif key not in jumped and slow and gained < 1e-5 * (abs(value) + 0.1):
-                # Some covariate separates the groups and its coefficient drifts to infinity by equal
-                # steps; one long step gets there. The halving above takes it back if it is wrong.
-                delta = JUMP * delta
+            elif key not in jumped and drifts.any() and 0 <= gained < 1e-4 * (abs(value) + 0.1):
+                # One long step gets there. The halving above takes it back if it is wrong.
+                delta = np.where(drifts, JUMP, 1.0) * delta
                 jumped.add(key)
             new = np.zeros(n_levels * width)
             new[i] = delta
