@@ -72,15 +72,22 @@ def open_long(df: DataFrame, outcomes=S.OUTCOMES, keep=LONG, competing=None) ->
     return Z.censor_open(Z.unpivot_outcomes(df, list(outcomes), keep, competing), SAMPLE_STUDY_END)
 
 
-def weighted(spark: SparkSession, sf: str, terms: list[str]) -> DataFrame:
-    """Analysable acute subjects with weights; written once because the fit reads them several times."""
-    rows = materialise(analysable(spark, sf), "weighted")
+FOLLOW_UP = [*LONG, *[f"hx_{o}" for o in S.HX_OUTCOMES], *[f"outcome_{o}_date" for o in S.OUTCOMES]]
+
+
+def weighted(spark: SparkSession, sf: str, terms: list[str], columns: list[str]) -> DataFrame:
+    """Analysable acute subjects with weights and the columns asked for.
+
+    Written once because the fit and the query both read them.
+    """
+    kept = dict.fromkeys(["subject_id", "group", *terms, *columns])
+    rows = materialise(analysable(spark, sf).select(*kept), "weighted")
     return weights.iptw_weights(rows, weights.fit_propensity(rows, terms))
 
 
 def weighted_cells(spark, sf, terms, competing=False) -> DataFrame:
     """Cells are a few thousand rows that several steps read, so they are written once."""
-    long = open_long(weighted(spark, sf, terms), keep=[*LONG, "weight"], competing="death" if competing else None)
+    long = open_long(weighted(spark, sf, terms, FOLLOW_UP), keep=[*LONG, "weight"], competing="death" if competing else None)
     if competing:
         long = Z.competing_status(long).where("outcome <> 'death'")
     status = "status_cr" if competing else "status"
@@ -178,7 +185,8 @@ def index_not_after(spark, sf):
 
 @query
 def recent_dose_180(spark, sf):
-    df = materialise(eligible(spark, sf), "eligible")
+    used = ["subject_id", "index_date", "death_date", "group_brand", "dose_seq", *S.DOSE_DATES]
+    df = materialise(eligible(spark, sf).select(used), "eligible")
     both = {"acute": K.recent_dose(df), "postacute": K.recent_dose(K.landmark(df))}
     return concat_tables({k: v.select("subject_id") for k, v in both.items()}).withColumnRenamed("table_name", "phase")
 
@@ -190,7 +198,7 @@ def test_type(spark, sf):
 
 @query
 def dose_in_window(spark, sf):
-    df = materialise(eligible(spark, sf), "eligible")
+    df = materialise(eligible(spark, sf).select("subject_id", "index_date", "death_date", *S.ALL_DOSE_DATES), "eligible")
     both = {"acute": K.dose_in_window(df, 0, 28), "postacute": K.dose_in_window(K.landmark(df), -28, 0)}
     return concat_tables({k: v.select("subject_id") for k, v in both.items()}).withColumnRenamed("table_name", "phase")
 
@@ -206,7 +214,8 @@ def dose_in_window_rows(spark, sf):
 @query
 def exclude_matched_sets(spark, sf):
     """Sets with a dose in the first 28 days of any person leave the analysable subjects."""
-    persons = materialise(person_table(spark, sf), "persons")
+    persons = person_table(spark, sf).drop(*[f"outcome_{o}_date" for o in S.OUTCOMES])
+    persons = materialise(persons, "persons")
     excluded = K.dose_in_window(persons)
     return K.exclude_matched_sets(K.analysable(K.eligible(persons)), excluded).select("subject_id", "match")
 
@@ -276,7 +285,7 @@ def event_counts(spark, sf):
 
 @query
 def weighted_event_rates(spark, sf):
-    long = Z.at_risk(acute_long(weighted(spark, sf, ["segment"]), keep=[*LONG, "weight"]))
+    long = Z.at_risk(acute_long(weighted(spark, sf, ["segment"], FOLLOW_UP), keep=[*LONG, "weight"]))
     return rounded(R.weighted_event_rates(long, ["outcome", "group"]), "w_events", "pt", "rate")
 
 
@@ -315,7 +324,7 @@ def baseline_table(spark, sf):
 
 @query
 def baseline_table_weighted(spark, sf):
-    df = table_input(weighted(spark, sf, ["segment"]))
+    df = table_input(weighted(spark, sf, ["segment"], TABLE_VARIABLES))
     return rounded(tables.baseline_table(df, TABLE_VARIABLES, weight="weight"), *TABLE_NUMBERS)
 
 
@@ -335,40 +344,38 @@ def baseline_export(spark, sf):
 
 @query
 def weight_summary(spark, sf):
-    return rounded(tables.weight_summary(weighted(spark, sf, ["segment"])), "w_min", "w_max", "w_mean", "cv", "ess")
+    return rounded(tables.weight_summary(weighted(spark, sf, ["segment"], [])), "w_min", "w_max", "w_mean", "cv", "ess")
 
 
 @query
 def balance_table(spark, sf):
-    df = table_input(weighted(spark, sf, ["segment"]))
+    df = table_input(weighted(spark, sf, ["segment"], TABLE_VARIABLES))
     return rounded(tables.balance_table(df, TABLE_VARIABLES), "max_diff_un", "max_diff_adj")
 
 
 @query
 def balance_distribution(spark, sf):
-    df = weighted(spark, sf, ["segment"])
+    df = weighted(spark, sf, ["segment"], ["age"])
     both = {v: tables.balance_distribution(df, v) for v in ("age", "segment")}
     return rounded(concat_tables(both).withColumnRenamed("table_name", "variable"), "share_un", "share_adj")
 
 
 @query
 def numeric_summary(spark, sf):
-    out = quantiles.numeric_summary(weighted(spark, sf, ["segment"]), "weight")
+    out = quantiles.numeric_summary(weighted(spark, sf, ["segment"], []), "weight")
     return rounded(out, "min", "q1", "median", "mean", "q3", "max")
 
 
 @query
 def stacked_tables(spark, sf):
-    df = materialise(table_input(analysable(spark, sf)), "analysable")
-    both = {"all": df, "exposed": K.exposed_only(df)}
-    stacked = concat_tables({k: tables.baseline_table(v, ["age", "dx_mi"]) for k, v in both.items()})
-    return rounded(stacked, *TABLE_NUMBERS)
+    table = materialise(tables.baseline_table(table_input(analysable(spark, sf)), ["age", "dx_mi"]), "table1")
+    return rounded(concat_tables({"all": table, "exposed": table.where("group <> 'X'")}), *TABLE_NUMBERS)
 
 
 @query
 def phase_tables(spark, sf):
     """The four tables of a phase, stacked."""
-    parts = tables.phase_tables(table_input(weighted(spark, sf, ["segment"])), TABLE_VARIABLES)
+    parts = tables.phase_tables(table_input(weighted(spark, sf, ["segment"], TABLE_VARIABLES)), TABLE_VARIABLES)
     return rounded(concat_tables(parts), *TABLE_NUMBERS)
 
 
@@ -390,14 +397,14 @@ def definition_terms(spark, sf):
 @query
 def iptw_saturated(spark, sf):
     """With one categorical covariate the weight is the cell size over the cell's group size."""
-    df = weighted(spark, sf, ["segment"])
+    df = weighted(spark, sf, ["segment"], [])
     return rounded(df.select("subject_id", "segment", "group", "weight"), "weight")
 
 
 @query
 def propensity_scores(spark, sf):
     """Full model: expected group sizes within each covariate, which the maximum makes equal to the observed."""
-    rows = materialise(analysable(spark, sf), "ps")
+    rows = materialise(analysable(spark, sf).select("group", *TERMS), "ps")
     scored = weights.propensity_scores(rows, weights.fit_propensity(rows, TERMS))
     names = [f"ps_{g}" for g in S.DOSE_LEVELS]
     columns = [F.lit("all"), F.concat(F.lit("segment "), "segment"), F.concat(F.lit("sex "), "sex"), F.lit("age"), F.lit("score_cci")]
@@ -411,7 +418,7 @@ def propensity_scores(spark, sf):
 
 @query
 def propensity_multinomial(spark, sf):
-    df = weighted(spark, sf, TERMS)
+    df = weighted(spark, sf, TERMS, [])
     return rounded(tables.weight_summary(df), "w_min", "w_max", "w_mean", "cv", "ess")
 
 
