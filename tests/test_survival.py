@@ -139,10 +139,10 @@ def test_tie_sums_in_blocks(monkeypatch):
     assert whole.q1[2] == pytest.approx((f / (7 - f * 6.9) ** 2).sum())
 
 
+@pytest.mark.parametrize("d", [hazards.LONG_DAY + 1, 300_000])
 @pytest.mark.parametrize("share", [1e-9, 1e-3, 0.4, 0.999, 1.0])
-def test_days_with_many_events(share):
+def test_days_with_many_events(share, d):
     """The constant-time sums against all terms, also where everyone at risk dies that day."""
-    d = 300_000
     a, b = np.array([2.5e5]), np.array([2.5e5 * share])
     got = hazards.tie_sums(a, b, np.array([float(d)]))
     for name, values in hazards._terms(np.arange(d) / d, a[0], b[0]).items():
@@ -202,6 +202,17 @@ def test_fine_gray_risk_table_against_expansion(spark):
         assert row.g_before == pytest.approx(keep[row.time], rel=1e-10)
 
 
+@pytest.mark.parametrize("weight_censoring", [False, True])
+def test_spark_and_task_agree_on_fine_gray_risk(spark, weight_censoring):
+    df = subjects(competing=True)
+    table = V.fine_gray_risk_table(day_cells(spark, df), ["outcome"], weight_censoring=weight_censoring).toPandas()
+    rs = hazards.risk_sets(cells_of(df), GROUPS, True, competing=True, weight_censoring=weight_censoring)
+    day = np.searchsorted(rs.times, table["time"])
+    col = table["group"].map({g: i for i, g in enumerate(rs.groups)})
+    assert np.allclose(table["fg_risk"] * rs.scale, rs.risk[day, col], rtol=1e-10)
+    assert np.allclose(table["g_before"], rs.keep[day], rtol=1e-10)
+
+
 def test_curve_and_zero_survivors(spark):
     df = subjects(weighted=False)
     curve = V.survival_curve(day_cells(spark, df), ["outcome"]).toPandas()
