@@ -3,7 +3,6 @@
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from tideline import schema as S
 from tideline.functions import columns as C

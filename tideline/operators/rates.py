@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tideline.functions.gamma import poisson_limits
@@ -29,16 +29,12 @@ def weighted_event_rates(df: DataFrame, by: list[str], weight: str = "weight") -
 def counts_from_cells(cells: DataFrame, by: list[str]) -> DataFrame:
     """Both of the above from cells, without another pass over the subjects."""
     event = F.col("status") == 1
-
-    def total(c: Column) -> Column:
-        return F.sum(c)
-
     return cells.groupBy(*by).agg(
-        total(F.col("n")).alias("n"),
-        total(F.when(event, F.col("n")).otherwise(0)).alias("events"),
-        total(F.col("n") * F.col("time")).alias("fu"),
-        total(F.when(event, F.col("w")).otherwise(0.0)).alias("w_events"),
-        total(F.col("w") * F.col("time")).alias("pt"),
+        F.sum("n").alias("n"),
+        F.sum(F.when(event, F.col("n")).otherwise(0)).alias("events"),
+        F.sum(F.col("n") * F.col("time")).alias("fu"),
+        F.sum(F.when(event, F.col("w")).otherwise(0.0)).alias("w_events"),
+        F.sum(F.col("w") * F.col("time")).alias("pt"),
     ).withColumn("rate", F.try_divide("w_events", "pt"))
 
 
