@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.sources.stages import materialise
 
-__all__ = ["decisions_dropped", "fold", "kth_largest", "materialise", "only", "slices", "text_bytes"]
+__all__ = ["fold", "kth_largest", "materialise", "only", "slices", "text_bytes"]
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -78,8 +78,3 @@ def kth_largest(df: DataFrame, column: str, k: int, buckets: int = 4096, gather:
         if above >= k:
             return row.v
     return low
-
-
-def decisions_dropped(df: DataFrame, like: DataFrame) -> DataFrame:
-    """``df`` with the columns of ``like`` only, in their order."""
-    return df.select(*(F.col(f"`{c}`") for c in like.columns))

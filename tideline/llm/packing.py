@@ -18,13 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
+from tideline.llm.bpe import SAFE
 from tideline.llm.common import materialise, only, slices, text_bytes
 
-#: Words whose ids a worker remembers in each of two generations.
-MEMO = 350_000
-
-#: Words that go through the tokenizer in one call.
-CALL = 2_000
+#: Words whose ids a worker remembers in each of two generations, and characters of such a word at most.
+MEMO, SHORT = 600_000, 64
 
 #: Pieces of one length that are ranked together, on average.
 RANKED = 50_000
@@ -42,64 +40,68 @@ def tokenizer(path: str) -> Tokenizer:
     return loaded
 
 
-class Memo:
-    """Ids of words seen lately: when the younger generation is full, the older one is forgotten."""
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it is printable."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
-    def __init__(self, path: str):
-        self.path, self.young, self.old = path, {}, {}
 
-    def of(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of at least these words."""
-        if len(self.young) + len(words) > MEMO:
-            self.young, self.old = {}, self.young
-        fresh = []
-        for word in words.difference(self.young):
-            known = self.old.get(word)
-            if known is None:
-                fresh.append(word)
-            else:
-                self.young[word] = known
-        for k in range(0, len(fresh), CALL):
-            self.young.update(self._encoded(fresh[k : k + CALL]))
-        return self.young
+LETTERS = byte_letters()
 
-    def _encoded(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        found = tokenizer(self.path).encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        edges = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
-        return zip(words, (ids[a:b] for a, b in zip(edges, edges[1:])))
 
+def part_ids(part: str, coder: Tokenizer) -> list[int]:
+    """Ids of a short text; letters after at most one blank are one pre-token, which its merges take directly."""
+    if part.removeprefix(" ").isalpha():
+        return [t.id for t in coder.model.tokenize("".join([LETTERS[b] for b in part.encode()]))]
+    return coder.encode(part, add_special_tokens=False).ids
 
-@functools.lru_cache(maxsize=2)
-def memo_of(path: str) -> Memo:
-    return Memo(path)
 
+class Memo(dict):
+    """Ids of words as little-endian unsigned 32-bit numbers, each word after ``prefix``.
 
-#: White space followed by a blank: there the blank is no cut.
-RUN = re.compile(r"\s ")
+    Byte-level pre-tokens never hold white space after another character, and end where a run of letters or digits
+    ends; merges never cross such places. So words are looked up apart from each other, new ones in such
+    parts, and only parts not seen lately go through the tokenizer. When it is full, the younger generation takes
+    the place of the older one.
+    """
 
+    def __init__(self, path: str, prefix: str):
+        super().__init__()
+        self.path, self.prefix, self.old = path, prefix, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            whole = self.prefix + word
+            cut = SAFE.search(whole, len(self.prefix) + 1)
+            if cut:
+                ids = self[whole[len(self.prefix) : cut.start()]] + memo_of(self.path, "")[whole[cut.start() :]]
+            else:
+                ids = np.array(part_ids(whole, tokenizer(self.path)), "<u4").tobytes()
+        if len(word) <= SHORT:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
 
-@functools.lru_cache(maxsize=2)
-def tokenizer(path: str) -> Tokenizer:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark keeps the cores busy
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True  # their strings in a text are ordinary text
-    return loaded
 
+@functools.lru_cache(maxsize=4)
+def memo_of(path: str, prefix: str) -> Memo:
+    return Memo(path, prefix)
 
-@functools.lru_cache(maxsize=2)
-def _memo(path: str) -> dict[str, bytes]:
-    return {}
 
+#: White space followed by a blank: there the blank is no cut.
+RUN = re.compile(r"\s ")
 
-def words_apart(text: str) -> list[str]:
-    """The text cut before every blank that follows something other than white space.
 
-    Byte-level pre-tokens never hold white space after another character, so merges never cross such a cut.
-    """
+def encode_text(text: str, path: str) -> bytes:
+    """Ids of a text, equal to encoding it as a whole."""
     first, *rest = text.split(" ")
+    plain, after_blank = memo_of(path, ""), memo_of(path, " ")
     if first and not RUN.search(text):
-        return [first, *(" " + word for word in rest)]
+        return plain[first] + b"".join(map(after_blank.__getitem__, rest))
     words, glued = [first], not first or first[-1].isspace()
     for word in rest:
         if glued:
@@ -107,17 +109,7 @@ def words_apart(text: str) -> list[str]:
         else:
             words.append(" " + word)
         glued = not word or word[-1].isspace()
-    return words
-
-
-def encode_many(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit numbers.
-
-    Equal to encoding whole texts; each distinct word of a slice goes through the tokenizer once.
-    """
-    words = [words_apart(t) for t in texts]
-    known = memo_of(path).of(set().union(*words))
-    return [b"".join(map(known.__getitem__, w)) for w in words]
+    return b"".join(map(plain.__getitem__, words))
 
 
 def cut(
@@ -135,7 +127,7 @@ def cut(
         for batch in slices(batches, "text"):
             texts = [t.decode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             source, piece, start, ids = [], [], [], []
-            for row, found in enumerate(encode_many(texts, tokenizer_path)):
+            for row, found in enumerate(encode_text(t, tokenizer_path) for t in texts):
                 found += end
                 first = len(found) % width or width
                 edges = [0, *range(first, len(found) + 1, width)]
