@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,11 +51,24 @@ def byte_letters() -> list[str]:
 LETTERS = byte_letters()
 
 
-def part_ids(part: str, coder: Tokenizer) -> list[int]:
+@functools.lru_cache(maxsize=2)
+def merges(path: str):
+    return tokenizer(path).model
+
+
+def part_ids(part: str, path: str) -> bytes:
     """Ids of a short text; letters after at most one blank are one pre-token, which its merges take directly."""
-    if part.removeprefix(" ").isalpha():
-        return [t.id for t in coder.model.tokenize("".join([LETTERS[b] for b in part.encode()]))]
-    return coder.encode(part, add_special_tokens=False).ids
+    if not part.removeprefix(" ").isalpha():
+        ids = tokenizer(path).encode(part, add_special_tokens=False).ids
+    elif part.isascii():
+        ids = [t.id for t in merges(path).tokenize(part.replace(" ", LETTERS[32]))]
+    else:
+        ids = [t.id for t in merges(path).tokenize("".join([LETTERS[b] for b in part.encode()]))]
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: Letters at the start of a word (and a few signs that ``isalpha`` tells apart).
+RUN_OF_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Memo(dict):
@@ -70,15 +84,24 @@ class Memo(dict):
         super().__init__()
         self.path, self.prefix, self.old = path, prefix, {}
 
+    def cut(self, word: str) -> int:
+        """A safe place in the word; 0 for none."""
+        if word.isalpha():
+            return 0
+        start = RUN_OF_LETTERS.match(word)
+        if start and start.group().isalpha():
+            return start.end()
+        found = SAFE.search(self.prefix + word, len(self.prefix) + 1)
+        return found.start() - len(self.prefix) if found else 0
+
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            whole = self.prefix + word
-            cut = SAFE.search(whole, len(self.prefix) + 1)
+            cut = self.cut(word) if len(word) <= SHORT else 0
             if cut:
-                ids = self[whole[len(self.prefix) : cut.start()]] + memo_of(self.path, "")[whole[cut.start() :]]
+                ids = self[word[:cut]] + memo_of(self.path, "")[word[cut:]]
             else:
-                ids = np.array(part_ids(whole, tokenizer(self.path)), "<u4").tobytes()
+                ids = part_ids(self.prefix + word, self.path)
         if len(word) <= SHORT:
             if len(self) >= MEMO:
                 self.old = dict(self)
