@@ -136,7 +136,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     spark = docs.sparkSession
     anchored = F.col("text").rlike("(?i)" + "|".join(ANCHORS))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(anchored)
-    cut = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    cut = numbered.select("row", "doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
     known = _constant(spark, ["sentence", "id"], list(KNOWN.items()))
     ids = cut.join(known, "sentence").select("row", "doc_id", "pos", "id")
     rules = _constant(
