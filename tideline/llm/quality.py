@@ -18,6 +18,9 @@ BUCKETS = 10_000
 #: Labelled documents that the target model is fitted on, at most; every so many of them only help to choose k.
 SAMPLE, CALIBRATE = 8_000, 4
 
+#: A text weighs as much as if it had this many n-grams, so that its length says nothing about its quality.
+GRAMS = 100
+
 #: Documents with crc32(id) modulo this equal to 0 are not learned from.
 LEARN_FOLDS = 5
 
@@ -70,12 +73,18 @@ def model_of(texts: DataFrame) -> np.ndarray:
     return np.log(counts / counts.sum())
 
 
+def log_weight(text: str, ratio: np.ndarray) -> float:
+    """Log of target over raw probability, per ``GRAMS`` n-grams; 0 without any."""
+    buckets = buckets_of(text)
+    return float(GRAMS * ratio[buckets].mean()) if len(buckets) else 0.0
+
+
 def log_weights(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """Rows (row, text as bytes) as (row, log_weight): log of target over raw probability of the text."""
+    """Rows (row, text as bytes) as (row, log_weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [float(ratio[buckets_of(t.decode("utf-8", "replace"))].sum()) for t in batch.column("text").to_pylist()]
+            found = [log_weight(t.decode("utf-8", "replace"), ratio) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], ["row", "log_weight"])
 
     return rows.select("row", "text").mapInArrow(run, rows.select("row").schema.add("log_weight", "double"))
