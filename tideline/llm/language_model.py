@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -36,13 +37,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers as eight runs of bytes, so that small numbers compress well."""
-    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+def planes(numbers: np.ndarray, kind: str = "<u8") -> bytes:
+    """Unsigned numbers as runs of their first, second, ... bytes, compressed: small numbers take little."""
+    width = np.dtype(kind).itemsize
+    runs = np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(runs.tobytes())
 
 
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
+def unplanes(data: bytes, kind: str = "<u8") -> np.ndarray:
+    runs = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(runs.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def octaves(values: np.ndarray) -> np.ndarray:
@@ -109,7 +113,7 @@ class Block:
         return hashes[order], first[order], second[order], place[which]
 
 
-BLOCKS = "block string, doc_ids {ids}, tokens binary, lengths binary, learn binary, hashes binary"
+BLOCKS = "block string, n long, doc_ids {ids}, tokens binary, lengths binary, learn binary, hashes binary"
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +126,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made_of = Block.of_texts(rows.column("text").to_pylist(), rows.column("learn").to_pylist())
         ids = rows.column("doc_id").combine_chunks()
         ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        used = made_of.tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T
         return pa.RecordBatch.from_arrays(
-            [pa.array([f"{task}-{made}"]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-             pa.array([np.ascontiguousarray(used).tobytes()], pa.binary()), pa.array([made_of.lengths.tobytes()], pa.binary()),
+            [pa.array([f"{task}-{made}"]), pa.array([len(made_of.tokens)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+             pa.array([planes(made_of.tokens, "<u4")], pa.binary()), pa.array([made_of.lengths.tobytes()], pa.binary()),
              pa.array([made_of.learn.tobytes()], pa.binary()), pa.array([made_of.hashes.tobytes()], pa.binary())],
-            ["block", "doc_ids", "tokens", "lengths", "learn", "hashes"],
+            ["block", "n", "doc_ids", "tokens", "lengths", "learn", "hashes"],
         )
 
     size = 0
@@ -143,8 +146,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def unpack(row: dict) -> Block:
-    tokens = np.ascontiguousarray(np.frombuffer(row["tokens"], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    return Block(tokens, np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["learn"], bool), np.frombuffer(row["hashes"], np.uint64))
+    return Block(unplanes(row["tokens"], "<u4"), np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["learn"], bool), np.frombuffer(row["hashes"], np.uint64))
 
 
 # --- exchange with hash ranges ------------------------------------------------------------------------------------
@@ -344,7 +346,7 @@ def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     blocks = materialise(rows.mapInArrow(_gather, BLOCKS.format(ids=f"array<{kind}>")), "text-blocks")
-    size = blocks.agg(F.sum(F.octet_length("tokens") / 4), F.sum(F.octet_length("hashes") / 8)).first()
+    size = blocks.agg(F.sum("n"), F.sum(F.octet_length("hashes") / 8)).first()
     ranges = [max(1, round((n or 0) / RANGE)) for n in size]
 
     light = blocks.select("block", "tokens", "lengths", "learn", "hashes")
