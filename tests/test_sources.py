@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideline import schema as S
 from tideline.operators import cohort as K
@@ -33,8 +34,20 @@ def test_stage_round_trip_prunes_partitions(spark, tmp_path):
     back = read_stage(spark, path, phase="acute")
     assert [r["id"] for r in back.collect()] == [1]
     assert "PartitionFilters: [isnotnull(phase" in plan(back)
-    write_stage(df.where("id = 2"), path, ["phase", "subgroup"])
-    assert read_stage(spark, path).count() == 1
+    write_stage(df.where("id = 2").withColumn("id", F.lit(3)), path, ["phase", "subgroup"])
+    assert sorted(r["id"] for r in read_stage(spark, path).collect()) == [1, 3]  # the other partition stays
+
+
+def test_cohort_without_required_columns_is_refused(spark, sf_dir, tmp_path):
+    df = person_table(spark, sf_dir)
+    df.drop("hx_cv_major").write.parquet(str(tmp_path / "less"))
+    with pytest.raises(ValueError, match="hx_cv_major"):
+        read_cohort(spark, str(tmp_path / "less"))
+    df.withColumn("sex", F.lit(1)).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="sex string"):
+        read_cohort(spark, str(tmp_path / "other"))
+    df.write.parquet(str(tmp_path / "more"))
+    assert read_cohort(spark, str(tmp_path / "more"), "1998-03-01").columns == [*S.PERSON_SCHEMA.names, "segment"]
 
 
 def test_definitions(spark, tmp_path):

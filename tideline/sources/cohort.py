@@ -16,8 +16,17 @@ def read_cohort(
     min_index_date: str = S.STUDY_START,
     schema: T.StructType = S.PERSON_SCHEMA,
 ) -> DataFrame:
-    """Person rows with an index date from ``min_index_date`` on; the filter reaches the Parquet scan."""
-    return index_from(spark.read.schema(schema).parquet(path), min_index_date)
+    """Person rows with an index date from ``min_index_date`` on; the filter reaches the Parquet scan.
+
+    The file must have every column of ``schema`` in its type; further columns (covariates) are kept after them.
+    """
+    found = spark.read.parquet(path)
+    kinds = {f.name: f.dataType for f in found.schema}
+    wrong = [f"{f.name} {f.dataType.simpleString()}" for f in schema if kinds.get(f.name) != f.dataType]
+    if wrong:
+        raise ValueError(f"{path} lacks these columns, or has them in another type: {', '.join(wrong)}")
+    more = [c for c in found.columns if c not in schema.names]
+    return index_from(found.select(*schema.names, *more), min_index_date)
 
 
 def snake_name(name: str) -> str:

@@ -10,10 +10,13 @@ from tideline.session import shared_folder
 
 
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Overwrite a stage; variant, phase and subgroup belong in ``partition_by``, not in the path."""
+    """Overwrite a stage; variant, phase and subgroup belong in ``partition_by``, not in the path.
+
+    With ``partition_by`` only the partitions that ``df`` has rows of are replaced, so stages live side by side.
+    """
     writer = df.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 
