@@ -113,11 +113,10 @@ def test_export_labels(df, spark):
     assert {"sex = F (%)", "sex = M (%)"} <= {r["Name"] for r in every.collect()}
 
 
-@pytest.mark.parametrize("limit", [100_000, 50])
-def test_quantiles_by_buckets(spark, monkeypatch, limit):
-    """With a small collect limit the buckets are refined; a third of all rows is one value."""
-    monkeypatch.setattr(quantiles, "COLLECT_ROWS", limit)
-    monkeypatch.setattr(quantiles, "BUCKETS", 10)
+@pytest.mark.parametrize("buckets", [100_000, 100])
+def test_quantiles_by_buckets(spark, monkeypatch, buckets):
+    """With few buckets they are cut again; a third of all rows is one value."""
+    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.exponential(1, 2000), np.full(1000, 0.75)])
     got = quantiles.numeric_summary(spark.createDataFrame(pd.DataFrame({"x": x})), "x").first()
@@ -128,3 +127,39 @@ def test_quantiles_by_buckets(spark, monkeypatch, limit):
 def test_quantiles_of_nothing(spark):
     got = quantiles.numeric_summary(spark.createDataFrame([(None,)], "x double"), "x").first()
     assert got["n"] == 0 and got["median"] is None
+
+
+@pytest.mark.parametrize("n", [900, 20_000])
+def test_summary_treats_nan_as_missing_at_every_size(spark, n):
+    df = spark.range(n).select(F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(F.col("id") * 0.5).alias("x"))
+    got = quantiles.numeric_summary(df.unionByName(spark.createDataFrame([(float("inf"),)], "x double")), "x").first()
+    x = np.sort(np.append(np.delete(np.arange(n) * 0.5, 7), np.inf))
+    assert (got["n"], got["min"], got["max"]) == (n, 0.0, np.inf)
+    assert [got[k] for k in ("q1", "median", "q3")] == [np.quantile(x[:-1], 0.0) + v for v in _quartiles(x)]
+
+
+def _quartiles(x):
+    out = []
+    for p in (0.25, 0.5, 0.75):
+        h = (len(x) - 1) * p
+        low, high = x[int(np.floor(h))], x[int(np.ceil(h))]
+        out.append(low + (high - low) * (h - np.floor(h)))
+    return out
+
+
+def test_weighted_sd_keeps_its_digits(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"group": rng.choice(LEVELS, 400), "x": 1e9 + rng.normal(0, 12, 400), "w": rng.uniform(0.5, 3, 400)})
+    table = tables.baseline_table(spark.createDataFrame(pdf), ["x"], weight="w").toPandas()
+    mine = pdf[pdf["group"] == "X"]
+    n, mean = len(mine), np.average(mine["x"], weights=mine["w"])
+    want = np.sqrt(np.average((mine["x"] - mean) ** 2, weights=mine["w"]) * n / (n - 1))
+    assert one(table, "x")["sd"] == pytest.approx(want, rel=1e-6)
+
+
+def test_export_names_with_blanks_and_hyphens(spark):
+    df = spark.createDataFrame([("X", 20.0, "a = b"), ("1d", 30.0, "c"), ("2d", 31.0, "a = b")], "`group` string, `body-mass index` double, area string")
+    table = tables.baseline_table(df, ["body-mass index", "area"])
+    defs = spark.createDataFrame([("body-mass index", "BMI, kg/m2")], S.TABLE1_SCHEMA)
+    names = {r["Name"] for r in tables.baseline_export(table, defs, ["body-mass index", "area"], LEVELS, all_levels=True).collect()}
+    assert names == {"n", "BMI, kg/m2 (mean (SD))", "area = a = b (%)", "area = c (%)"}

@@ -9,21 +9,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from tideline.sources.stages import materialise
 
-COLLECT_ROWS = 100_000
 BUCKETS = 1000
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    """Distinct non-NULL values with their counts, written once for the passes over them."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
+    """Distinct values with their counts, written once for the passes over them; NULL and NaN are missing."""
+    value = F.col(col).cast("double")
+    counts = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("v"))
     return materialise(counts.agg(F.count(F.lit(1)).alias("c")), "values")
 
 
 def order_statistics(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
     """The values at 0-based ranks of the sorted column behind ``counts``.
 
-    While the distinct values left are too many to collect, they are cut into about a thousand equal
-    buckets and only the buckets that hold a wanted rank are looked into.
+    The distinct values are cut into about a thousand equal buckets and only the buckets that hold a wanted rank
+    are cut again, until a bucket has no more values than that; the values of these buckets are all that is collected.
     """
     return _select(counts, sorted(set(ranks)))
 
@@ -31,8 +31,8 @@ def order_statistics(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
 def _select(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
     if not ranks:
         return {}
-    rows = counts.limit(COLLECT_ROWS + 1).collect()
-    if len(rows) <= COLLECT_ROWS:
+    rows = counts.limit(BUCKETS + 1).collect()
+    if len(rows) <= BUCKETS:
         found, seen = {}, 0
         pending = iter(ranks)
         rank = next(pending, None)
@@ -43,7 +43,7 @@ def _select(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
                 rank = next(pending, None)
         return found
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = sorted(set(counts.approxQuantile("v", probs, 1 / (10 * BUCKETS))))
+    cuts = sorted({c for c in counts.approxQuantile("v", probs, 1 / (10 * BUCKETS)) if math.isfinite(c)})
     bucketed = Bucketizer(
         splits=[-math.inf, *cuts, math.inf], inputCol="v", outputCol="bucket"
     ).transform(counts)
@@ -59,7 +59,7 @@ def _select(counts: DataFrame, ranks: list[int]) -> dict[int, float]:
 
 
 def numeric_summary(df: DataFrame, col: str) -> DataFrame:
-    """Minimum, quartiles, median, mean and maximum; quartiles interpolate between order statistics."""
+    """Minimum, quartiles, median, mean and maximum of the values that are neither NULL nor NaN; quartiles interpolate."""
     counts = value_counts(df, col)
     stats = counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
@@ -31,6 +33,13 @@ def _summaries(df: DataFrame, variables: list[str], by: list[str], weights: dict
     """
     numeric, flags, texts = _kinds(df, variables)
     w_of = {s: F.lit(1.0) if w is None else w for s, w in weights.items()}
+    centred = numeric and any(w is not None for w in weights.values())
+    if centred:  # squares are taken from the group's mean, so that large values keep their digits
+        means = df.groupBy(*by).agg(*[F.avg(F.col(v).cast("double")).alias(f"at_{v}") for v in numeric])
+        keys = [F.col(f"_{i}").eqNullSafe(F.col(f"d.{b}")) for i, b in enumerate(by)]
+        means = means.select(*[F.col(b).alias(f"_{i}") for i, b in enumerate(by)], *[f"at_{v}" for v in numeric])
+        df = df.alias("d").join(means, reduce(and_, keys))
+        df = df.drop(*[f"_{i}" for i in range(len(by))])
     aggregates = []
     for s, w in w_of.items():
         aggregates.append(F.sum(w).alias(f"w{s}"))
@@ -40,7 +49,8 @@ def _summaries(df: DataFrame, variables: list[str], by: list[str], weights: dict
                 F.sum(F.when(x.isNotNull(), w)).alias(f"w_{v}{s}"),
                 F.sum(w * x).alias(f"wx_{v}{s}"),
                 F.count(x).alias(f"n_{v}{s}"),
-                (F.var_samp(x) if weights[s] is None else F.sum(w * x * x)).alias(f"v_{v}{s}"),
+                (F.var_samp(x) if weights[s] is None else F.sum(w * (x - F.col(f"at_{v}")) ** 2)).alias(f"v_{v}{s}"),
+                *([] if weights[s] is None else [F.sum(w * (x - F.col(f"at_{v}"))).alias(f"off_{v}{s}")]),
             ]
         for v in flags:
             aggregates += [
@@ -63,7 +73,8 @@ def _summaries(df: DataFrame, variables: list[str], by: list[str], weights: dict
             mean = F.try_divide(f"wx_{v}{s}", f"w_{v}{s}")
             variance = F.col(f"v_{v}{s}")
             if weights[s] is not None:
-                spread = F.greatest(F.try_divide(variance, total) - mean * mean, F.lit(0.0))
+                off = F.try_divide(f"off_{v}{s}", f"w_{v}{s}")  # from the plain mean to the weighted one
+                spread = F.greatest(F.try_divide(variance, total) - off * off, F.lit(0.0))
                 variance = spread * F.try_divide(n, n - 1)
             return {"n": total, "mean": mean, "sd": F.sqrt(variance)}
 
@@ -257,37 +268,33 @@ def baseline_export(
 ) -> DataFrame:
     """Print form of a baseline table: one row per label, one text column per group, and the SMD.
 
-    Labels are built as ``name (mean (SD))``, ``name (%)`` or ``name = level (%)``; the leading name is
-    then replaced by its description where there is one. Of a variable with two levels only the second is
+    Labels are ``name (mean (SD))``, ``name (%)`` or ``name = level (%)``, with the description in place of the
+    name where the variable has one. Of a variable with two levels only the second is
     shown, without its name, unless ``all_levels`` is set. Weighted counts want ``count_digits=1``.
     """
     kind = F.col("kind")
-    levels_of = F.collect_set("level").over(Window.partitionBy("variable"))
-    table = table.withColumn("levels", F.sort_array(levels_of))
-    single = (kind == "flag") | ((kind == "category") & (F.size("levels") == 2) & F.lit(not all_levels))
-    table = table.where(~(single & (F.size("levels") == 2)) | (F.col("level") == F.get("levels", F.lit(1))))
-    label = (
-        F.when(kind == "size", F.col("variable"))
-        .when(kind == "numeric", F.concat("variable", F.lit(" (mean (SD))")))
-        .when(single, F.concat("variable", F.lit(" (%)")))
-        .otherwise(F.concat("variable", F.lit(" = "), "level", F.lit(" (%)")))
+    known = table.groupBy("variable").agg(F.count_distinct("level").alias("levels"), F.max("level").alias("last"))
+    table = table.join(known, "variable")
+    single = (kind == "flag") | ((kind == "category") & (F.col("levels") == 2) & F.lit(not all_levels))
+    table = table.where(~(single & (F.col("levels") == 2)) | (F.col("level") == F.col("last")))
+    suffix = (
+        F.when(kind == "size", F.lit(""))
+        .when(kind == "numeric", F.lit(" (mean (SD))"))
+        .when(single, F.lit(" (%)"))
+        .otherwise(F.concat(F.lit(" = "), "level", F.lit(" (%)")))
     )
     cell = (
         F.when(kind == "size", _fixed(F.col("count"), count_digits))
         .when(kind == "numeric", F.concat(_fixed(F.col("mean"), 2), F.lit(" ("), _fixed(F.col("sd"), 2), F.lit(")")))
         .otherwise(F.concat(_fixed(F.col("count"), count_digits), F.lit(" ("), _fixed(F.col("pct"), 1), F.lit(")")))
     )
-    cells = table.select("variable", "level", "group", label.alias("label"), cell.alias("cell"))
-    rows = cells.groupBy("variable", "level", "label").agg(
+    cells = table.select("variable", "level", "group", suffix.alias("suffix"), cell.alias("cell"))
+    rows = cells.groupBy("variable", "level", "suffix").agg(
         *[F.max(F.when(F.col("group") == g, F.col("cell"))).alias(f"group_{g}") for g in levels]
     )
-    pattern = "^([a-zA-Z0-9._]+)"
-    named = rows.withColumns(
-        {"Name": F.regexp_extract("label", pattern, 1), "suffix": F.regexp_replace("label", pattern, "")}
-    )
-    labelled = label_rows(named, add_total_row(defs))
+    labelled = label_rows(rows, add_total_row(defs), key="variable")
     if smds is not None:
         labelled = labelled.join(smds, "variable", "left").withColumn("smd", _fixed(F.col("smd"), 3))
-    out = labelled.withColumn("Name", F.coalesce(F.concat("Description", "suffix"), F.col("label")))
+    out = labelled.withColumn("Name", F.concat(F.coalesce("Description", "variable"), "suffix"))
     extra = ["smd"] if smds is not None else []
     return keep_order(out, variables).select("row_order", "level", "Name", *[f"group_{g}" for g in levels], *extra)
