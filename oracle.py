@@ -661,7 +661,7 @@ ORACLE["analysis_grid_saturated"] = sql(
     f"""SELECT split_part(c.outcome, '|', 1) AS variant, split_part(c.outcome, '|', 2) AS subgroup,
       split_part(c.outcome, '|', 3) AS phase, split_part(c.outcome, '|', 4) AS outcome, c."group", n, events,
       {r3('w_events')} AS w_events, {r3('pt')} AS pt, {r6('w_events / pt')} AS rate, {r6('lo / pt')} AS rate_lo,
-      {r6('hi / pt')} AS rate_hi, {HR_OUT}
+      {r6('hi / pt')} AS rate_hi, {HR_OUT}, CAST(0 AS BIGINT) AS n_missing
     FROM counts c JOIN p_lim ON x = w_events LEFT JOIN hr ON hr.outcome = c.outcome AND hr."group" = c."group\"""",
     *_ctes, _KEYED, _KEYED_CELLS, _KEYED_COUNTS, gamma_limits("p", "counts", "w_events"), KEEP, GRID, TIES, NEWTON,
     SANDWICH, ROBUST_SE,
@@ -717,3 +717,54 @@ ORACLE["ph_test"] = sql(
         "1 - list_sum([exp(-chisq / 2 + (df / 2 + k) * ln(chisq / 2) - lgamma(df / 2 + k + 1)) FOR k IN range(0, 400)])")} AS p FROM chi""",
     *WEIGHTED_FIT, PH,
 )
+
+# The same analyses without weights, and their proportional-hazards tests, but for the competing model.
+_NAMES = """split_part({c}outcome, '|', 1) AS variant, split_part({c}outcome, '|', 2) AS subgroup,
+  split_part({c}outcome, '|', 3) AS phase, split_part({c}outcome, '|', 4) AS outcome"""
+_PLAIN = """cells AS MATERIALIZED (SELECT outcome, "group", "time" AS t, status, count(*) AS n, {w} AS w, {w2} AS w2
+  FROM keyed WHERE outcome NOT LIKE 'competing|%' GROUP BY ALL)"""
+ORACLE["analysis_crude_saturated"] = sql(
+    f"""SELECT {_NAMES.format(c='c.')}, c."group", {', '.join(f'{r6(c)} AS crude_{c}' for c in ('log_hr', 'se', 'hr', 'hr_lo', 'hr_hi'))}
+    FROM (SELECT DISTINCT outcome, "group" FROM cells) c LEFT JOIN hr ON hr.outcome = c.outcome AND hr."group" = c."group\"""",
+    *_ctes, _KEYED, _PLAIN.format(w="count(*)::DOUBLE", w2="count(*)::DOUBLE"), NO_KEEP, GRID, TIES, NEWTON, MODEL_SE,
+)
+ORACLE["analysis_ph_saturated"] = sql(
+    f"""SELECT {_NAMES.format(c='')}, term, {r6('chisq')} AS chisq, CAST(df AS INTEGER) AS df, {r6(
+        "1 - list_sum([exp(-chisq / 2 + (df / 2 + k) * ln(chisq / 2) - lgamma(df / 2 + k + 1)) FOR k IN range(0, 400)])")} AS p FROM chi
+    WHERE outcome IN (SELECT outcome FROM had WHERE e0 > 0) AND df > 0
+      AND outcome NOT IN (SELECT outcome FROM hr WHERE abs(log_hr) = 'inf'::DOUBLE)""",
+    *_ctes, _KEYED, _PLAIN.format(w="sum(weight)", w2="sum(weight * weight)"), NO_KEEP, GRID, TIES, NEWTON, MODEL_SE, PH,
+)
+
+# Every fifth subject without the covariate.
+ORACLE["analysis_missing_covariate"] = sql(
+    f"""SELECT c.outcome, c."group", n, events, n_missing, {r3('w_events')} AS w_events, {r3('pt')} AS pt,
+      {r6('w_events / nullif(pt, 0)')} AS rate, {r6('lo / nullif(pt, 0)')} AS rate_lo, {r6('hi / nullif(pt, 0)')} AS rate_hi, {HR_OUT}
+    FROM counts c JOIN p_lim ON x = w_events LEFT JOIN hr ON hr.outcome = c.outcome AND hr."group" = c."group\"""",
+    """partly AS MATERIALIZED (SELECT * EXCLUDE (segment), CASE WHEN subject_id % 5 <> 0 THEN segment END AS segment FROM ana)""",
+    """partly_w AS MATERIALIZED (SELECT *, CASE WHEN segment IS NOT NULL THEN CAST(count(*) OVER (PARTITION BY segment) AS DOUBLE)
+      / count(*) OVER (PARTITION BY segment, "group") END AS weight FROM partly)""",
+    censored("partly_w", "follow", ACUTE_BOUND, False, MAIN, extra=", weight"),
+    CELLS.format(status="status", w="weight", where="WHERE weight IS NOT NULL"),
+    """counts AS MATERIALIZED (SELECT outcome, "group", count(weight) AS n,
+      CAST(sum(CASE WHEN weight IS NOT NULL THEN status ELSE 0 END) AS BIGINT) AS events, count(*) - count(weight) AS n_missing,
+      coalesce(sum(weight * status), 0) AS w_events, coalesce(sum(weight * "time"), 0) AS pt FROM follow GROUP BY outcome, "group")""",
+    gamma_limits("p", "counts", "w_events"), NO_KEEP, GRID, TIES, NEWTON, SANDWICH, ROBUST_SE,
+)
+
+# Files: what was written is what is read back.
+ORACLE["read_cohort"] = sql("""SELECT subject_id, index_date, sex, birth_year, hx_cv_major, outcome_death_date, segment
+FROM person WHERE index_date >= DATE '1998-03-01'""")
+ORACLE["stage_round_trip"] = sql("""SELECT subject_id, "group", age, 'ge65' AS subgroup FROM ana WHERE age >= 65
+UNION ALL SELECT subject_id, "group", age, 'l65' FROM ana WHERE age < 65""")
+ORACLE["definitions_round_trip"] = """SELECT p_name AS "Name", CAST(p_size % 7 AS INTEGER) AS "Set" FROM part"""
+ORACLE["tables_round_trip"] = """SELECT 'first' AS table_name, n_nationkey AS id, n_name AS name FROM nation
+UNION ALL SELECT 'second', r_regionkey, r_name FROM region"""
+ORACLE["report_round_trip"] = sql("""SELECT outcome, "group", count(*) AS n, CAST(sum(status) AS BIGINT) AS events,
+CAST(sum("time") AS BIGINT) AS fu FROM acute GROUP BY outcome, "group\"""", ACUTE)
+ORACLE["propensity_terms"] = """SELECT p_name AS name, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS place
+FROM part WHERE p_partkey <= 60 AND p_partkey % 10 <> 0 AND p_size % 7 <= 4"""
+ORACLE["level_order"] = sql("""SELECT outcome, "group", CAST(row_number() OVER (
+  ORDER BY outcome, list_position(['X', '1d', '2d', '3d'], "group")) - 1 AS INTEGER) AS row_no
+FROM (SELECT DISTINCT outcome, "group" FROM acute)""", ACUTE)
+ORACLE["ps_assess"] = ORACLE["balance_table"]

@@ -108,3 +108,25 @@ def test_too_many_levels_fail(spark):
 def test_terms(spark):
     defs = spark.createDataFrame([("a", 1), (None, 1), ("b", 5), ("c", 4)], S.PS_SCHEMA)
     assert weights.ps_terms(defs, 4) == ["a", "c"]
+
+
+def test_a_fit_that_does_not_converge_raises(spark):
+    with pytest.raises(RuntimeError, match="did not converge in 2 steps: p, q"):
+        weights.fit_propensity(spark.createDataFrame(people()), ["age", "area"], levels=LEVELS, by="half", max_iter=2)
+
+
+def test_rows_without_a_covariate_leave_the_cells(spark):
+    from tideline.operators import survival
+
+    df = people(300).assign(time=[1 + i % 40 for i in range(300)], status=[int(i % 3 == 0) for i in range(300)])
+    df.loc[::5, "area"] = None
+    sdf = spark.createDataFrame(df.astype({"time": "int32"})).withColumn("time", F.col("time").cast("int"))
+    with_weight = weights.iptw_weights(sdf, weights.fit_propensity(sdf, ["area"], levels=LEVELS))
+    cells = survival.survival_cells(with_weight, [], "weight")
+    sums = cells.agg(F.sum("n"), F.sum("n_missing")).first()
+    assert tuple(sums) == (240, 60)
+    keyed = cells.withColumn("k", F.lit(1))
+    got = {r["group"]: r["log_hr"] for r in survival.cox_ph(keyed, ["k"], LEVELS, weighted=True).collect()}
+    few = survival.survival_cells(with_weight.where("weight IS NOT NULL"), [], "weight").withColumn("k", F.lit(1))
+    want = {r["group"]: r["log_hr"] for r in survival.cox_ph(few, ["k"], LEVELS, weighted=True).collect()}
+    assert got == pytest.approx(want) and all(v is not None for g, v in got.items() if g != "X")

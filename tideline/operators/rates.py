@@ -35,6 +35,7 @@ def counts_from_cells(cells: DataFrame, by: list[str]) -> DataFrame:
         F.sum(F.col("n") * F.col("time")).alias("fu"),
         F.sum(F.when(event, F.col("w")).otherwise(0.0)).alias("w_events"),
         F.sum(F.col("w") * F.col("time")).alias("pt"),
+        F.sum("n_missing").alias("n_missing"),
     ).withColumn("rate", F.try_divide("w_events", "pt"))
 
 

@@ -16,13 +16,16 @@ from tideline.functions import gamma, hazards
 def survival_cells(df: DataFrame, by: list[str], weight: str | None = None, status: str = "status") -> DataFrame:
     """(by, group, time, status) -> n, w, w2: all that rates, Cox and Fine-Gray need of the subjects.
 
-    Time must be whole days, which bounds the cells per key by days x statuses x groups.
+    Time must be whole days, which bounds the cells per key by days x statuses x groups. Subjects without a
+    weight (a covariate of theirs is missing) take no part in n, w and w2; ``n_missing`` counts them.
     """
     if not isinstance(df.schema["time"].dataType, (T.IntegerType, T.ShortType, T.LongType)):
         raise TypeError("time must be whole days")
     w = F.col(weight) if weight else F.lit(1.0)
+    none = F.lit(0.0)
     return df.groupBy(*by, "group", "time", F.col(status).alias("status")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"), F.sum(w * w).alias("w2")
+        F.count(w).alias("n"), F.coalesce(F.sum(w), none).alias("w"), F.coalesce(F.sum(w * w), none).alias("w2"),
+        F.count_if(w.isNull()).alias("n_missing"),
     )
 
 
@@ -32,7 +35,7 @@ def _at(status: int, value: str) -> Column:
 
 def risk_table(cells: DataFrame, by: list[str]) -> DataFrame:
     """Per key, group and day: events and what is still at risk (rows and weights)."""
-    daily = cells.groupBy(*by, "group", "time").agg(
+    daily = cells.where("n > 0").groupBy(*by, "group", "time").agg(
         _at(1, "n").alias("n_event"), _at(1, "w").alias("w_event"), F.sum("n").alias("n_day"), F.sum("w").alias("w_day")
     )
     onwards = Window.partitionBy(*by, "group").orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -64,6 +67,7 @@ def fine_gray_risk_table(
     survival of the censoring time (events before censorings on the same day). Summed over subjects this
     is a running sum over days, so no subject is expanded into rows.
     """
+    cells = cells.where("n > 0")
     base = "w" if weight_censoring else "n"
     day = Window.partitionBy(*by).orderBy("time")
     onwards = Window.partitionBy(*by).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -111,7 +115,7 @@ def _per_key(cells: DataFrame, by: list[str], solve, schema: str) -> DataFrame:
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    needed = cells.where(F.col("group").isNotNull()).select(*by, "group", "time", "status", "n", "w", "w2")
+    needed = cells.where(F.col("group").isNotNull() & (F.col("n") > 0)).select(*by, "group", "time", "status", "n", "w", "w2")
     return needed.groupBy(*by).applyInPandas(run, f"{key_schema}, {schema}")
 
 

@@ -20,18 +20,14 @@ from tideline import schema as S
 from tideline.sources.definitions import definition_filter
 from tideline.sources.stages import materialise
 
-MAX_LEVELS = 1000
-MAX_TERMS = 10_000
+MAX_LEVELS = 1000  # of a covariate: the fit works on one column per level
 TOLERANCE = 1e-10
 JUMP = 27.0
 
 
 def ps_terms(defs: DataFrame, level: int = 4) -> list[str]:
     """Names of the covariates in the sets up to ``level``, in sheet order."""
-    rows = definition_filter(defs, level).select("Name").limit(MAX_TERMS + 1).collect()
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"a propensity model takes at most {MAX_TERMS} terms")
-    return [r[0] for r in rows]
+    return [r[0] for r in definition_filter(defs, level).select("Name").collect()]  # names of columns
 
 
 @dataclass(frozen=True)
@@ -81,7 +77,7 @@ def _describe(cells: DataFrame, terms: list[str]) -> tuple[Term, ...]:
     count = F.col("n_cell")
     sizes = cells.agg(
         F.sum(count).alias("total"),
-        *[F.approx_count_distinct(t).alias(f"d_{t}") for t in categorical],
+        *[F.count_distinct(F.col(t)).alias(f"d_{t}") for t in categorical],
         *[F.sum(count * F.col(t)).cast("double").alias(f"s_{t}") for t in numeric],
     ).first()
     wide = [t for t in categorical if sizes[f"d_{t}"] > MAX_LEVELS]
@@ -161,12 +157,13 @@ def fit_propensity(
     group: str = "group",
     levels: list[str] = S.DOSE_LEVELS,
     by: str | None = None,
-    max_iter: int = 50,
+    max_iter: int = 100,
 ) -> PropensityModel:
     """Maximum-likelihood multinomial logit of ``group`` on ``terms``, one fit per value of ``by``.
 
     Newton steps with halving, all fits in the same passes. Rows with a NULL exposure or covariate do not
-    enter. Levels without subjects in a fit get probability 0.
+    enter. Levels without subjects in a fit get probability 0. A fit that has not converged after ``max_iter``
+    steps (halvings not counted) raises; no weights come from it.
     """
     columns = list(dict.fromkeys([*terms, group]))
     fit_key = F.col(by).cast("string") if by else F.lit("all")
@@ -203,10 +200,11 @@ def fit_propensity(
     loglik: dict[str, float] = {}
     jumped: set[str] = set()
     last: dict[str, np.ndarray] = {}
-    for _ in range(max_iter):
-        active = [k for k in coefs if not converged[k]]
-        if not active:
-            break
+    steps = dict.fromkeys(coefs, 0)
+    while active := [k for k in coefs if not converged[k]]:
+        late = [k for k in active if steps[k] >= max_iter]
+        if late:
+            raise RuntimeError(f"propensity fits that did not converge in {max_iter} steps: {', '.join(late)}")
         trial = {k: coefs[k] + step[k] for k in active}
         sums = _pass(design.where(F.col("fit").isin(active)), trial, width, n_levels)
         for key in active:
@@ -217,6 +215,7 @@ def fit_propensity(
                 continue
             gained = value - state.get(key, -np.inf)
             coefs[key], state[key], halvings[key] = trial[key], value, 0
+            steps[key] += 1
             loglik[key] = value
             i = free[key]
             delta = np.linalg.lstsq(info[np.ix_(i, i)], score[i], rcond=1e-12)[0]

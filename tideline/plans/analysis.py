@@ -171,19 +171,48 @@ def result_table(
     counts = rates.counts_from_cells(cells, [*by, "group"])
     # The cells of a weight-free table carry weight 1, so its rates are the crude ones.
     rate = rates.poisson_rate_ci(counts, level=level, floor_events=floor_events)
-    fit = survival.cox_ph(cells, by, levels, weighted, competing=competing)
-    hr = survival.hazard_ratios(fit, level).select(*by, "group", "log_hr", "se", "hr", "hr_lo", "hr_hi")
+    fit = survival.hazard_ratios(survival.cox_ph(cells, by, levels, weighted, competing=competing), level)
+    hr = fit.select(*by, "group", "log_hr", "se", "se_model", "hr", "hr_lo", "hr_hi", "converged")
     return rates.assemble(rate, hr, [*by, "group"])
 
 
+def crude_ratios(cells: DataFrame, by: list[str], competing: bool = False, level: float = 0.95) -> DataFrame:
+    """Hazard ratios without weights, from the counts in the same cells."""
+    fit = survival.hazard_ratios(survival.cox_ph(cells, by, weighted=False, variance="model", competing=competing), level)
+    names = ["log_hr", "se", "hr", "hr_lo", "hr_hi", "converged"]
+    return fit.select(*by, "group", *[F.col(c).alias(f"crude_{c}") for c in names])
+
+
+def _parts(cells: DataFrame, variants: list[Variant], make) -> DataFrame:
+    """``make(cells, competing)`` for the variants with and without the competing model, stacked."""
+    parts = [make(cells.where(F.col("competing_model") == c), c) for c in sorted({v.competing for v in variants})]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def written_cells(
+    cohort: DataFrame, terms: list[str], variants: list[Variant] = VARIANTS, study_end: str = S.STUDY_END
+) -> DataFrame:
+    """The cells of all variants as a written table, for ``results_of`` and ``ph_of``."""
+    return materialise(analysis_cells(cohort, terms, variants, study_end), "cells")
+
+
+def results_of(cells: DataFrame, variants: list[Variant] = VARIANTS, level: float = 0.95) -> DataFrame:
+    """The long result: counts, weighted rates with limits, weighted and crude hazard ratios per group."""
+    def make(part: DataFrame, competing: bool) -> DataFrame:
+        adjusted = result_table(part, KEY, competing=competing, level=level)
+        return rates.assemble(adjusted, crude_ratios(part, KEY, competing, level), [*KEY, "group"])
+
+    return _parts(cells, variants, make).select(*S.RESULT_COLUMNS)
+
+
+def ph_of(cells: DataFrame, variants: list[Variant] = VARIANTS) -> DataFrame:
+    """The proportional-hazards test of every weighted fit: a row per group and one for all."""
+    return _parts(cells, variants, lambda part, competing: survival.ph_test(part, KEY, competing=competing))
+
+
 def run_analysis(
     cohort: DataFrame, terms: list[str], variants: list[Variant] = VARIANTS, study_end: str = S.STUDY_END,
     level: float = 0.95,
 ) -> DataFrame:
-    """The long result of all variants: counts, weighted rates with limits, weighted hazard ratios."""
-    cells = materialise(analysis_cells(cohort, terms, variants, study_end), "cells")
-    parts = [
-        result_table(cells.where(F.col("competing_model") == competing), KEY, competing=competing, level=level)
-        for competing in sorted({v.competing for v in variants})
-    ]
-    return reduce(lambda a, b: a.unionByName(b), parts).select(*S.RESULT_COLUMNS)
+    """``results_of`` the cells of all variants. ``n_missing`` counts subjects without a weight, which take no part."""
+    return results_of(written_cells(cohort, terms, variants, study_end), variants, level)

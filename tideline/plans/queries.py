@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,11 +13,12 @@ from tideline.functions import columns as C
 from tideline.operators import censoring as Z, cohort as K, quantiles, rates as R, survival as V, tables, weights
 from tideline.plans import analysis
 from tideline.plans.variants import VARIANTS
-from tideline.sources.cohort import normalise_dates
-from tideline.sources.definitions import definition_filter
-from tideline.sources.reports import concat_tables
+from tideline.session import shared_folder
+from tideline.sources.cohort import normalise_dates, read_cohort as read_cohort_file
+from tideline.sources.definitions import definition_filter, read_definitions
+from tideline.sources.reports import concat_tables, write_report, write_tables
 from tideline.sources.sample import SAMPLE_STUDY_END, person_table
-from tideline.sources.stages import materialise
+from tideline.sources.stages import materialise, read_stage, write_stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -497,14 +500,43 @@ def analysis_counts(spark, sf):
     return rounded(counts.drop("rate", "fu"), "w_events", "pt")
 
 
-RESULT_NUMBERS = S.RESULT_COLUMNS[7:]
+RESULT_NUMBERS = S.RESULT_COLUMNS[7:17]
+ADJUSTED, CRUDE = S.RESULT_COLUMNS[:17], [c for c in S.RESULT_COLUMNS if c.startswith("crude_") and c != "crude_converged"]
 
 
 @query
 def analysis_grid_saturated(spark, sf):
     """The full result of every variant, weights saturated in one covariate."""
     result = analysis.run_analysis(eligible(spark, sf), ["segment"], VARIANTS, SAMPLE_STUDY_END)
-    return rounded(result, *RESULT_NUMBERS)
+    return rounded(result.select(*ADJUSTED, "n_missing"), *RESULT_NUMBERS)
+
+
+@query
+def analysis_crude_saturated(spark, sf):
+    """The hazard ratios without weights of every variant without the competing model."""
+    variants = [v for v in VARIANTS if not v.competing]
+    result = analysis.run_analysis(eligible(spark, sf), ["segment"], variants, SAMPLE_STUDY_END)
+    return rounded(result.select(*analysis.KEY, "group", *CRUDE), *CRUDE)
+
+
+@query
+def analysis_ph_saturated(spark, sf):
+    """The proportional-hazards test of every variant without the competing model."""
+    variants = [v for v in VARIANTS if not v.competing]
+    cells = analysis.written_cells(eligible(spark, sf), ["segment"], variants, SAMPLE_STUDY_END)
+    # Where a coefficient is infinite the SQL has no test of the others, so such keys are left out on both sides.
+    infinite = analysis.results_of(cells, variants).where(F.abs("log_hr") == float("inf")).select(*analysis.KEY).distinct()
+    found = analysis.ph_of(cells, variants).join(infinite, analysis.KEY, "left_anti")
+    return rounded(found.select(*analysis.KEY, "term", "chisq", "df", "p"), "chisq", "p")
+
+
+@query
+def analysis_missing_covariate(spark, sf):
+    """The acute main analysis where every fifth subject lacks the covariate: these are counted and take no part."""
+    cohort = eligible(spark, sf).withColumn("segment", F.when(F.col("subject_id") % 5 != 0, F.col("segment")))
+    variants = [v for v in VARIANTS if (v.name, v.phase) == ("no_added_dose", "acute")]
+    result = analysis.run_analysis(cohort, ["segment"], [replace(variants[0], exclude_added_dose=False)], SAMPLE_STUDY_END)
+    return rounded(result.select("outcome", "group", "n", "events", "n_missing", *RESULT_NUMBERS), *RESULT_NUMBERS)
 
 
 @query
@@ -517,3 +549,80 @@ def subgroup_results(spark, sf):
 @query
 def analysis_grid(spark, sf):
     return rounded(analysis.run_analysis(eligible(spark, sf), TERMS, VARIANTS, SAMPLE_STUDY_END), *RESULT_NUMBERS)
+
+
+# Files ---------------------------------------------------------------------------------------------
+
+
+def new_path(spark, label: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/files/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def read_cohort(spark, sf):
+    """The person table written as a file and read with the study start pushed into the scan."""
+    path = new_path(spark, "persons")
+    person_table(spark, sf).write.parquet(path)
+    names = ["subject_id", "index_date", "sex", "birth_year", "hx_cv_major", "outcome_death_date", "segment"]
+    return read_cohort_file(spark, path, "1998-03-01").select(*names)
+
+
+@query
+def stage_round_trip(spark, sf):
+    """Two subgroups written one after the other, then read together."""
+    path = new_path(spark, "stage")
+    df = materialise(analysable(spark, sf).select("subject_id", "group", "age"), "round-trip")
+    for name, condition in (("l65", "age < 65"), ("ge65", "age >= 65")):
+        write_stage(df.where(condition).withColumn("subgroup", F.lit(name)), path, ["subgroup"])
+    return read_stage(spark, path)
+
+
+@query
+def definitions_round_trip(spark, sf):
+    path = new_path(spark, "definitions")
+    sheet = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("Name"), (F.col("p_size") % 7).alias("Set"))
+    sheet.write.option("header", True).csv(path)
+    return read_definitions(spark, path, "PS")
+
+
+@query
+def tables_round_trip(spark, sf):
+    path = new_path(spark, "tables")
+    nation, region = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("nation", "region"))
+    write_tables(
+        {"first": nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")),
+         "second": region.select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))}, path,
+    )
+    back = spark.read.option("header", True).csv(path)
+    return back.select("table_name", F.col("id").cast("long").alias("id"), "name")
+
+
+@query
+def report_round_trip(spark, sf):
+    path = new_path(spark, "report")
+    write_report(R.event_counts(Z.at_risk(acute_long(analysable(spark, sf))), ["outcome", "group"]), path)
+    schema = "outcome string, `group` string, n long, events long, fu long"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@query
+def propensity_terms(spark, sf):
+    """Names of a sheet up to a set, in sheet order."""
+    parts = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey <= 60").orderBy("p_partkey")
+    defs = parts.select(F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")).alias("Name"), (F.col("p_size") % 7).cast("int").alias("Set"))
+    return spark.createDataFrame(list(enumerate(weights.ps_terms(defs, 4))), "place int, name string")
+
+
+@query
+def level_order(spark, sf):
+    """Keys in the order of a report: by outcome, groups in level order with the baseline first."""
+    keys = Z.at_risk(acute_long(analysable(spark, sf))).select("outcome", "group").distinct()
+    ordered = K.order_by_level(keys, "group", S.DOSE_LEVELS, first=["outcome"]).collect()  # outcomes x groups
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(ordered)], "row_no int, outcome string, `group` string")
+
+
+@query
+def ps_assess(spark, sf):
+    """Balance before and after weighting, as the assessment of a fit gives it."""
+    df = table_input(weighted(spark, sf, ["segment"], TABLE_VARIABLES))
+    return rounded(tables.ps_assess(df, TABLE_VARIABLES)["balance"], "max_diff_un", "max_diff_adj")

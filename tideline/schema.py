@@ -85,5 +85,6 @@ PS_SCHEMA = T.StructType([T.StructField("Name", T.StringType()), T.StructField("
 # The long result of an analysis run.
 RESULT_COLUMNS = [
     "variant", "subgroup", "phase", "outcome", "group", "n", "events", "w_events", "pt", "rate",
-    "rate_lo", "rate_hi", "log_hr", "se", "hr", "hr_lo", "hr_hi",
+    "rate_lo", "rate_hi", "log_hr", "se", "hr", "hr_lo", "hr_hi", "se_model", "converged", "n_missing", "crude_log_hr",
+    "crude_se", "crude_hr", "crude_hr_lo", "crude_hr_hi", "crude_converged",
 ]
