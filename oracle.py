@@ -604,6 +604,7 @@ def _analysis() -> tuple[list[str], str]:
     variants = [
         ("main", "acute", "s_acute", ["cv_major"]),
         ("main", "postacute", no_dose("s_post", back), MAIN),
+        ("with_added_dose", "postacute", "s_post", MAIN),
         ("days_28_89", "postacute", "s_post", NO_MI),
         ("day_90_on", "postacute90d", f"(SELECT * FROM s_late WHERE index_date <= {STUDY_END})", NO_MI),
         ("pcr", "acute", "s_acute_pcr", MAIN), ("pcr", "postacute", "s_post_pcr", MAIN),

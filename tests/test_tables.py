@@ -163,3 +163,19 @@ def test_export_names_with_blanks_and_hyphens(spark):
     defs = spark.createDataFrame([("body-mass index", "BMI, kg/m2")], S.TABLE1_SCHEMA)
     names = {r["Name"] for r in tables.baseline_export(table, defs, ["body-mass index", "area"], LEVELS, all_levels=True).collect()}
     assert names == {"n", "BMI, kg/m2 (mean (SD))", "area = a = b (%)", "area = c (%)"}
+
+
+def test_balance_of_every_fit_in_one_pass(df):
+    pdf, sdf = df
+    fits = sdf.withColumn("stage", F.when(F.col("sex") == "F", "a").otherwise("b"))
+    both = tables.balance_table(fits, ["age", "area", "dx"], levels=LEVELS, by=["stage"]).toPandas()
+    smds = tables.smd(tables.baseline_table(fits, ["age", "area"], by=["stage", "group"]), LEVELS, by=["stage"]).toPandas()
+    for stage in ("a", "b"):
+        part = fits.where(F.col("stage") == stage)
+        for got, want in (
+            (both, tables.balance_table(part, ["age", "area", "dx"], levels=LEVELS).toPandas()),
+            (smds, tables.smd(tables.baseline_table(part, ["age", "area"]), LEVELS).toPandas()),
+        ):
+            keys = [c for c in want.columns if want[c].dtype == object]
+            mine = got[got["stage"] == stage].drop(columns="stage").sort_values(keys).reset_index(drop=True)
+            pd.testing.assert_frame_equal(mine[want.columns], want.sort_values(keys).reset_index(drop=True))

@@ -132,7 +132,11 @@ def phase_constants(df: DataFrame, phase: str) -> DataFrame:
     return df.withColumns({phase: F.lit(1), "hx_cv_death": F.lit(0), "hx_death": F.lit(0)})
 
 
-def flags_as_boolean(df: DataFrame, prefixes=("dx", "px", "ip", "rx", "hx", "mm")) -> DataFrame:
+# How the names of 0/1 columns start.
+FLAG_PREFIXES = ("dx", "px", "ip", "rx", "hx", "mm")
+
+
+def flags_as_boolean(df: DataFrame, prefixes=FLAG_PREFIXES) -> DataFrame:
     """Cast every 0/1 column whose name starts with one of the prefixes to boolean."""
     starts = re.compile("^(" + "|".join(prefixes) + ")")
     casts = {c: F.col(c).cast("boolean") for c in df.columns if starts.match(c)}

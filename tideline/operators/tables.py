@@ -137,7 +137,7 @@ def phase_tables(
     return out
 
 
-def _pairs(table: DataFrame, levels: list[str], group: str, values: list[str]) -> DataFrame:
+def _pairs(table: DataFrame, levels: list[str], group: str, values: list[str], by: list[str] = []) -> DataFrame:
     """Table rows side by side for every pair of groups: ``<value>_1`` and ``<value>_2``."""
     pairs = F.array(
         *[F.struct(F.lit(a).alias("group1"), F.lit(b).alias("group2")) for a, b in combinations(levels, 2)]
@@ -149,17 +149,20 @@ def _pairs(table: DataFrame, levels: list[str], group: str, values: list[str]) -
         mine = F.col(group) == F.col(f"group{i}")
         sides += [F.max(F.when(mine, F.col(v))).alias(f"{v}_{i}") for v in values]
         sides.append(F.count(F.when(mine, 1)).alias(f"rows_{i}"))
-    return rows.groupBy("variable", "level", "kind", "group1", "group2").agg(*sides)
+    return rows.groupBy(*by, "variable", "level", "kind", "group1", "group2").agg(*sides)
 
 
-def smd(table: DataFrame, levels: list[str] = S.DOSE_LEVELS, group: str = "group", pairwise: bool = False) -> DataFrame:
+def smd(
+    table: DataFrame, levels: list[str] = S.DOSE_LEVELS, group: str = "group", pairwise: bool = False, by: list[str] = []
+) -> DataFrame:
     """Standardised mean differences of a baseline table, averaged over all pairs of groups.
 
     Numeric: |m1 - m2| / sqrt((s1^2 + s2^2) / 2). Flags and categories: the Mahalanobis distance of the
     level shares, which for shares p and q is sqrt(Q / (1 - Q/4)) with Q = sum (p - q)^2 / ((p + q) / 2).
-    A variable that does not vary, or whose groups share no level, gives NULL.
+    A variable that does not vary, or whose groups share no level, gives NULL. ``by`` keeps tables apart (a
+    table per fit, made with ``baseline_table(..., by=[*by, "group"])``).
     """
-    sides = _pairs(table, levels, group, ["mean", "sd", "pct"])
+    sides = _pairs(table, levels, group, ["mean", "sd", "pct"], by)
     pooled = F.sqrt((F.col("sd_1") ** 2 + F.col("sd_2") ** 2) / 2)
     p, q = F.coalesce("pct_1", F.lit(0.0)) / 100, F.coalesce("pct_2", F.lit(0.0)) / 100
 
@@ -168,19 +171,19 @@ def smd(table: DataFrame, levels: list[str] = S.DOSE_LEVELS, group: str = "group
 
     distance = F.when(F.col("kind") == "flag", part(p, q) + part(1 - p, 1 - q)).when(F.col("kind") == "category", part(p, q))
     pairs = (
-        sides.groupBy("variable", "group1", "group2")
+        sides.groupBy(*by, "variable", "group1", "group2")
         .agg(
             F.max(F.try_divide(F.abs(F.col("mean_1") - F.col("mean_2")), pooled)).alias("by_mean"),
             F.sum(distance).alias("q"), F.sum("rows_1").alias("rows_1"), F.sum("rows_2").alias("rows_2"),
         )
         .where("rows_1 > 0 AND rows_2 > 0")
         .select(
-            "variable", "group1", "group2",
+            *by, "variable", "group1", "group2",
             F.when(F.col("q").isNull(), F.col("by_mean"))
             .when(F.col("q") < 4, F.sqrt(F.try_divide(F.col("q"), 1 - F.col("q") / 4))).alias("smd"),
         )
     )
-    return pairs if pairwise else pairs.groupBy("variable").agg(F.avg("smd").alias("smd"))
+    return pairs if pairwise else pairs.groupBy(*by, "variable").agg(F.avg("smd").alias("smd"))
 
 
 def weight_summary(df: DataFrame, weight: str = "weight", by: list[str] = ["group"]) -> DataFrame:
@@ -194,18 +197,19 @@ def weight_summary(df: DataFrame, weight: str = "weight", by: list[str] = ["grou
 
 
 def balance_table(
-    df: DataFrame, variables: list[str], weight: str = "weight", levels: list[str] = S.DOSE_LEVELS, pairwise: bool = False
+    df: DataFrame, variables: list[str], weight: str = "weight", levels: list[str] = S.DOSE_LEVELS, pairwise: bool = False,
+    by: list[str] = [],
 ) -> DataFrame:
     """Covariate balance before and after weighting, the largest over pairs of groups.
 
     Numeric variables: standardised mean difference with the unweighted pooled sd on both sides. Flags and
-    levels: difference in proportion.
+    levels: difference in proportion. With ``by`` (the stage) the balance of every fit comes from the same passes.
     """
-    both = _summaries(df, variables, ["group"], {"": None, "_w": F.col(weight)})
+    both = _summaries(df, variables, [*by, "group"], {"": None, "_w": F.col(weight)})
     table = both.withColumns(
         {"un": F.coalesce(F.col("mean"), F.col("pct") / 100), "adj": F.coalesce(F.col("mean_w"), F.col("pct_w") / 100)}
     )
-    pairs = _pairs(table, levels, "group", ["un", "adj", "sd"])
+    pairs = _pairs(table, levels, "group", ["un", "adj", "sd"], by)
     pooled = F.sqrt((F.col("sd_1") ** 2 + F.col("sd_2") ** 2) / 2)
 
     def difference(v: str) -> Column:
@@ -213,11 +217,11 @@ def balance_table(
         return F.when(F.col("kind") == "numeric", F.try_divide(raw, pooled)).otherwise(raw)
 
     out = pairs.withColumns({"diff_un": difference("un"), "diff_adj": difference("adj")}).select(
-        "variable", "level", "kind", "group1", "group2", "diff_un", "diff_adj"
+        *by, "variable", "level", "kind", "group1", "group2", "diff_un", "diff_adj"
     )
     if pairwise:
         return out
-    return out.groupBy("variable", "level", "kind").agg(
+    return out.groupBy(*by, "variable", "level", "kind").agg(
         F.max("diff_un").alias("max_diff_un"), F.max("diff_adj").alias("max_diff_adj")
     )
 

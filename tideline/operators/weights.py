@@ -21,6 +21,7 @@ from tideline.sources.definitions import definition_filter
 from tideline.sources.stages import materialise
 
 MAX_LEVELS = 1000  # of a covariate: the fit works on one column per level
+BROADCAST_NUMBERS = 1_000_000  # coefficients that are sent to every executor at most
 TOLERANCE = 1e-10
 JUMP = 27.0
 
@@ -250,12 +251,13 @@ def _linear_predictors(df: DataFrame, model: PropensityModel) -> tuple[DataFrame
             if np.isfinite(b[k, 0]) else F.lit(float("-inf"))
             for k in range(n_levels)
         ]
-    # One row per fit; the number of fits is known here, so the broadcast has a known size.
     table = df.sparkSession.createDataFrame(
         [(key, [float(v) for v in b.ravel()]) for key, b in model.coefs.items()], "fit_key string, fit_coefs array<double>"
     )
-    joined = df.join(F.broadcast(table), F.col(model.by).cast("string") == F.col("fit_key"), "left")
+    # The size is known here; a table beyond it is joined by key.
     width = model.width
+    small = len(model.coefs) * n_levels * width <= BROADCAST_NUMBERS
+    joined = df.join(F.broadcast(table) if small else table, F.col(model.by).cast("string") == F.col("fit_key"), "left")
     return joined, [
         reduce(add, [F.col("fit_coefs")[k * width + j] * x[j] for j in range(width)]) for k in range(n_levels)
     ]

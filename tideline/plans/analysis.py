@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideline import schema as S
 from tideline.functions import columns as C
 from tideline.operators import censoring, cohort as K, rates, survival, weights
-from tideline.plans.variants import VARIANTS, Stage, Variant
+from tideline.plans.variants import VARIANTS, Stage, Variant, distinct_variants
 from tideline.sources.stages import materialise
 
 KEY = ["variant", "subgroup", "phase", "outcome"]
@@ -184,16 +184,24 @@ def crude_ratios(cells: DataFrame, by: list[str], competing: bool = False, level
 
 
 def _parts(cells: DataFrame, variants: list[Variant], make) -> DataFrame:
-    """``make(cells, competing)`` for the variants with and without the competing model, stacked."""
+    """``make(cells, competing)`` for the variants with and without the competing model, stacked.
+
+    An analysis that several variants share is made once; its rows are then given out under each name.
+    """
     parts = [make(cells.where(F.col("competing_model") == c), c) for c in sorted({v.competing for v in variants})]
-    return reduce(DataFrame.unionByName, parts)
+    names = F.array("variant")
+    for v, own in distinct_variants(variants).items():
+        if len(own) > 1:
+            same = (F.col("variant") == v.name) & (F.col("phase") == v.phase)
+            names = F.when(same, F.array(*map(F.lit, own))).otherwise(names)
+    return reduce(DataFrame.unionByName, parts).withColumn("variant", F.explode(names))
 
 
 def written_cells(
     cohort: DataFrame, terms: list[str], variants: list[Variant] = VARIANTS, study_end: str = S.STUDY_END
 ) -> DataFrame:
-    """The cells of all variants as a written table, for ``results_of`` and ``ph_of``."""
-    return materialise(analysis_cells(cohort, terms, variants, study_end), "cells")
+    """The cells of all different variants as a written table, for ``results_of`` and ``ph_of``."""
+    return materialise(analysis_cells(cohort, terms, list(distinct_variants(variants)), study_end), "cells")
 
 
 def results_of(cells: DataFrame, variants: list[Variant] = VARIANTS, level: float = 0.95) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from tideline import schema as S
 
@@ -51,6 +51,15 @@ SUBGROUP = ("cv_stroke", "cv_cad", "cv_hf", "cv_death")
 COMPETING = ("cv_major", "cv_stroke", "cv_cad", "cv_hf", "cv_death")
 
 
+def distinct_variants(variants: list[Variant]) -> dict[Variant, list[str]]:
+    """Variants that differ in more than their name, each with all its names; the others are the same analysis."""
+    names: dict[Variant, list[str]] = {}
+    first: dict[Variant, Variant] = {}
+    for v in variants:
+        names.setdefault(first.setdefault(replace(v, name=""), v), []).append(v.name)
+    return names
+
+
 def _acute(name: str, stage: Stage, outcomes: tuple[str, ...], **more) -> Variant:
     return Variant(name, "acute", stage, outcomes, days=S.ACUTE_DAYS, prior_counts=False, **more)
 
@@ -62,6 +71,7 @@ def _post(name: str, stage: Stage, outcomes: tuple[str, ...], **more) -> Variant
 VARIANTS = (
     _acute("main", ACUTE, ("cv_major",)),
     _post("main", POSTACUTE, MAIN, exclude_added_dose=True),
+    _post("with_added_dose", POSTACUTE, MAIN),
     _post("days_28_89", POSTACUTE, NO_MI, days=S.INTERVAL_DAYS),
     Variant("day_90_on", "postacute90d", LATE, NO_MI, index_by_study_end=True),
     _acute("pcr", ACUTE_PCR, MAIN),
