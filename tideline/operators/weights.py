@@ -241,26 +241,35 @@ def fit_propensity(
 
 
 def _linear_predictors(df: DataFrame, model: PropensityModel) -> tuple[DataFrame, list[Column]]:
-    """``df`` with what the predictors need, and one predictor per level."""
-    x = model.design()
-    n_levels = len(model.levels)
+    """``df`` with what the predictors need, and one predictor per level.
+
+    A covariate's level is looked up among the coefficients by its place, so the expressions grow with the
+    covariates, not with their levels. A level that the fit has not seen counts as the baseline.
+    """
+    n_levels, width = len(model.levels), model.width
     if model.by is None:
-        b = model.coefs["all"]
-        return df, [
-            reduce(add, [F.lit(float(b[k, j])) * x[j] for j in range(len(x))])
-            if np.isfinite(b[k, 0]) else F.lit(float("-inf"))
-            for k in range(n_levels)
-        ]
-    table = df.sparkSession.createDataFrame(
-        [(key, [float(v) for v in b.ravel()]) for key, b in model.coefs.items()], "fit_key string, fit_coefs array<double>"
-    )
-    # The size is known here; a table beyond it is joined by key.
-    width = model.width
-    small = len(model.coefs) * n_levels * width <= BROADCAST_NUMBERS
-    joined = df.join(F.broadcast(table) if small else table, F.col(model.by).cast("string") == F.col("fit_key"), "left")
-    return joined, [
-        reduce(add, [F.col("fit_coefs")[k * width + j] * x[j] for j in range(width)]) for k in range(n_levels)
-    ]
+        joined, coefs = df, F.lit([float(v) for v in model.coefs["all"].ravel()])
+    else:
+        table = df.sparkSession.createDataFrame(
+            [(key, [float(v) for v in b.ravel()]) for key, b in model.coefs.items()], "fit_key string, fit_coefs array<double>"
+        )
+        # The size is known here; a table beyond it is joined by key.
+        small = len(model.coefs) * n_levels * width <= BROADCAST_NUMBERS
+        joined = df.join(F.broadcast(table) if small else table, F.col(model.by).cast("string") == F.col("fit_key"), "left")
+        coefs = F.col("fit_coefs")
+    eta = [F.get(coefs, F.lit(k * width)) for k in range(n_levels)]
+    offset = 1
+    for t in model.terms:
+        for k in range(n_levels):
+            start = k * width + offset
+            if t.levels:
+                place = F.array_position(F.lit(list(t.levels)), F.col(t.name).cast("string")).cast("int")
+                part = F.when(place <= 1, 0.0).otherwise(F.get(coefs, place + (start - 2)))
+            else:
+                part = F.get(coefs, F.lit(start)) * t.columns()[0]
+            eta[k] = eta[k] + part
+        offset += t.width
+    return joined, eta
 
 
 def propensity_scores(df: DataFrame, model: PropensityModel, prefix: str = "ps_") -> DataFrame:
