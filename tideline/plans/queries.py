@@ -301,7 +301,8 @@ def time_check(spark, sf):
 
 @query
 def rates(spark, sf):
-    return rounded(R.counts_from_cells(crude_cells(spark, sf), ["outcome", "group"]), "w_events", "pt", "rate")
+    counts = R.counts_from_cells(crude_cells(spark, sf), ["outcome", "group"]).drop("n_missing")
+    return rounded(counts, "w_events", "pt", "rate")
 
 
 @query
@@ -497,7 +498,7 @@ def analysis_counts(spark, sf):
     """Counts, weighted events and person-time of every variant, weights saturated in one covariate."""
     cells = analysis.analysis_cells(eligible(spark, sf), ["segment"], VARIANTS, SAMPLE_STUDY_END)
     counts = R.counts_from_cells(cells, [*analysis.KEY, "group"])
-    return rounded(counts.drop("rate", "fu"), "w_events", "pt")
+    return rounded(counts.drop("rate", "fu", "n_missing"), "w_events", "pt")
 
 
 RESULT_NUMBERS = S.RESULT_COLUMNS[7:17]
