@@ -29,17 +29,23 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that ``column`` holds at most ``limit`` bytes in each, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20, field: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that ``column`` (or a field of it) holds at most ``limit`` bytes in each, or one row.
+
+    Memory that Arrow keeps for later is given back after each batch, as workers outlive their tasks.
+    """
     for batch in batches:
+        texts = batch.column(column)
         start = held = 0
-        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(pc.struct_field(texts, field) if field else texts), 0).to_pylist()):
             if i > start and held + n > limit:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+        del batch, texts
+        pa.default_memory_pool().release_unused()
 
 
 def kth_largest(df: DataFrame, column: str, k: int, buckets: int = 4096, gather: int = 4096) -> float | None:

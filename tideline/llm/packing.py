@@ -23,7 +23,7 @@ from tideline.llm.bpe import SAFE
 from tideline.llm.common import materialise, only, slices, text_bytes
 
 #: Words whose ids a worker remembers in each of two generations, and characters of such a word at most.
-MEMO, SHORT = 600_000, 64
+MEMO, SHORT = 400_000, 64
 
 #: Pieces of one length that are ranked together, on average.
 RANKED = 50_000

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.llm.common import fold, kth_largest, materialise, only, slices, text_bytes
@@ -80,14 +81,15 @@ def log_weight(text: str, ratio: np.ndarray) -> float:
 
 
 def log_weights(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """Rows (row, text as bytes) as (row, log_weight)."""
+    """Rows (row: struct with a text) as (row, log_weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [log_weight(t.decode("utf-8", "replace"), ratio) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], ["row", "log_weight"])
+        for batch in slices(batches, "row", field="text"):
+            row = batch.column("row")
+            found = [log_weight(t or "", ratio) for t in pc.struct_field(row, "text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([row, pa.array(found, pa.float64())], ["row", "log_weight"])
 
-    return rows.select("row", "text").mapInArrow(run, rows.select("row").schema.add("log_weight", "double"))
+    return rows.select("row").mapInArrow(run, rows.select("row").schema.add("log_weight", "double"))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -126,15 +128,16 @@ def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if not good.limit(1).count():
         return np.zeros(BUCKETS), -np.inf
     ratio = model_of(good) - model_of(docs.select(text_bytes().alias("text")))
-    rows = log_weights(sample.where("part = 0").select(F.col("quality").alias("row"), "text"), ratio).collect()  # of the sample
-    low, high = (np.array([r.log_weight for r in rows if r.row == q]) for q in (0, 1))
+    rest = sample.where("part = 0").select(F.struct("quality", F.col("text").cast("string").alias("text")).alias("row"))
+    rows = log_weights(rest, ratio).select("row.quality", "log_weight").collect()  # of the sample
+    low, high = (np.array([r.log_weight for r in rows if r.quality == q]) for q in (0, 1))
     return ratio, best_cut(low, high) if len(low) and len(high) else 0.0
 
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tuple[DataFrame, float | None]:
     """All rows as (row: struct of the columns, log_weight, key), written to the shared folder, and the k-th largest key."""
     ratio, cut = _fitted(docs, labels)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_bytes().alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     scored = log_weights(rows, ratio)
     stage = materialise(scored.withColumn("key", perturbed(F.col("log_weight"), F.col("row.doc_id"), seed)), "resampling")
     if k is None:
