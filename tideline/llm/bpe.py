@@ -12,7 +12,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.common import only, slices, text_bytes
+from tideline.llm.common import narrow, only, slices, text_bytes
 
 #: Texts above this many characters are encoded in parts.
 PART = 1 << 16
@@ -77,7 +77,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "do
             decoded = pa.array([decode_ids(i, coder) for i in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _ids_array(ids), decoded], ["doc_id", "ids", "decoded"])
 
-    rows = only(docs, doc_id=doc_id, text=text)
+    rows = narrow(only(docs, doc_id=doc_id, text=text))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", text_bytes().alias("text")).mapInArrow(
         run, f"doc_id {kind}, ids array<int>, decoded binary"

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.sources.stages import materialise
 
-__all__ = ["fold", "kth_largest", "materialise", "only", "slices", "text_bytes"]
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+__all__ = ["fold", "kth_largest", "materialise", "narrow", "only", "slices", "text_bytes"]
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -24,6 +26,17 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """``df``, after texts were given smaller Arrow batches than the default where the session has that.
+
+    A batch of ten thousand long texts would be larger than a worker's memory, or than Arrow allows.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, "10000") == "10000":
+        conf.set(BATCH, "500")
+    return df
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a NULL id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.llm.common import slices, text_bytes
+from tideline.llm.common import narrow, slices, text_bytes
 
 #: Documents of each language that the weights are fitted on, and landmarks among them, at most.
 SAMPLE, LANDMARKS = 400, 40
@@ -136,7 +136,7 @@ def predictions(docs: DataFrame, model: Model, held_out: Column, doc_id: str = "
     ``und`` with score 0 where the text is NULL or has no letter, or where nothing was learned. Row by row, so NULL and repeated ids and
     repeated rows are no matter; no further columns are read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_bytes(text).alias("text"))
+    rows = narrow(docs).select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), text_bytes(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tideline.llm.common import fold, materialise, only, slices, text_bytes
+from tideline.llm.common import fold, materialise, narrow, slices, text_bytes
 
 #: Bytes of text in a block at most (one longer text is a block), and entries in a hash range on average.
 BLOCK, RANGE = 8 << 20, 1 << 20
@@ -343,7 +343,7 @@ def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "
     are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    rows = narrow(docs).select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     blocks = materialise(rows.mapInArrow(_gather, BLOCKS.format(ids=f"array<{kind}>")), "text-blocks")
     size = blocks.agg(F.sum("n"), F.sum(F.octet_length("hashes") / 8)).first()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from tideline.llm.bpe import SAFE
-from tideline.llm.common import materialise, only, slices, text_bytes
+from tideline.llm.common import materialise, narrow, only, slices, text_bytes
 
 #: Words whose ids a worker remembers in each of two generations, and characters of such a word at most.
 MEMO, SHORT = 400_000, 64
@@ -169,7 +169,7 @@ def cut(
                 ["doc_id", "piece", "start", "length", "ids"],
             )
 
-    rows = only(docs, doc_id=doc_id, text=text)
+    rows = narrow(only(docs, doc_id=doc_id, text=text))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", text_bytes().alias("text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids binary"

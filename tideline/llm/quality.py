@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import fold, kth_largest, materialise, only, slices, text_bytes
+from tideline.llm.common import fold, kth_largest, materialise, narrow, only, slices, text_bytes
 
 #: Buckets that n-grams are hashed into.
 BUCKETS = 10_000
@@ -136,7 +136,7 @@ def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None, seed: int) -> tuple[DataFrame, float | None]:
     """All rows as (row: struct of the columns, log_weight, key), written to the shared folder, and the k-th largest key."""
-    ratio, cut = _fitted(docs, labels)
+    ratio, cut = _fitted(narrow(docs), labels)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     scored = log_weights(rows, ratio)
     stage = materialise(scored.withColumn("key", perturbed(F.col("log_weight"), F.col("row.doc_id"), seed)), "resampling")

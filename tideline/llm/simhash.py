@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import materialise, only, slices, text_bytes
+from tideline.llm.common import materialise, narrow, only, slices, text_bytes
 from tideline.llm.components import components
 
 BITS = 64
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
             bits = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits.view(np.int64))], ["doc_id", "bits"])
 
-    rows = only(docs, doc_id=doc_id, text=text)
+    rows = narrow(only(docs, doc_id=doc_id, text=text))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", text_bytes().alias("text")).mapInArrow(run, f"doc_id {kind}, bits long")
 
