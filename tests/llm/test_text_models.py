@@ -52,6 +52,20 @@ def test_scan(spark, documents, no_documents):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
 
 
+def test_scan_whatever_stands_between_words(spark):
+    import re
+
+    # Lines that go on in small letters are joined, but none after a line of one letter.
+    line_end = lambda t: re.sub(r"(?<![.!?;:])(?<!\b\w) (?=[a-z(\"])", "\n", t)
+    ways = [line_end] + [lambda t, gap=gap: t.replace(" ", gap) for gap in ("  ", "-", "\u00a0")]
+    alone = {w[0]: r for r, _, w in licences.RULES if len(w) == 1}
+    rows = [(f"{name}/{k}", way(licences.SENTENCES[name])) for name in alone for k, way in enumerate(ways)]
+    anchored = "(?i)" + "|".join(licences.ANCHORS)
+    assert all(re.search(anchored, way(text)) for text in licences.SENTENCES.values() for way in ways)
+    got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.rule) for r in got) == sorted((i, alone[i.split("/")[0]]) for i, _ in rows)
+
+
 # --- the helper that finds a threshold
 
 

@@ -100,8 +100,9 @@ WRAPPED = r"([^.!?;:\n])[ \t\r]*\n[ \t]*([a-z(\"])"
 SENTENCE_END = r"([.!?;])[ \t\r\n\f\x0B]+"
 NOT_WORD = "[^a-z0-9]+"
 
-#: Every sentence above holds one of these, in any case of letters; texts without them are not cut up.
-ANCHORS = ("licen", "rights", "permission", "redistribut", "free software", "public domain", "notice", "the hope")
+#: Every sentence above holds one of these, in any case of letters; texts without them are not cut up. Each is within one
+#: word, as anything may stand between words.
+ANCHORS = ("licen", "rights", "permission", "redistribut", "domain", "notice", "hope")
 
 
 def normalised(sentence: str) -> str:
