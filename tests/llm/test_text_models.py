@@ -66,6 +66,32 @@ def test_scan_whatever_stands_between_words(spark):
     assert sorted((r.doc_id, r.rule) for r in got) == sorted((i, alone[i.split("/")[0]]) for i, _ in rows)
 
 
+BSD = """Copyright (c) 2001, A. Holder
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+{0} Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{1} Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+
+
+def test_scan_of_numbered_notices(spark):
+    s = licences.SENTENCES
+    texts = [BSD.format(*marks) for marks in (("1.", "2."), ("a.", "b."), ("*", "*"), ("11.", "12."), ("Some words.", "2."))]
+    texts.append(f"1. {s['mit-grant']}\n2. {s['mit-notice']}\n3. {s['cc-by']}")
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, r.rule, r.first, r.sentences) for r in rows)
+    want = [(i, "bsd-text", 3, 3) for i in range(4)] + [(i, "reserved-line", 2, 1) for i in range(5)]
+    assert found == sorted(want + [(5, "mit-text", 1, 2), (5, "cc-by-line", 5, 1)])
+
+
 # --- the helper that finds a threshold
 
 

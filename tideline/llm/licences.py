@@ -100,6 +100,9 @@ WRAPPED = r"([^.!?;:\n])[ \t\r]*\n[ \t]*([a-z(\"])"
 SENTENCE_END = r"([.!?;])[ \t\r\n\f\x0B]+"
 NOT_WORD = "[^a-z0-9]+"
 
+#: A mark of a list stands alone as a sentence ("1. Redistributions of ..."); rules look past it.
+LIST_MARK = "^([0-9]+|[a-z])$"
+
 #: Every sentence above holds one of these, in any case of letters; texts without them are not cut up. Each is within one
 #: word, as anything may stand between words.
 ANCHORS = ("licen", "rights", "permission", "redistribut", "domain", "notice", "hope")
@@ -132,30 +135,33 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     A match inside a longer match is not reported. Texts without a notice, NULL and empty texts give no row; repeated
     rows give their matches again and a NULL id is kept. Further columns are not read. Only known licence sentences
     are shuffled: each votes for the place where a rule that holds it would begin, and a rule is there if it has all
-    its votes.
+    its votes. Marks of a list between the sentences of a rule are looked past; ``first`` counts them and ``sentences``
+    does not.
     """
     spark = docs.sparkSession
     anchored = F.col("text").rlike("(?i)" + "|".join(ANCHORS))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(anchored)
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    cut = numbered.select("row", "doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    every = numbered.select("row", "doc_id", sentences(F.col("text")).alias("every"))
+    kept = F.filter(F.transform("every", lambda s, i: F.struct(i.alias("at"), s.alias("sentence"))), lambda s: ~s["sentence"].rlike(LIST_MARK))
+    cut = every.select("row", "doc_id", F.posexplode(kept).alias("pos", "s")).select("row", "doc_id", "pos", "s.at", "s.sentence")
     known = _constant(spark, ["sentence", "id"], list(KNOWN.items()))
-    ids = cut.join(known, "sentence").select("row", "doc_id", "pos", "id")
+    ids = cut.join(known, "sentence").select("row", "doc_id", "pos", "at", "id")
     rules = _constant(
         spark, ["rule", "licence", "place", "sentences", "id"],
         [(rule, licence, k, len(wanted), name) for rule, licence, wanted in RULES for k, name in enumerate(wanted)],
     )
     found = (
         ids.join(rules, "id")
-        .groupBy("row", "doc_id", "rule", "licence", (F.col("pos") - F.col("place")).alias("first"), "sentences")
-        .agg(F.count("*").alias("votes")).where(F.col("votes") == F.col("sentences"))
+        .groupBy("row", "doc_id", "rule", "licence", (F.col("pos") - F.col("place")).alias("begin"), "sentences")
+        .agg(F.count("*").alias("votes"), F.min("at").alias("first")).where(F.col("votes") == F.col("sentences"))
     )
-    match = F.struct("rule", "licence", "first", "sentences")
+    match = F.struct("rule", "licence", "first", "sentences", "begin")
     inside = lambda m: F.exists("found", lambda o: (
-        (o["sentences"] > m["sentences"]) & (o["first"] <= m["first"]) & (o["first"] + o["sentences"] >= m["first"] + m["sentences"])
+        (o["sentences"] > m["sentences"]) & (o["begin"] <= m["begin"]) & (o["begin"] + o["sentences"] >= m["begin"] + m["sentences"])
     ))
     by_row = found.groupBy("row", "doc_id").agg(F.collect_list(match).alias("found"))  # of one text
-    return by_row.select("doc_id", F.inline(F.filter("found", lambda m: ~inside(m))))
+    return by_row.select("doc_id", F.inline(F.filter("found", lambda m: ~inside(m)))).drop("begin")
 
 
 def scan_sql() -> str:
