@@ -223,6 +223,49 @@ def test_kernel_is_shared_ngrams(spark):
     assert model.predict(["the light", "das licht", "12 !"])[0] == ["en", "de", "und"]
 
 
+@pytest.fixture(scope="module")
+def many_languages():
+    """A text and its language: 70 languages, of which two at a time share a script of 12 letters."""
+    import random
+
+    def make(language: int, seed: int) -> str:
+        letters = [chr(0x4E00 + 40 * (language // 2) + k) for k in range(12)]
+        words = random.Random(language)
+        known = ["".join(words.choice(letters) for _ in range(5)) for _ in range(20)]
+        return " ".join(random.Random(1000 * language + seed).choices(known, k=40))
+
+    return [(100 * k + i, make(k, i), f"l{k}") for k in range(70) for i in range(8)]
+
+
+def test_every_language_is_learned(spark, many_languages):
+    # One language has fewer texts than the others, and the texts of another without letters are the first in order.
+    rows = [r for r in many_languages if r[2] != "l69" or r[0] % 100 in (0, 1, 2, 7)]
+    rows += [(10_000 + i, "12 !", "l0") for i in range(language_id.SAMPLE * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    held = F.col("doc_id") % 100 == 7
+    model = language_id.fit(docs, ~held)
+    assert model.languages == sorted({r[2] for r in many_languages})
+    want = {i: name for i, t, name in rows if i % 100 == 7 and t != "12 !"}
+    got = {r.doc_id: r.lang_pred for r in language_id.predictions(docs, model, held).collect() if r.doc_id in want}
+    assert got == want and len(want) == 70
+
+
+def test_one_id_on_many_rows_leaves_the_other_languages(spark, many_languages):
+    rows = [(0, t, "a") for _, t, _ in many_languages[:8]] * 200 + [(1, t, "b") for _, t, _ in many_languages[8:16]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language_id.fit(docs, F.lit(True))
+    assert model.languages == ["a", "b"] and model.predict([many_languages[8][1]])[0] == ["b"]
+
+
+def test_kernel_of_many_scripts(many_languages):
+    texts = [t for _, t, _ in many_languages[::4]]
+    model = language_id.fit_texts(texts, [name for _, _, name in many_languages[::4]])
+    grams = [{t[i : i + n].lower() for n in language_id.LENGTHS for i in range(len(t) - n + 1)} for t in texts]
+    want = [[len(a & b) / math.sqrt(len(a) * len(b)) for b in grams] for a in grams]
+    found = model.presence(texts)
+    assert np.allclose(found @ found.T, want, atol=1e-6)
+
+
 # --- language model
 
 
