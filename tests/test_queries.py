@@ -10,6 +10,7 @@ from checks.compare import compare, connection
 from tideline import schema as S
 from tideline.plans import analysis, queries as Q
 from tideline.plans.variants import VARIANTS
+from tideline.sources.definitions import with_places
 from tideline.sources.sample import SAMPLE_STUDY_END
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -31,6 +32,21 @@ def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_propensity_terms_are_of_the_whole_table(spark, sf_dir):
+    parts = sorted(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size").collect())
+    want = list(enumerate(name for key, name, size in parts if key % 10 and size % 7 <= 4))
+    got = QUERIES["propensity_terms"](spark, sf_dir)
+    assert sorted(map(tuple, got.select("place", "name").collect())) == want and len(want) > 60
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_places_follow_the_key(spark, width):
+    keys = [k * k - 50 for k in range(40)]
+    df = spark.createDataFrame([(k, f"n{k}") for k in reversed(keys)], "id long, Name string").repartition(3)
+    got = {r.id: r.place for r in with_places(df, "id", width).collect()}
+    assert got == {k: i for i, k in enumerate(keys)}
+
+
 def test_oracle_has_no_orphans():
     assert set(ORACLE) <= set(QUERIES)
 

@@ -15,7 +15,7 @@ from tideline.plans import analysis
 from tideline.plans.variants import VARIANTS
 from tideline.session import shared_folder
 from tideline.sources.cohort import normalise_dates, read_cohort as read_cohort_file
-from tideline.sources.definitions import definition_filter, read_definitions
+from tideline.sources.definitions import definition_filter, read_definitions, with_places
 from tideline.sources.reports import concat_tables, write_report, write_tables
 from tideline.sources.sample import SAMPLE_STUDY_END, person_table
 from tideline.sources.stages import materialise, read_stage, write_stage
@@ -608,10 +608,11 @@ def report_round_trip(spark, sf):
 
 @query
 def propensity_terms(spark, sf):
-    """Names of a sheet up to a set, in sheet order."""
-    parts = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey <= 60").orderBy("p_partkey")
-    defs = parts.select(F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")).alias("Name"), (F.col("p_size") % 7).cast("int").alias("Set"))
-    return spark.createDataFrame(list(enumerate(weights.ps_terms(defs, 4))), "place int, name string")
+    """Names of a sheet up to a set, in sheet order, numbered without a collect as the sheet is a whole table."""
+    name, level = F.when(F.col("p_partkey") % 10 != 0, F.col("p_name")), (F.col("p_size") % 7).cast("int")
+    defs = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", name.alias("Name"), level.alias("Set"))
+    kept = with_places(definition_filter(defs, 4), "p_partkey")
+    return kept.select(F.col("place").cast("int").alias("place"), F.col("Name").alias("name"))
 
 
 @query
