@@ -120,6 +120,32 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_no_group_of_a_large_cell_holds_more_than_two_tiles(spark, monkeypatch):
+    """Most vectors in one cell, and many guests of a neighbour that has few rows itself."""
+    monkeypatch.setattr(embeddings, "TILE", 40)
+    held, kind = [], type(spark.range(0))
+    real = kind.groupBy
+
+    def watched(df, *keys):
+        if "tile" in keys:
+            held.append(real(df, *keys).agg(F.count("*").alias("n"), F.sum(F.col("guest").cast("int")).alias("guests")))
+        return real(df, *keys)
+
+    monkeypatch.setattr(kind, "groupBy", watched)
+    rng = np.random.default_rng(5)
+    middle = rng.standard_normal(16)
+    rows = [(i, 1, (middle + 0.05 * rng.standard_normal(16)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "key long, n long, embedding array<double>").repartition(3)
+    parts = embeddings.near_links(df, 16, 0.95, 4, 1).collect()
+    links = np.zeros(len(rows), int)
+    for r in parts:
+        links[r.key] += r.links
+    units = np.array([r[2] for r in rows]) / np.linalg.norm([r[2] for r in rows], axis=1, keepdims=True)
+    assert links.tolist() == ((units @ units.T >= 0.95).sum(axis=1) - 1).tolist()
+    groups = held[0].collect()
+    assert max(r.n for r in groups) < 3 * 40 and sum(r.n - r.guests for r in groups) > 600
+
+
 def plain_top_k(rows, asks, k):
     ok = [(i, np.floor(np.array(v) * 64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     width = max(len(v) for _, v in ok)

@@ -21,7 +21,7 @@ from tideline.llm.vectors import matrix, usable
 
 SEED = 20_240_601
 
-#: Rows that are compared as the home rows of one task, on average; larger cells are cut into tiles.
+#: Rows that are compared as the home rows, or as the guests, of one task, on average; larger cells are cut into tiles.
 TILE = 4096
 
 #: Home rows compared at once, and pairs examined at once.
@@ -105,7 +105,7 @@ def _merge(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def match(width: int, threshold: float, blocks: int, depth: int):
-    """For one tile: links between its home rows, and between them and its guests, as sums and a forest."""
+    """For two tiles: links between home rows and guests, and for ``other`` 0 among the home rows, as sums and a forest."""
     distance = 2 - 2 * threshold
     slots = blocks_of(width, blocks)
     budget = [distance * (s.stop - s.start) / width for s in slots]
@@ -114,7 +114,7 @@ def match(width: int, threshold: float, blocks: int, depth: int):
         order = np.argsort(table.column("guest").to_numpy(), kind="stable")
         table = table.take(pa.array(order))
         homes = len(order) - int(table.column("guest").to_numpy().sum())
-        j = table.column("block")[0].as_py()
+        j, inner = table.column("block")[0].as_py(), table.column("other")[0].as_py() == 0
         units = unit(matrix(table.column("embedding"), width))
         rotated = units @ rotation(width)
         part = rotated[:, slots[j]]
@@ -150,7 +150,7 @@ def match(width: int, threshold: float, blocks: int, depth: int):
         for start in range(0, homes, CHUNK):
             rows = slice(start, min(start + CHUNK, homes))
             low, high = along[rows.start] - reach, along[rows.stop - 1] + reach
-            for first, last in ((start, homes), (homes, len(rank))):
+            for first, last in ((start, homes if inner else start), (homes, len(rank))):
                 a, b = np.searchsorted(along[first:last], [low, high]) + [0, 0]
                 for at in range(first + a, first + b, 8 * CHUNK):
                     examine(rows, slice(at, min(at + 8 * CHUNK, first + b)))
@@ -163,30 +163,50 @@ def match(width: int, threshold: float, blocks: int, depth: int):
     return run
 
 
+def tiled(sent: DataFrame) -> DataFrame:
+    """Rows of grid cells dealt to pairs of tiles: (cell, tile, other) holds a tile of home rows and one of guests at most.
+
+    Home rows and guests from other cells are cut into tiles of ``TILE`` rows on average. ``other`` counts the tiles of
+    guests, then the home tiles, of which a later one is the guest of an earlier one; 0 also stands for the home tile
+    itself.
+    """
+    tiles = lambda rows: F.greatest(F.lit(1), F.ceil(rows / TILE).cast("int"))
+    guests = F.sum(F.col("guest").cast("long"))
+    large = (
+        sent.groupBy("cell").agg(guests.alias("guests"), (F.count("*") - guests).alias("homes"))
+        .where(F.greatest("guests", "homes") > TILE)
+        .select("cell", tiles(F.col("homes")).alias("homes"), tiles(F.col("guests")).alias("guests"))
+    )
+    place = lambda tile, other, guest: F.struct(
+        F.lit(tile).alias("tile"), F.lit(other).alias("other"), F.lit(guest).alias("guest")
+    )
+    homes, guests = F.coalesce("homes", F.lit(1)), F.coalesce("guests", F.lit(1))
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("guest"), guests).otherwise(homes)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    as_home = F.transform(upto(guests), lambda k: place(F.col("own"), k, False))
+    with_homes = F.transform(
+        F.filter(upto(homes), lambda k: k != F.col("own")),
+        lambda k: place(F.least(k, "own"), guests + F.greatest(k, "own"), k < F.col("own")),
+    )
+    as_guest = F.transform(upto(homes), lambda k: place(k, F.col("own"), True))
+    return (
+        sent.join(large, "cell", "left").withColumn("own", own)
+        .withColumn("place", F.explode(F.when(F.col("guest"), as_guest).otherwise(F.concat(as_home, with_homes))))
+        .select("cell", "place.tile", "place.other", "block", "place.guest", "key", "n", "embedding")
+    )
+
+
 def near_links(distinct: DataFrame, width: int, threshold: float, blocks: int, depth: int) -> DataFrame:
     """Links among different vectors: (key, links, root) parts, to be summed by key; (key, root) are links or equal.
 
-    ``distinct`` has key, n (copies) and embedding of ``width`` components. A cell with more home rows than
-    ``TILE`` is cut into tiles; every tile also gets the home rows of earlier tiles and all guests.
+    ``distinct`` has key, n (copies) and embedding of ``width`` components. Cells with more home rows or guests than
+    ``TILE`` are cut into tiles; every pair of them is one group.
     """
     sent = distinct.mapInArrow(
         scatter(width, threshold, blocks, depth),
         f"cell string, block int, guest boolean, key long, n long, {distinct.select('embedding').schema[0].simpleString().replace(':', ' ', 1)}",
     )
-    large = (
-        sent.where(~F.col("guest")).groupBy("cell").agg(F.count("*").alias("rows"))
-        .where(F.col("rows") > TILE).select("cell", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-    )
-    tiles = F.coalesce("tiles", F.lit(1))
-    own = F.pmod(F.xxhash64("key"), tiles).cast("int")
-    tiled = (
-        sent.join(large, "cell", "left")
-        .withColumn("own", own)
-        .withColumn("tile", F.explode(F.sequence(F.lit(0), F.when(F.col("guest"), tiles - 1).otherwise(F.col("own")))))
-        .withColumn("guest", F.col("guest") | (F.col("tile") < F.col("own")))
-        .select("cell", "tile", "block", "guest", "key", "n", "embedding")
-    )
-    return tiled.groupBy("cell", "tile").applyInArrow(
+    return tiled(sent).groupBy("cell", "tile", "other").applyInArrow(
         match(width, threshold, blocks, depth), "key long, links long, root long"
     )
 
