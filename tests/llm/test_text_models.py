@@ -186,6 +186,24 @@ def test_toxicity(insulted, documents, no_documents):
         assert all(r.predicted == 0 for r in toxicity.scores(df, toxicity.fit(df, few)).collect())
 
 
+def test_samples_hold_one_text_of_an_id(insulted, prose):
+    """A third of all rows has one id, which is labelled toxic and of bad quality, and calibrates both models."""
+    df, labels = insulted
+    spark = df.sparkSession
+    order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(toxicity.CALIBRATE)) == 0
+    hot = spark.range(1000, 2000).where(order & (common.fold("id", 5) != 0)).first().id
+    many = spark.createDataFrame([(hot, prose(5000 + i), 1.0, 0) for i in range(300)], df.schema)
+    more = labels.unionByName(spark.createDataFrame([(hot, 0, 1)], labels.schema))
+    copies = {r.text for r in many.collect()}
+    for sampled in (toxicity.sample(df.unionByName(many), more), quality.labelled(df.unionByName(many), more)):
+        texts = [r.text.decode() for r in sampled.collect()]
+        assert sum(t in copies for t in texts) == 1
+    assert toxicity.CALIBRATE == quality.CALIBRATE
+    # One id sets no line: the other texts are told apart as before.
+    rows = toxicity.scores(df, toxicity.fit(df.unionByName(many), more)).where("held_out").collect()
+    assert np.mean([r.predicted == (r.doc_id % 6 == 0) for r in rows]) > 0.97
+
+
 def test_toxicity_on_labels(spark, sf_01):
     docs, labels = (spark.read.parquet(f"{sf_01}/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.scores(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").collect()

@@ -13,7 +13,7 @@ from tideline.sources.stages import materialise
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-__all__ = ["fold", "kth_largest", "materialise", "narrow", "only", "slices", "text_bytes"]
+__all__ = ["fold", "kth_largest", "materialise", "narrow", "one_text", "only", "slices", "text_bytes"]
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -26,6 +26,12 @@ def text_bytes(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def one_text(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys, and as UTF-8 bytes the text with the smallest hash of each; tasks send one text a key."""
+    text = text_bytes()
+    return df.groupBy(*keys).agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+
+
 def narrow(df: DataFrame) -> DataFrame:
     """``df``, after texts were given smaller Arrow batches than the default where the session has that.
 

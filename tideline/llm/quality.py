@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.llm.common import fold, kth_largest, materialise, narrow, only, slices, text_bytes
+from tideline.llm.common import fold, kth_largest, materialise, narrow, one_text, only, slices, text_bytes
 
 #: Buckets that n-grams are hashed into.
 BUCKETS = 10_000
@@ -93,7 +93,10 @@ def log_weights(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of a bounded sample of labelled documents: quality (0 if any label says so), part (0 calibrates), text."""
+    """Texts of a bounded sample of labelled documents: quality (0 if any label says so), part (0 calibrates), text.
+
+    An id is one document; of several texts the one with the smallest hash stands for it.
+    """
     marked = (
         only(labels, doc_id="doc_id", quality="quality")
         .where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (fold("doc_id", LEARN_FOLDS) != 0))
@@ -103,7 +106,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     texts = only(docs, doc_id="doc_id", text="text").where(F.col("doc_id").isNotNull())
     ids = marked.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy("order", "doc_id").limit(SAMPLE)
     chosen = materialise(ids.select("doc_id", "quality", F.pmod("order", F.lit(CALIBRATE)).alias("part")), "quality-labels")
-    return materialise(texts.join(F.broadcast(chosen), "doc_id").select("quality", "part", text_bytes().alias("text")), "quality-sample")
+    return materialise(one_text(texts.join(F.broadcast(chosen), "doc_id"), "doc_id", "quality", "part").drop("doc_id"), "quality-sample")
 
 
 def best_cut(low: np.ndarray, high: np.ndarray) -> float:
