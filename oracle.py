@@ -764,7 +764,7 @@ UNION ALL SELECT 'second', r_regionkey, r_name FROM region"""
 ORACLE["report_round_trip"] = sql("""SELECT outcome, "group", count(*) AS n, CAST(sum(status) AS BIGINT) AS events,
 CAST(sum("time") AS BIGINT) AS fu FROM acute GROUP BY outcome, "group\"""", ACUTE)
 ORACLE["propensity_terms"] = """SELECT p_name AS name, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS place
-FROM part WHERE p_partkey <= 60 AND p_partkey % 10 <> 0 AND p_size % 7 <= 4"""
+FROM part WHERE p_partkey % 10 <> 0 AND p_size % 7 <= 4"""
 ORACLE["level_order"] = sql("""SELECT outcome, "group", CAST(row_number() OVER (
   ORDER BY outcome, list_position(['X', '1d', '2d', '3d'], "group")) - 1 AS INTEGER) AS row_no
 FROM (SELECT DISTINCT outcome, "group" FROM acute)""", ACUTE)
