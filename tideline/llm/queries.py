@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from tideline.llm import bpe, embeddings, language_id, language_model, licences, packing, quality, simhash, topk, toxicity
+from tideline.llm import (
+    bpe, embeddings, fill_in_middle, language_id, language_model, licences, packing, quality, simhash, topk, toxicity,
+)
 from tideline.llm.common import fold
 
 
@@ -58,6 +60,10 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def fill_in_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_exact_top_k": exact_top_k,
     "op2_license_scans": license_scans,
@@ -69,6 +75,7 @@ QUERIES = {
     "op8_language_id": language_predictions,
     "op9_lm_scoring": lm_scoring,
     "op10_byte_bpe": byte_bpe,
+    "op11_fill_in_middle": fill_in_middles,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -85,6 +92,6 @@ TOP_K_SQL = """
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op1_exact_top_k": TOP_K_SQL, "op2_license_scans": licences.scan_sql()}
+ORACLE: dict[str, str] = {"op1_exact_top_k": TOP_K_SQL, "op2_license_scans": licences.scan_sql(), "op11_fill_in_middle": fill_in_middle.sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
