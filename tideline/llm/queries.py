@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tideline.llm import (
-    bpe, embeddings, fill_in_middle, language_id, language_model, licences, packing, quality, simhash, topk, toxicity,
+    alignment, bpe, embeddings, fill_in_middle, language_id, language_model, licences, packing, quality, simhash, topk,
+    toxicity,
 )
 from tideline.llm.common import fold
 
@@ -64,6 +65,11 @@ def fill_in_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
 
 
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.link_statistics(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_exact_top_k": exact_top_k,
     "op2_license_scans": license_scans,
@@ -76,6 +82,7 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring,
     "op10_byte_bpe": byte_bpe,
     "op11_fill_in_middle": fill_in_middles,
+    "op12_cross_tokenizer_alignment": cross_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 
