@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tideline.llm import (
-    alignment, bpe, embeddings, fill_in_middle, language_id, language_model, licences, packing, quality, simhash, topk,
-    toxicity,
+    alignment, bpe, embeddings, fill_in_middle, language_id, language_model, licences, packing, pages, quality, simhash,
+    topk, toxicity,
 )
 from tideline.llm.common import fold
 
@@ -70,6 +70,11 @@ def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_statistics(table(spark, sf_dir, "documents"), *paths)
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES = {
     "op1_exact_top_k": exact_top_k,
     "op2_license_scans": license_scans,
@@ -83,6 +88,7 @@ QUERIES = {
     "op10_byte_bpe": byte_bpe,
     "op11_fill_in_middle": fill_in_middles,
     "op12_cross_tokenizer_alignment": cross_tokenizer_alignment,
+    "op13_html_extraction": html_extraction,
     "pipeline": corpus_pipeline.run,
 }
 
