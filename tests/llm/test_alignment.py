@@ -73,7 +73,8 @@ def expected(rows, coders):
 
 EDGES = [None, "", " ", "   ", "a", " a", "a ", "a  b", "  a   b    ", "\n", "a\n b\n\n  c\t d", "don't we'll I'm", "语言 模型 语", "a▁b",
          "▁", "<s> </s> <unk> <|endoftext|> <0x41>", "x y　z", "é é ﬁ", "\U0001f600 \U0001f468‍\U0001f469", "\x00\x01\x7f",
-         "12345 6789 3.14", "def f(x):\n        return x\n", "a" * 300, " " * 50 + "end", "\r\n\r\n", "Ünïcödé straße"]
+         "12345 6789 3.14", "def f(x):\n        return x\n", "a" * 300, " " * 50 + "end", "\r\n\r\n", "Ünïcödé straße",
+         "line.\nNext line\nlast", "a\n\nb;\r\nc", "a \0b", "x\0\ny", "tab\tinside it", "\nstart", " \n start"]
 
 
 def test_equals_whole_texts(spark, coders, prose):
@@ -115,6 +116,16 @@ def test_no_rows(spark):
     assert link_statistics(df, A, B).count() == 0 and alignments(df, A, B).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list("ab1. \n\t\r\0\x1c\xa0\u3000▁é'!")), max_size=12))
+def test_units_are_encoded_apart(coders, text):
+    keys = alignment.keys_of(text)
+    assert "".join(map(alignment.unit_of, keys)) == " " + text
+    a, _, b, _ = plain([text], coders)[0]
+    got = alignment.text_tokens([text.encode()], A, B)
+    assert got[0].tolist() == a and got[2].tolist() == b
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=12), st.data())
 def test_groups_and_overlaps_of_any_cuts(widths, data):
