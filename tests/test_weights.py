@@ -99,10 +99,77 @@ def test_separated_groups_end(spark):
     assert model.converged["all"] and np.allclose(got["weight"], 1, atol=1e-6)
 
 
-def test_too_many_levels_fail(spark):
-    sdf = spark.range(3000).selectExpr("CAST(id AS STRING) AS key", "IF(id % 2 = 0, 'X', '1d') AS `group`")
-    with pytest.raises(ValueError, match="levels"):
-        weights.fit_propensity(sdf, ["key"], levels=["X", "1d"])
+def test_three_thousand_levels(spark):
+    """One covariate of 3,000 levels: probabilities are the shares of its levels, also where groups are missing."""
+    rng = np.random.default_rng(5)
+    n = 24_000
+    df = pd.DataFrame({"id": range(n), "key": [f"k{i}" for i in rng.integers(0, 3000, n)], "group": rng.choice(LEVELS, n, p=[0.5, 0.3, 0.2])})
+    sdf = spark.createDataFrame(df)
+    model = weights.fit_propensity(sdf, ["key"], levels=LEVELS)
+    assert model.tables is not None and len(model.terms[0].levels) == df["key"].nunique() > 2990
+    got = weights.iptw_weights(sdf, model).toPandas()
+    want = got.groupby("key")["id"].transform("size") / got.groupby(["key", "group"])["id"].transform("size")
+    assert np.allclose(got["weight"], want, rtol=1e-9) and got.columns.tolist() == [*sdf.columns, "weight"]
+    scores = weights.propensity_scores(sdf, model).toPandas()
+    assert np.allclose(scores[[f"ps_{g}" for g in LEVELS]].sum(axis=1), 1)
+
+
+@pytest.mark.parametrize("terms", [["age", "area"], ["area"], ["age"], ["area", "half", "age"], ["site", "area"], ["site", "age", "area"]])
+def test_matrix_free_fits_equal_dense_ones(spark, monkeypatch, terms):
+    df = people(1200)
+    rng = np.random.default_rng(9)
+    df["site"] = [f"s{i:02d}" for i in rng.integers(0, 25, len(df))]
+    df["by"] = np.where(df["half"] == "p", "one", "two")
+    sdf = spark.createDataFrame(df)
+    for by in (None, "by"):
+        dense = weights.iptw_weights(sdf, weights.fit_propensity(sdf, terms, levels=LEVELS, by=by)).orderBy("id").toPandas()
+        with monkeypatch.context() as m:
+            m.setattr(weights, "DENSE_ROWS", 0)
+            m.setattr(weights, "LISTED", 4)
+            model = weights.fit_propensity(sdf, terms, levels=LEVELS, by=by)
+            free = weights.iptw_weights(sdf, model).orderBy("id").toPandas()
+        assert model.tables is not None and all(model.converged.values())
+        assert np.allclose(free["weight"], dense["weight"], rtol=1e-6)
+
+
+def test_matrix_free_edge_rows(spark, monkeypatch):
+    """NULLs, a group without subjects, a constant covariate, levels that only one fit or no fit has."""
+    monkeypatch.setattr(weights, "DENSE_ROWS", 0)
+    df = people()
+    df = df[df["group"] != "2d"].assign(same="k")
+    df["area"] = np.where((df["half"] == "p") & (df["area"] == "c"), "b", df["area"])
+    sdf = spark.createDataFrame(df).withColumn("age", F.when(F.col("id") != 5, F.col("age")))
+    model = weights.fit_propensity(sdf, ["age", "area", "same"], levels=LEVELS, by="half")
+    got = weights.iptw_weights(sdf, model).toPandas()
+    assert got["weight"].isna().sum() == (got["id"] == 5).sum()
+    scores = weights.propensity_scores(sdf, model).toPandas().dropna(subset=["ps_1d"])
+    for _, mine in scores.groupby("half"):
+        assert mine["ps_1d"].sum() == pytest.approx((mine["group"] == "1d").sum(), abs=1e-6)
+    assert (scores["ps_2d"] == 0).all()
+    new = sdf.limit(1).withColumns({"area": F.lit("nowhere"), "half": F.lit("q"), "age": F.lit(40)})
+    base = sdf.limit(1).withColumns({"area": F.lit("a"), "half": F.lit("q"), "age": F.lit(40)})
+    one, two = (weights.propensity_scores(d, model).first()["ps_1d"] for d in (new, base))
+    assert one == pytest.approx(two)
+
+
+def test_passes_bring_few_rows_to_the_driver(spark, monkeypatch):
+    """27 fits of a covariate with 1,000 levels: rows of coefficients, no matrices."""
+    from tideline.operators import newton_cg
+
+    brought = []
+    inside = newton_cg.pass_over
+
+    def counted(*asked):
+        brought.append(inside(*asked))
+        return brought[-1]
+
+    monkeypatch.setattr(newton_cg, "pass_over", counted)
+    sdf = spark.range(60_000).selectExpr(
+        "CAST(id * 7919 % 27 AS STRING) AS fit_no", "CAST(hash(id) % 500 AS STRING) AS key", "element_at(array('X', '1d', '2d'), CAST(1 + pmod(hash(id, 3), 3) AS INT)) AS `group`"
+    )
+    model = weights.fit_propensity(sdf, ["key"], levels=LEVELS, by="fit_no")
+    assert len(model.tables) == 27 and all(model.converged.values())
+    assert all(sum(len(sums) for _, sums, _ in one.values()) < 100_000 for one in brought)
 
 
 def test_terms(spark):

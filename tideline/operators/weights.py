@@ -3,12 +3,13 @@
 Subjects with equal covariates and exposure are one cell with a count, so the rows that the fit passes
 over do not grow with the subjects unless the covariates are continuous. All fits of a run (phases,
 sensitivity sets, subgroups) share each pass: a pass sums score and information per fit, the driver only
-sees those sums.
+sees those sums. Where the information matrices would be large, as covariates have many levels, the fits are
+matrix-free (``newton_cg``).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import add, and_
 
@@ -17,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tideline import schema as S
+from tideline.operators.newton_cg import Layout, solve
 from tideline.sources.definitions import definition_filter
 from tideline.sources.stages import materialise
 
-MAX_LEVELS = 1000  # of a covariate: the fit works on one column per level
+DENSE_ROWS = 100_000  # numbers of scores and information matrices that a pass brings to the driver at most
+LISTED = 64  # levels that a row expression looks through; more are looked up by a join
 BROADCAST_NUMBERS = 1_000_000  # coefficients that are sent to every executor at most
 TOLERANCE = 1e-10
 JUMP = 27.0
@@ -59,6 +62,7 @@ class PropensityModel:
     coefs: dict            # fit key -> level x parameter array; -inf intercept for a level without subjects
     converged: dict
     loglik: dict
+    tables: dict | None = None  # matrix-free fits: fit key -> row x level array, see newton_cg.Layout
 
     @property
     def width(self) -> int:
@@ -78,12 +82,8 @@ def _describe(cells: DataFrame, terms: list[str]) -> tuple[Term, ...]:
     count = F.col("n_cell")
     sizes = cells.agg(
         F.sum(count).alias("total"),
-        *[F.count_distinct(F.col(t)).alias(f"d_{t}") for t in categorical],
         *[F.sum(count * F.col(t)).cast("double").alias(f"s_{t}") for t in numeric],
     ).first()
-    wide = [t for t in categorical if sizes[f"d_{t}"] > MAX_LEVELS]
-    if wide:
-        raise ValueError(f"more than {MAX_LEVELS} levels: {wide}")
     means = {t: (sizes[f"s_{t}"] or 0.0) / max(sizes["total"] or 0, 1) for t in numeric}
     detail = cells.agg(
         F.lit(1),
@@ -179,6 +179,10 @@ def fit_propensity(
     model = PropensityModel(group, tuple(levels), described, by, {}, {}, {})
     width, n_levels = model.width, len(levels)
     y = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(group)) - 1
+    fits = [r["fit"] for r in cells.select("fit").distinct().collect()]
+    size = width * n_levels
+    if len(fits) * (1 + size + size * (size + 1) // 2) > DENSE_ROWS:
+        return _fit_wide(cells.withColumn("y", y.cast("int")), model, fits, max_iter)
     design = cells.select(
         "fit", y.cast("int").alias("y"), "n_cell", F.array(*model.design()).alias("x")
     )
@@ -240,12 +244,84 @@ def fit_propensity(
     return PropensityModel(group, tuple(levels), described, by, coefs, converged, loglik)
 
 
+def _place(df: DataFrame, term: Term) -> tuple[DataFrame, Column]:
+    """``df`` with what the lookup needs, and the place of the row's level among those of the term."""
+    value = F.col(term.name).cast("string")
+    if len(term.levels) <= LISTED:
+        return df, F.array_position(F.lit(list(term.levels)), value).cast("int") - 1
+    name = f"_place_{term.name}"
+    table = df.sparkSession.createDataFrame(
+        pa.table({"_level": pa.array(term.levels, pa.string()), name: pa.array(range(len(term.levels)), pa.int32())})
+    )
+    known = F.broadcast(table) if len(term.levels) <= BROADCAST_NUMBERS else table
+    return df.join(known, value == F.col("_level")).drop("_level"), F.col(name)
+
+
+def _wide_layout(model: PropensityModel) -> Layout:
+    sizes = tuple(len(t.levels) for t in model.terms if t.levels) or (1,)
+    return Layout(sizes, sum(not t.levels for t in model.terms), len(model.levels))
+
+
+def _fit_wide(cells: DataFrame, model: PropensityModel, fits: list[str], max_iter: int) -> PropensityModel:
+    """The fit without information matrices, for covariates of any number of levels."""
+    layout, places, numbers = _wide_layout(model), [], []
+    for t in model.terms:
+        if t.levels:
+            cells, place = _place(cells, t)
+            places.append(place + layout.starts[len(places)])
+        else:
+            numbers += t.columns()
+    none = F.array().cast("array<double>")
+    design = cells.select(
+        "fit", "y", "n_cell", F.array(*(places or [F.lit(0)])).alias("places"), (F.array(*numbers) if numbers else none).alias("numbers")
+    )
+    found = solve(materialise(design.sortWithinPartitions("fit"), "propensity"), layout, fits, max_iter)
+    converged = {key: fit.done for key, fit in found.items()}
+    values = {key: fit.value for key, fit in found.items()}
+    return replace(model, converged=converged, loglik=values, tables={key: fit.theta for key, fit in found.items()})
+
+
+def _wide_predictors(df: DataFrame, model: PropensityModel) -> tuple[DataFrame, list[Column]]:
+    """As ``_linear_predictors``, with the coefficients of levels joined by fit and level."""
+    layout, groups, fits = _wide_layout(model), range(len(model.levels)), list(model.tables)
+    stacked = np.stack([model.tables[f] for f in fits]) if fits else np.zeros((0, layout.rows, len(groups)))
+    categorical, numeric = [t for t in model.terms if t.levels], [t for t in model.terms if not t.levels]
+
+    def joined_by(rows: DataFrame, condition: Column, **columns: pa.Array) -> DataFrame:
+        table = pa.table(columns)
+        sent = df.sparkSession.createDataFrame(table)
+        small = table.num_rows * table.num_columns <= BROADCAST_NUMBERS  # the size is known here
+        return rows.join(F.broadcast(sent) if small else sent, condition, "left").drop("_f", "_level")
+
+    own_fit = F.col("_fit") == F.col("_f")
+    rows = df.withColumn("_fit", F.col(model.by).cast("string") if model.by else F.lit("all"))
+    # A level that the fit has not seen counts as the baseline; without categories the first row is the intercept.
+    single = {f"_b{at}_{k}": pa.array(stacked[:, layout.starts[at], k]) for at in range(len(layout.sizes)) for k in groups}
+    single |= {f"_n{j}_{k}": pa.array(stacked[:, layout.starts[-1] + j, k]) for j in range(len(numeric)) for k in groups}
+    rows = joined_by(rows, own_fit, _f=pa.array(fits, pa.string()), **single)
+    eta = [F.lit(0.0) if categorical else F.col(f"_b0_{k}") for k in groups]
+    for at, t in enumerate(categorical):
+        mine = stacked[:, layout.starts[at] : layout.starts[at + 1]].reshape(-1, len(groups))
+        rows = joined_by(
+            rows, own_fit & (F.col(t.name).cast("string") == F.col("_level")),
+            _f=pa.array([f for f in fits for _ in t.levels], pa.string()), _level=pa.array(list(t.levels) * len(fits), pa.string()),
+            **{f"_c{at}_{k}": pa.array(mine[:, k]) for k in groups},
+        )
+        unseen = F.when(F.col(t.name).isNotNull(), 1)
+        eta = [eta[k] + F.coalesce(f"_c{at}_{k}", unseen * F.col(f"_b{at}_{k}")) for k in groups]
+    for j, t in enumerate(numeric):
+        eta = [eta[k] + F.col(f"_n{j}_{k}") * t.columns()[0] for k in groups]
+    return rows, eta
+
+
 def _linear_predictors(df: DataFrame, model: PropensityModel) -> tuple[DataFrame, list[Column]]:
     """``df`` with what the predictors need, and one predictor per level.
 
     A covariate's level is looked up among the coefficients by its place, so the expressions grow with the
     covariates, not with their levels. A level that the fit has not seen counts as the baseline.
     """
+    if model.tables is not None:
+        return _wide_predictors(df, model)
     n_levels, width = len(model.levels), model.width
     if model.by is None:
         joined, coefs = df, F.lit([float(v) for v in model.coefs["all"].ravel()])
@@ -280,7 +356,7 @@ def propensity_scores(df: DataFrame, model: PropensityModel, prefix: str = "ps_"
     top = F.greatest(*names)
     total = reduce(add, [F.exp(F.col(n) - top) for n in names])
     scores = {prefix + level: F.exp(F.col(n) - top) / total for n, level in zip(names, model.levels)}
-    return with_eta.withColumns(scores).drop(*names, "fit_key", "fit_coefs")
+    return with_eta.withColumns(scores).select(*df.columns, *scores)
 
 
 def iptw_weights(df: DataFrame, model: PropensityModel, estimand: str = "ATE", name: str = "weight") -> DataFrame:
@@ -297,5 +373,5 @@ def iptw_weights(df: DataFrame, model: PropensityModel, estimand: str = "ATE", n
     return (
         with_eta.withColumn("eta_own", own)
         .withColumn(name, weight)
-        .drop(*names, "eta_own", "fit_key", "fit_coefs")
+        .select(*[c for c in df.columns if c != name], name)
     )
