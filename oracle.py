@@ -359,20 +359,25 @@ def summary(source: str) -> str:
 
 
 ORACLE["weight_summary"] = sql(summary("weighted"), SATURATED)
-ORACLE["balance_table"] = sql(
-    f"""SELECT variable, level, kind, {r6('max(un)')} AS max_diff_un, {r6('max(adj)')} AS max_diff_adj FROM (
-      SELECT u.variable, u.level, u.kind, abs(u.mean - v.mean) / sqrt((u.sd * u.sd + v.sd * v.sd) / 2) AS un,
+
+
+def balance(out: str, by: str) -> str:
+    return f"""SELECT {out} variable, level, kind, {r6('max(un)')} AS max_diff_un, {r6('max(adj)')} AS max_diff_adj FROM (
+      SELECT g1, u.variable, u.level, u.kind, abs(u.mean - v.mean) / sqrt((u.sd * u.sd + v.sd * v.sd) / 2) AS un,
         abs(x.mean - y.mean) / sqrt((u.sd * u.sd + v.sd * v.sd) / 2) AS adj
       FROM pairs JOIN before u ON u."group" = g1 AND u.kind = 'numeric' JOIN before v ON v."group" = g2 AND v.variable = u.variable
       JOIN after x ON x."group" = g1 AND x.variable = u.variable JOIN after y ON y."group" = g2 AND y.variable = u.variable
       UNION ALL
-      SELECT variable, level, kind, abs(sum(CASE WHEN "group" = g1 THEN pu ELSE -pu END)),
+      SELECT g1, variable, level, kind, abs(sum(CASE WHEN "group" = g1 THEN pu ELSE -pu END)),
         abs(sum(CASE WHEN "group" = g1 THEN pa ELSE -pa END))
       FROM (SELECT b."group", b.variable, b.level, b.kind, b.pct / 100 AS pu, a.pct / 100 AS pa FROM before b JOIN after a
             ON a."group" = b."group" AND a.variable = b.variable AND a.level = b.level WHERE b.kind IN ('flag', 'category'))
       JOIN pairs ON "group" IN (g1, g2) GROUP BY variable, level, kind, g1, g2)
-    GROUP BY variable, level, kind""",
-    SATURATED, f"before AS MATERIALIZED ({table_rows('weighted', '1.0::DOUBLE')})",
+    GROUP BY {by} variable, level, kind"""
+
+
+ORACLE["balance_table"] = sql(
+    balance("", ""), SATURATED, f"before AS MATERIALIZED ({table_rows('weighted', '1.0::DOUBLE')})",
     f"after AS MATERIALIZED ({table_rows('weighted', 'weight')})", _pairs_cte(),
 )
 ORACLE["balance_distribution"] = sql(
@@ -769,3 +774,42 @@ ORACLE["level_order"] = sql("""SELECT outcome, "group", CAST(row_number() OVER (
   ORDER BY outcome, list_position(['X', '1d', '2d', '3d'], "group")) - 1 AS INTEGER) AS row_no
 FROM (SELECT DISTINCT outcome, "group" FROM acute)""", ACUTE)
 ORACLE["ps_assess"] = ORACLE["balance_table"]
+
+# Every fit: the stages of the analyses, a group of a fit is named stage#group.
+_FITS = {"s_acute": "acute", "s_post": "postacute", "s_late": "postacute90d", "s_acute_pcr": "acute_pcr",
+         "s_post_pcr": "postacute_pcr", "s_acute_180": "acute_180", "s_post_180": "postacute_180",
+         "s_acute_sub": "acute_sub", "s_post_sub": "postacute_sub"}
+_COLUMNS = ", ".join([*NUMERIC, *FLAGS, *TEXTS])
+_STAGES = [c for c in _ctes if c.split(" ")[0] in _FITS] + [
+    "fits AS MATERIALIZED (" + " UNION ALL ".join(
+        f"""SELECT '{name}|' || subgroup AS stage, "group" AS plain, '{name}|' || subgroup || '#' || "group" AS "group", weight, {_COLUMNS}
+        FROM {source}""" for source, name in _FITS.items()) + ")"
+]
+ORACLE["balance_by_fit"] = sql(
+    balance("split_part(g1, '#', 1) AS stage,", "split_part(g1, '#', 1),"), *_STAGES,
+    f"before AS MATERIALIZED ({table_rows('fits', '1.0::DOUBLE')})", f"after AS MATERIALIZED ({table_rows('fits', 'weight')})",
+    _pairs_cte().replace("pairs AS", "plain_pairs AS"),
+    """pairs AS (SELECT stage || '#' || g1 AS g1, stage || '#' || g2 AS g2 FROM plain_pairs, (SELECT DISTINCT stage FROM fits))""",
+)
+_BIN = """CASE WHEN lo = hi THEN '1' ELSE
+  CAST(least(20, CAST(floor((x - lo) * 20.0 / (hi - lo)) AS BIGINT) + 1) AS VARCHAR) END"""
+ORACLE["distribution_by_fit"] = sql(
+    f"""SELECT stage, variable, "group", bin, count(*) AS n,
+      {r6('count(*) / sum(count(*)) OVER (PARTITION BY stage, variable, "group")')} AS share_un,
+      {r6('sum(weight) / sum(sum(weight)) OVER (PARTITION BY stage, variable, "group")')} AS share_adj
+    FROM (SELECT stage, variable, "group", weight, {_BIN} AS bin FROM (
+        SELECT *, min(x) OVER (PARTITION BY stage, variable) AS lo, max(x) OVER (PARTITION BY stage, variable) AS hi FROM ("""
+    + " UNION ALL ".join(f"SELECT stage, '{v}' AS variable, plain AS \"group\", weight, {v} AS x FROM fits" for v in NUMERIC)
+    + ")) UNION ALL "
+    + " UNION ALL ".join(f"SELECT stage, '{v}', plain, weight, {v} FROM fits" for v in TEXTS)
+    + " UNION ALL "
+    + " UNION ALL ".join(f"SELECT stage, '{v}', plain, weight, CASE WHEN {v} = 1 THEN 'true' ELSE 'false' END FROM fits" for v in FLAGS)
+    + """) GROUP BY stage, variable, "group", bin""",
+    *_STAGES,
+)
+ORACLE["weights_by_fit"] = sql(f"""SELECT stage, 'weight' AS variable, count(weight) AS n, {r6('min(weight)')} AS min,
+  {r6('quantile_cont(weight, 0.25)')} AS q1, {r6('quantile_cont(weight, 0.5)')} AS median, {r6('avg(weight)')} AS mean,
+  {r6('quantile_cont(weight, 0.75)')} AS q3, {r6('max(weight)')} AS max FROM fits GROUP BY stage""", *_STAGES)
+ORACLE["propensity_wide"] = sql(f"""SELECT subject_id, CAST("match" AS VARCHAR) AS household, "group",
+  {r6('CAST(count(*) OVER (PARTITION BY "match") AS DOUBLE) / count(*) OVER (PARTITION BY "match", "group")')} AS weight
+FROM ana WHERE "match" IS NOT NULL""")

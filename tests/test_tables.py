@@ -113,15 +113,58 @@ def test_export_labels(df, spark):
     assert {"sex = F (%)", "sex = M (%)"} <= {r["Name"] for r in every.collect()}
 
 
-@pytest.mark.parametrize("buckets", [100_000, 100])
-def test_quantiles_by_buckets(spark, monkeypatch, buckets):
-    """With few buckets they are cut again; a third of all rows is one value."""
-    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+@pytest.mark.parametrize("ranges", ["1", "7", "40"])
+def test_quantiles_by_ranges(spark, ranges):
+    """Values of a key are dealt to several ranges; a third of all rows is one value, one key has most rows."""
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.exponential(1, 2000), np.full(1000, 0.75)])
-    got = quantiles.numeric_summary(spark.createDataFrame(pd.DataFrame({"x": x})), "x").first()
+    key = rng.choice(["a", "b", None, "c"], 3000, p=[0.8, 0.1, 0.099, 0.001])
+    pdf = pd.DataFrame({"x": x, "y": rng.integers(0, 5, 3000).astype(float), "key": key})
+    pdf.loc[pdf["key"] == "c", "y"] = np.nan
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(pdf)
+        got = quantiles.numeric_summary(df, "x").first()
+        keyed = quantiles.numeric_summaries(df, ["x", "y"], ["key"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
     assert (got["q1"], got["median"], got["q3"]) == pytest.approx(tuple(np.quantile(x, [0.25, 0.5, 0.75])), rel=1e-14)
     assert got["n"] == 3000 and got["max"] == x.max() and got["mean"] == pytest.approx(x.mean())
+    assert len(keyed) == 8
+    for r in keyed:
+        mine = pdf.loc[pdf["key"].isna() if r["key"] is None else pdf["key"] == r["key"], r["variable"]].dropna()
+        assert r["n"] == len(mine)
+        if len(mine):
+            want = (mine.min(), *np.quantile(mine, [0.25, 0.5, 0.75]), mine.max(), mine.mean())
+            assert (r["min"], r["q1"], r["median"], r["q3"], r["max"], r["mean"]) == pytest.approx(want, rel=1e-12)
+        else:
+            assert r["median"] is None and r["mean"] is None
+
+
+def test_distributions_of_every_fit(df):
+    _, sdf = df
+    fits = sdf.withColumn("stage", F.when(F.col("sex") == "F", "a").otherwise("b")).withColumn("same", F.lit(3))
+    names = ["age", "area", "same"]
+    both = tables.ps_assess(fits, names, bins=7, by=["stage"])
+    for stage in ("a", "b"):
+        part = fits.where(F.col("stage") == stage)
+        alone = tables.ps_assess(part, names, bins=7)
+        for name in alone:
+            want = alone[name].toPandas()
+            keys = [c for c in want.columns if want[c].dtype == object]
+            got = both[name].where(F.col("stage") == stage).drop("stage").toPandas().sort_values(keys).reset_index(drop=True)
+            pd.testing.assert_frame_equal(got[want.columns], want.sort_values(keys).reset_index(drop=True))
+
+
+def test_distributions_read_their_rows_twice_at_most(spark, df, tmp_path):
+    df[1].withColumn("stage", F.lit("a")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    plan = tables.balance_distributions(rows, ["age", "area", "sex"], by=["stage"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
 
 
 def test_quantiles_of_nothing(spark):

@@ -226,29 +226,58 @@ def balance_table(
     )
 
 
-def balance_distribution(df: DataFrame, variable: str, weight: str = "weight", bins: int = 20) -> DataFrame:
-    """Share of each group per bin (numeric) or level (other), unadjusted and weighted."""
-    if isinstance(df.schema[variable].dataType, T.NumericType):
-        x = F.col(variable).cast("double")
-        ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-        if ends["lo"] is None or ends["lo"] == ends["hi"]:
-            binned = F.when(x.isNotNull(), "1")
-        else:
-            binned = F.least(F.width_bucket(x, F.lit(ends["lo"]), F.lit(ends["hi"]), F.lit(bins)), F.lit(bins)).cast("string")
+def balance_distributions(
+    df: DataFrame, variables: list[str], weight: str = "weight", bins: int = 20, by: list[str] = []
+) -> DataFrame:
+    """Share of each group per bin (numeric variables) or level (other), unadjusted and weighted, of all variables.
+
+    With ``by`` (the stage) every fit has its own bins, between its own smallest and largest value; a variable with
+    one value has one bin. One pass finds the ends of all bins, one more counts all bins. Missing values leave the shares.
+    """
+    numeric = [v for v in variables if isinstance(df.schema[v].dataType, T.NumericType)]
+    ends = df.groupBy(*by).agg(
+        F.lit(1), *[f(F.col(v).cast("double")).alias(f"_{end}_{v}") for v in numeric for end, f in (("lo", F.min), ("hi", F.max))]
+    )
+    if by:
+        ends = ends.withColumnsRenamed({b: f"_{b}" for b in by})
+        rows = df.join(ends, reduce(and_, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by]))
+    elif numeric:
+        found = ends.first()  # one row, two numbers a variable
+        rows = df.withColumns({f"_{end}_{v}": F.lit(found[f"_{end}_{v}"]).cast("double") for v in numeric for end in ("lo", "hi")})
     else:
-        binned = F.col(variable).cast("string")
-    rows = df.select("group", binned.alias("bin"), F.col(weight).alias("w")).where(F.col("bin").isNotNull())
-    counts = rows.groupBy("group", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-    totals = counts.groupBy("group").agg(F.sum("n").alias("total_n"), F.sum("w").alias("total_w"))
-    return counts.join(totals, "group").select(
-        "group", "bin", "n", (F.col("n") / F.col("total_n")).alias("share_un"), (F.col("w") / F.col("total_w")).alias("share_adj")
+        rows = df
+
+    def bin_of(v: str) -> Column:
+        if v not in numeric:
+            return F.col(v).cast("string")
+        x, low, high = F.col(v).cast("double"), F.col(f"_lo_{v}"), F.col(f"_hi_{v}")
+        several = F.least(F.width_bucket(x, low, high, F.lit(bins)), F.lit(bins)).cast("string")
+        return F.when(x.isNotNull(), F.when(low == high, "1").otherwise(several))
+
+    long = rows.select(
+        *by, "group", F.col(weight).alias("w"),
+        F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), bin_of(v).alias("bin")) for v in variables])),
+    ).where(F.col("bin").isNotNull())
+    counts = long.groupBy(*by, "variable", "group", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    whole = Window.partitionBy(*by, "variable", "group")
+    return counts.select(
+        *by, "variable", "group", "bin", "n", (F.col("n") / F.sum("n").over(whole)).alias("share_un"),
+        (F.col("w") / F.sum("w").over(whole)).alias("share_adj"),
     )
 
 
-def ps_assess(df: DataFrame, variables: list[str], weight: str = "weight", bins: int = 20) -> dict[str, DataFrame]:
-    """Weight summary, balance table and the distribution of each variable."""
-    out = {"weights": weight_summary(df, weight), "balance": balance_table(df, variables, weight)}
-    return out | {f"distribution_{v}": balance_distribution(df, v, weight, bins) for v in variables}
+def balance_distribution(df: DataFrame, variable: str, weight: str = "weight", bins: int = 20) -> DataFrame:
+    """The distribution of one variable over all rows."""
+    return balance_distributions(df, [variable], weight, bins).drop("variable")
+
+
+def ps_assess(
+    df: DataFrame, variables: list[str], weight: str = "weight", bins: int = 20, by: list[str] = []
+) -> dict[str, DataFrame]:
+    """Weight summary, balance table and the distribution of each variable, of every fit if ``by`` names its stage."""
+    spread = balance_distributions(df, variables, weight, bins, by)
+    out = {"weights": weight_summary(df, weight, [*by, "group"]), "balance": balance_table(df, variables, weight, by=by)}
+    return out | {f"distribution_{v}": spread.where(F.col("variable") == v).drop("variable") for v in variables}
 
 
 def label_rows(table: DataFrame, defs: DataFrame, key: str = "Name") -> DataFrame:

@@ -360,8 +360,7 @@ def balance_table(spark, sf):
 @query
 def balance_distribution(spark, sf):
     df = weighted(spark, sf, ["segment"], ["age"])
-    both = {v: tables.balance_distribution(df, v) for v in ("age", "segment")}
-    return rounded(concat_tables(both).withColumnRenamed("table_name", "variable"), "share_un", "share_adj")
+    return rounded(tables.balance_distributions(df, ["age", "segment"]), "share_un", "share_adj")
 
 
 @query
@@ -370,6 +369,35 @@ def numeric_summary(spark, sf):
     return rounded(out, "min", "q1", "median", "mean", "q3", "max")
 
 
+def fits(spark, sf) -> DataFrame:
+    """Every stage and subgroup with the weights of its fit and the table variables, written once."""
+    cohort = eligible(spark, sf)
+    names = dict.fromkeys([*analysis._needed(list(VARIANTS), ["segment"], cohort.columns), *TABLE_VARIABLES])
+    cohort = materialise(cohort.select(*names), "cohort")
+    rows = analysis.weighted_stages(cohort, ["segment"], analysis.stages_of(list(VARIANTS)))
+    return materialise(table_input(rows.select("stage", "group", "weight", *TABLE_VARIABLES)), "fits")
+
+
+@query
+def balance_by_fit(spark, sf):
+    """Balance before and after weighting of all fits."""
+    out = tables.ps_assess(fits(spark, sf), TABLE_VARIABLES, by=["stage"])["balance"]
+    return rounded(out, "max_diff_un", "max_diff_adj")
+
+
+@query
+def distribution_by_fit(spark, sf):
+    """Distributions of all table variables in all fits."""
+    return rounded(tables.balance_distributions(fits(spark, sf), TABLE_VARIABLES, by=["stage"]), "share_un", "share_adj")
+
+
+@query
+def weights_by_fit(spark, sf):
+    """Summary of the weights of all fits."""
+    out = quantiles.numeric_summaries(fits(spark, sf), ["weight"], ["stage"])
+    return rounded(out, "min", "q1", "median", "mean", "q3", "max")
+
+
 @query
 def stacked_tables(spark, sf):
     table = materialise(tables.baseline_table(table_input(analysable(spark, sf)), ["age", "dx_mi"]), "table1")
@@ -405,6 +433,15 @@ def iptw_saturated(spark, sf):
     return rounded(df.select("subject_id", "segment", "group", "weight"), "weight")
 
 
+@query
+def propensity_wide(spark, sf):
+    """A covariate whose levels grow with the subjects (the matched set): the fit without information matrices."""
+    rows = analysable(spark, sf).where("match IS NOT NULL").select("subject_id", F.col("match").cast("string").alias("household"), "group")
+    rows = materialise(rows, "households")
+    df = weights.iptw_weights(rows, weights.fit_propensity(rows, ["household"]))
+    return rounded(df.select("subject_id", "household", "group", "weight"), "weight")
+
+
 @query
 def propensity_scores(spark, sf):
     """Full model: expected group sizes within each covariate, which the maximum makes equal to the observed."""
