@@ -813,3 +813,8 @@ ORACLE["weights_by_fit"] = sql(f"""SELECT stage, 'weight' AS variable, count(wei
 ORACLE["propensity_wide"] = sql(f"""SELECT subject_id, CAST("match" AS VARCHAR) AS household, "group",
   {r6('CAST(count(*) OVER (PARTITION BY "match") AS DOUBLE) / count(*) OVER (PARTITION BY "match", "group")')} AS weight
 FROM ana WHERE "match" IS NOT NULL""")
+ORACLE["ordered_report"] = sql("""SELECT outcome, "group", count(*) AS n, CAST(sum(status) AS BIGINT) AS events,
+  CAST(sum("time") AS BIGINT) AS fu,
+  row_number() OVER (ORDER BY outcome, list_position(['X', '1d', '2d', '3d'], "group")) - 1 AS place
+FROM acute GROUP BY outcome, "group\"""", ACUTE)
+ORACLE["kept_stages"] = sql('SELECT "group", count(*) AS "count", count(*) AS again FROM ana GROUP BY "group"')

@@ -1,3 +1,4 @@
+import os
 from datetime import date
 
 import pytest
@@ -6,9 +7,10 @@ from pyspark.sql import functions as F
 from tideline import schema as S
 from tideline.operators import cohort as K
 from tideline.sources import (
-    add_total_row, definition_filter, materialise, read_cohort, read_definitions, read_stage, write_report, write_stage,
-    write_tables,
+    add_total_row, definition_filter, kept_stage, materialise, read_cohort, read_definitions, read_report, read_stage, run,
+    write_report, write_stage, write_tables,
 )
+from tideline.sources.ordered import numbered
 from tideline.sources.sample import person_table
 
 
@@ -50,6 +52,80 @@ def test_cohort_without_required_columns_is_refused(spark, sf_dir, tmp_path):
     assert read_cohort(spark, str(tmp_path / "more"), "1998-03-01").columns == [*S.PERSON_SCHEMA.names, "segment"]
 
 
+def test_every_file_of_a_cohort_is_checked(spark, sf_dir, tmp_path):
+    """Spark takes the schema of one file; a file without a column would be read as NULL."""
+    df, path = person_table(spark, sf_dir), str(tmp_path / "mixed")
+    df.repartition(6).write.parquet(path)
+    assert read_cohort(spark, path).columns == [*S.PERSON_SCHEMA.names, "segment"]
+    df.drop("hx_cv_major").coalesce(1).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match=r"part-\S+ \(hx_cv_major int\)"):
+        read_cohort(spark, path)
+    assert read_cohort(spark, path, "1998-03-01", every_file=False).count() > 0
+    df.withColumn("sex", F.lit(1)).coalesce(1).write.parquet(str(tmp_path / "types/kind=b"))
+    df.coalesce(1).write.parquet(str(tmp_path / "types/kind=a"))
+    with pytest.raises(ValueError, match="kind=b"):
+        read_cohort(spark, str(tmp_path / "types"))
+    df.write.partitionBy("sex").parquet(str(tmp_path / "folders"))
+    assert read_cohort(spark, str(tmp_path / "folders"), "1998-03-01").count() == df.where("index_date >= '1998-03-01'").count()
+
+
+def test_a_half_written_stage_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    df = spark.range(0, 1000, 1, 8)
+    write_stage(df, path)
+    assert read_stage(spark, path).count() == 1000
+    broken = df.withColumn("id", F.when(F.col("id") == 999, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        write_stage(broken, path)
+    with pytest.raises(ValueError, match="to its end"):
+        read_stage(spark, path)
+    assert kept_stage(df, path).count() == 1000  # made anew
+    parts = str(tmp_path / "parts")
+    write_stage(df.withColumn("p", F.col("id") % 3), parts, ["p"])
+    with pytest.raises(Exception, match="lost"):
+        write_stage(broken.withColumn("p", F.col("id") % 3), parts, ["p"])
+    with pytest.raises(ValueError, match="to its end"):
+        read_stage(spark, parts, p=1)
+
+
+def test_a_stage_is_reused_by_the_same_plan_only(spark, tmp_path):
+    path, source = str(tmp_path / "kept"), str(tmp_path / "source")
+    spark.range(10).write.parquet(source)
+
+    def files(df):
+        return sorted(kept_stage(df, path).inputFiles())
+
+    first = files(spark.read.parquet(source).where("id > 3"))
+    assert files(spark.read.parquet(source).where("id > 3")) == first
+    other = files(spark.read.parquet(source).where("id > 4"))
+    assert other != first and read_stage(spark, path).count() == 5
+    spark.range(20).write.mode("overwrite").parquet(source)  # other files under the same name
+    assert files(spark.read.parquet(source).where("id > 4")) != other and read_stage(spark, path).count() == 15
+    local = [spark.createDataFrame([(x,)], "a int") for x in (1, 2)]
+    assert files(local[0]) != files(local[1]) and read_stage(spark, path).first()["a"] == 2
+
+
+def test_a_run_leaves_named_stages_only(spark, tmp_path):
+    path = str(tmp_path / "named")
+    with run(spark) as folder:
+        df = materialise(spark.range(5), "one")
+        assert folder in df.inputFiles()[0] and df.count() == 5
+        kept_stage(materialise(df, "two").where("id > 1"), path)
+    assert not os.path.exists(folder) and read_stage(spark, path).count() == 3
+    assert folder not in materialise(spark.range(2), "after").inputFiles()[0]
+
+
+def test_numbers_and_file_order(spark, tmp_path):
+    rows = [(i * 37 % 1009, f"n{i % 5}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, name string").repartition(9)
+    got = {(r.k, r.name): r.place for r in numbered(df, ["name", -F.col("k")]).collect()}
+    assert got == {row: i for i, row in enumerate(sorted(rows, key=lambda r: (r[1], -r[0])))}
+    write_report(df, str(tmp_path / "report"), order=["name", "k"])
+    back = read_report(spark, str(tmp_path / "report"), "k int, name string").collect()
+    assert {(r.k, r.name): r.place for r in back} == {row: i for i, row in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    assert numbered(df.limit(0), ["k"]).count() == 0
+
+
 def test_definitions(spark, tmp_path):
     path = str(tmp_path / "ps")
     spark.createDataFrame([("age", 1), (None, 1), ("bmi", 5)], S.PS_SCHEMA).write.option("header", True).csv(path)

@@ -202,6 +202,11 @@ def explode_where(df: DataFrame, name: str, values: dict[str, Column], condition
     return df.withColumn(name, F.explode(listed)).where(F.col(name).isNotNull())
 
 
+def level_order(col: str, levels: list[str], first: list[str] = ()) -> list[str | Column]:
+    """Sort keys of a result: the columns of ``first``, then the levels in their order, baseline first."""
+    return [*first, C.level_index(col, levels)]
+
+
 def order_by_level(df: DataFrame, col: str, levels: list[str], first: list[str] = ()) -> DataFrame:
     """Sort a result by level order, baseline first; for sinks only."""
-    return df.orderBy(*first, C.level_index(col, levels))
+    return df.orderBy(*level_order(col, levels, first))

@@ -16,9 +16,10 @@ from tideline.plans.variants import VARIANTS
 from tideline.session import shared_folder
 from tideline.sources.cohort import normalise_dates, read_cohort as read_cohort_file
 from tideline.sources.definitions import definition_filter, read_definitions, with_places
-from tideline.sources.reports import concat_tables, write_report, write_tables
+from tideline.sources.ordered import numbered
+from tideline.sources.reports import concat_tables, read_report, write_report, write_tables
 from tideline.sources.sample import SAMPLE_STUDY_END, person_table
-from tideline.sources.stages import materialise, read_stage, write_stage
+from tideline.sources.stages import kept_stage, materialise, read_stage, write_stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -656,8 +657,25 @@ def propensity_terms(spark, sf):
 def level_order(spark, sf):
     """Keys in the order of a report: by outcome, groups in level order with the baseline first."""
     keys = Z.at_risk(acute_long(analysable(spark, sf))).select("outcome", "group").distinct()
-    ordered = K.order_by_level(keys, "group", S.DOSE_LEVELS, first=["outcome"]).collect()  # outcomes x groups
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(ordered)], "row_no int, outcome string, `group` string")
+    placed = numbered(keys, K.level_order("group", S.DOSE_LEVELS, ["outcome"]), "row_no")
+    return placed.withColumn("row_no", F.col("row_no").cast("int"))
+
+
+@query
+def ordered_report(spark, sf):
+    """Counts written as an ordered report; the place of a row is where the files have it."""
+    path = new_path(spark, "report")
+    counts = R.event_counts(Z.at_risk(acute_long(analysable(spark, sf))), ["outcome", "group"])
+    write_report(counts, path, order=K.level_order("group", S.DOSE_LEVELS, ["outcome"]))
+    return read_report(spark, path, "outcome string, `group` string, n long, events long, fu long")
+
+
+@query
+def kept_stages(spark, sf):
+    """A named stage that is written once and read by every later plan that is the same."""
+    path = new_path(spark, "kept")
+    counts = [kept_stage(analysable(spark, sf).select("subject_id", "group", "age"), path).groupBy("group").count() for _ in range(2)]
+    return counts[0].join(counts[1].withColumnRenamed("count", "again"), "group")
 
 
 @query

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideline import schema as S
+from tideline.sources.ordered import numbered
 
 
 def read_definitions(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -19,18 +20,9 @@ def definition_filter(defs: DataFrame, level: int | None = None) -> DataFrame:
     return kept if level is None else kept.where(F.col("Set") <= level)
 
 
-def with_places(defs: DataFrame, key: str, width: int = 10_000) -> DataFrame:
-    """Adds ``place``, from 0 in the order of a whole-number key without repeats, for sheets that are tables.
-
-    Rows are numbered within ranges of ``width`` keys; only the counts of the ranges meet in one task.
-    """
-    ranged = defs.withColumn("_range", F.floor(F.col(key) / width))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
-    starts = counts.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    row = F.row_number().over(Window.partitionBy("_range").orderBy(key))
-    numbered = ranged.withColumn("_row", row).join(starts, "_range")
-    return numbered.withColumn("place", F.col("_start") + F.col("_row") - 1).drop("_range", "_row", "_start")
+def with_places(defs: DataFrame, key: str) -> DataFrame:
+    """Adds ``place``, from 0 in the order of a key without repeats, for sheets that are tables."""
+    return numbered(defs, [key])
 
 
 def add_total_row(defs: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tideline.sources.ordered import in_file_order
 
 
 def concat_tables(tables: dict[str, DataFrame]) -> DataFrame:
@@ -19,6 +22,16 @@ def write_tables(tables: dict[str, DataFrame], path: str, format: str = "csv") -
     writer.option("header", True).format(format).save(path)
 
 
-def write_report(results: DataFrame, path: str, format: str = "csv") -> None:
-    """Overwrite a report with the long result table."""
-    results.write.mode("overwrite").option("header", True).format(format).save(path)
+def write_report(results: DataFrame, path: str, format: str = "csv", order: Sequence[str | Column] = ()) -> None:
+    """Overwrite a report with the long result table.
+
+    With ``order`` (``cohort.level_order`` for exposure groups) the rows are dealt by ranges of it and sorted inside
+    them, so the files in the order of their names are the report in that order, whatever its size.
+    """
+    rows = results.orderBy(*order) if order else results
+    rows.write.mode("overwrite").option("header", True).format(format).save(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report that was written as CSV, with ``place``: its row number, from 0 in file order."""
+    return in_file_order(spark.read.schema(schema).option("header", True).csv(path))
