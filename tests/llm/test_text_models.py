@@ -178,7 +178,7 @@ def test_toxicity(insulted, documents, no_documents):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in rows if not r.predicted}
     text = df.where("doc_id = 6").first().text
     words = toxicity.words_of(text)
-    assert model.difference(text) == pytest.approx(sum(model.ratio(w) for w in words) / len(words))
+    assert model.difference(text) == pytest.approx(np.mean([model.ratio(h, w) for h, w in zip([""] + words, words)]))
     edge = toxicity.scores(documents, model).collect()
     assert len(edge) == documents.count() and all(r.predicted == 0 for r in edge)
     assert toxicity.scores(no_documents, model).count() == 0
@@ -186,6 +186,79 @@ def test_toxicity(insulted, documents, no_documents):
         assert all(r.predicted == 0 for r in toxicity.scores(df, toxicity.fit(df, few)).collect())
 
 
+def class_models(toxic, ordinary):
+    """P(word | before) of both classes and the words of the vocabulary, from the definitions."""
+
+    def counted(texts):
+        triples = set()
+        for t in texts:
+            w = toxicity.words_of(t)
+            triples.update(zip(["", ""] + w, [""] + w, w))
+        pairs = Counter((h, w) for _, h, w in triples)
+        return pairs, Counter(w for _, w in pairs)
+
+    pairs, words = zip(counted(toxic), counted(ordinary))
+    totals = [sum(w.values()) for w in words]
+    vocabulary = sorted(set(words[0]) | set(words[1]))
+
+    def excess(n, t, m, u):
+        common = min(n / t, m / u if u else 0) * t if t else 0
+        return max(n - toxicity.DOUBLE * common - toxicity.CHANCE * math.sqrt(common + 1), 0)
+
+    def of_words(c, w):
+        return excess(words[c][w], totals[c], words[1 - c][w], totals[1 - c])
+
+    shared = {w: words[0][w] + words[1][w] - of_words(0, w) - of_words(1, w) for w in vocabulary}
+    freed = sum(min(n, 0.75) for n in shared.values())
+
+    def p1(w):
+        return (max(shared.get(w, 0) - 0.75, 0) + freed / (len(vocabulary) + 1)) / sum(shared.values())
+
+    both = {p: 2 * min(n, pairs[1][p]) for p, n in pairs[0].items() if p in pairs[1]}
+
+    def p2(h, w):
+        t = sum(n for (g, _), n in both.items() if g == h)
+        if not t:
+            return p1(w)
+        kinds = sum(g == h for g, _ in both)
+        return (max(both.get((h, w), 0) - 0.75, 0) + 0.75 * kinds * p1(w)) / t
+
+    def p_class(c, h, w):
+        rest = totals[c] - sum(of_words(c, v) for v in vocabulary)
+        marginal = lambda v: (of_words(c, v) + rest * p1(v)) / totals[c] / p1(v)
+        norm = sum(p2(h, v) * marginal(v) for v in [*vocabulary, "?"])
+        p = p2(h, w) * marginal(w) / norm
+        t, u = (sum(n for (g, _), n in pairs[k].items() if g == h) for k in (c, 1 - c))
+        if not t:
+            return p
+        more = {v: excess(pairs[c][h, v], t, pairs[1 - c][h, v], u) for v in vocabulary}
+        return (more.get(w, 0) + (t - sum(more.values())) * p) / t
+
+    return p_class, vocabulary
+
+
+@pytest.mark.parametrize("double,chance", [(1.0, 0.3), (2.0, 1.0), (1.0, 0.1)])
+def test_toxicity_equals_kneser_ney_by_hand(spark, monkeypatch, double, chance):
+    monkeypatch.setattr(toxicity, "DOUBLE", double)
+    monkeypatch.setattr(toxicity, "CHANCE", chance)
+    rng = np.random.default_rng(8)
+    plain, rude = "the a river stone to go see very old".split(), "fool dolt".split()
+    make = lambda extra: " ".join(rng.choice(plain + extra, 14))
+    toxic, ordinary = [make(rude + rude) for _ in range(9)] + ["you fool you fool"], [make([]) for _ in range(10)] + ["you see"]
+    df = spark.createDataFrame([(1, t) for t in toxic] + [(0, t) for t in ordinary], "toxic int, text string")
+    model = toxicity.fitted(df.withColumn("text", F.col("text").cast("binary")))
+    p, vocabulary = class_models(toxic, ordinary)
+    for h in ["", "new", *vocabulary]:
+        for c in (0, 1):
+            assert sum(p(c, h, w) for w in [*vocabulary, "?"]) == pytest.approx(1)
+        for w in ["other", *vocabulary]:
+            assert model.ratio(h, w) == pytest.approx(math.log(p(0, h, w) / p(1, h, w)), abs=1e-9)
+    assert model.words and model.pairs and model.words["fool"] > 0
+    words = "the fool see new river you fool".split()
+    want = np.mean([math.log(p(0, h, w) / p(1, h, w)) for h, w in zip([""] + words, words)])
+    assert model.difference("The fool, see NEW river: you fool") == pytest.approx(want)
+
+
 def test_samples_hold_one_text_of_an_id(insulted, prose):
     """A third of all rows has one id, which is labelled toxic and of bad quality, and calibrates both models."""
     df, labels = insulted
