@@ -99,7 +99,7 @@ def test_equals_sql(spark, sf_01, name):
 
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_labels_are_learned_from_sql_side(spark, sf_01):

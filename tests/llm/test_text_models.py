@@ -241,6 +241,7 @@ def class_models(toxic, ordinary):
 def test_toxicity_equals_kneser_ney_by_hand(spark, monkeypatch, double, chance):
     monkeypatch.setattr(toxicity, "DOUBLE", double)
     monkeypatch.setattr(toxicity, "CHANCE", chance)
+    monkeypatch.setattr(toxicity, "PAIR_CHANCE", chance)
     rng = np.random.default_rng(8)
     plain, rude = "the a river stone to go see very old".split(), "fool dolt".split()
     make = lambda extra: " ".join(rng.choice(plain + extra, 14))

@@ -39,6 +39,9 @@ DISCOUNT = 0.75
 #: one text are not independent, so chance goes far beyond two or three roots.
 DOUBLE, CHANCE = 2.0, 8.0
 
+#: As CHANCE for pairs of words, of which many more can exceed by chance.
+PAIR_CHANCE = 14.0
+
 #: Toxic texts that may be missed rather than reject one ordinary text, when the line is set.
 SPARE = 4
 
@@ -143,10 +146,10 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     return triples.groupBy("before", "word").agg(F.sum(toxic).alias("a"), F.sum(1 - toxic).alias("b"))
 
 
-def _excess(own: Column, total: Column, other: Column, other_total: Column) -> Column:
+def _excess(own: Column, total: Column, other: Column, other_total: Column, chance: float) -> Column:
     """What a class has beyond the common share and chance."""
     common = F.least(own / total, F.coalesce(F.try_divide(other, other_total), F.lit(0.0))) * total
-    return F.greatest(own - DOUBLE * common - CHANCE * F.sqrt(common + 1), F.lit(0.0))
+    return F.greatest(own - DOUBLE * common - chance * F.sqrt(common + 1), F.lit(0.0))
 
 
 def fitted(texts: DataFrame) -> Model:
@@ -162,7 +165,7 @@ def fitted(texts: DataFrame) -> Model:
     if not total.a or not total.b:
         return Model()
     a, b, all_a, all_b = F.col("a"), F.col("b"), F.lit(total.a), F.lit(total.b)
-    words = words.withColumns({"x_a": _excess(a, all_a, b, all_b), "x_b": _excess(b, all_b, a, all_a)})
+    words = words.withColumns({"x_a": _excess(a, all_a, b, all_b, CHANCE), "x_b": _excess(b, all_b, a, all_a, CHANCE)})
     words = words.withColumn("shared", a + b - F.col("x_a") - F.col("x_b"))
     sums = words.agg(
         F.sum("x_a").alias("x_a"), F.sum("x_b").alias("x_b"), F.sum("shared").alias("shared"),
@@ -186,8 +189,8 @@ def fitted(texts: DataFrame) -> Model:
     ), "toxic-befores")
     own = pairs.join(befores.select("before", "t_a", "t_b"), "before")
     own = own.withColumns({
-        "x_a": F.when(a > 0, _excess(a, F.col("t_a"), b, F.col("t_b"))).otherwise(0.0),
-        "x_b": F.when(b > 0, _excess(b, F.col("t_b"), a, F.col("t_a"))).otherwise(0.0),
+        "x_a": F.when(a > 0, _excess(a, F.col("t_a"), b, F.col("t_b"), PAIR_CHANCE)).otherwise(0.0),
+        "x_b": F.when(b > 0, _excess(b, F.col("t_b"), a, F.col("t_a"), PAIR_CHANCE)).otherwise(0.0),
     })
     extra = own.where("x_a > 0 OR x_b > 0").select("before", "word", "x_a", "x_b", kept.alias("kept"))
     extra = extra.join(words.select("word", "p"), "word").collect()
