@@ -1,9 +1,12 @@
 """Licence scans, quality, toxicity, language and language-model scores against brute force or held-out labels."""
 
 import math
+import re
+import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,22 +17,35 @@ from tideline.llm import common, language_id, language_model, licences, quality,
 # --- licences
 
 
+def plain_reading(text, capitals):
+    L = licences
+    joined = re.sub(L.WRAPPED, r"\1 \2", re.sub(L.COMMENT, "", text))
+    joined = (re.sub(L.WRAPPED_CAPITAL, r"\1 \2", joined) if capitals else joined).translate(str.maketrans(L.CAPITALS, L.SMALL))
+    lines = [s for s in map(L.normalised, re.sub(L.SENTENCE_END, "\\1\n", joined).split("\n")) if s]
+    kept = [(at, s) for at, s in enumerate(lines) if not re.search(L.LIST_MARK, s)]
+    ids = []
+    for _, s in kept:
+        terms = [L.TAG + re.sub(L.EXCEPTION, "", t) for t in re.split(L.BETWEEN, s[len(L.TAG):])] if s.startswith(L.TAG) else [re.sub(L.NAMED, L.NAMELESS, s)]
+        ids.append({L.KNOWN[t] for t in terms if t in L.KNOWN})
+    found = [
+        (r, c, i, len(w)) for r, c, w in L.RULES for i in range(len(ids) - len(w) + 1) if all(x in ids[i + k] for k, x in enumerate(w))
+    ]
+    outer = [m for m in found if not any(o[3] > m[3] and o[2] <= m[2] and o[2] + o[3] >= m[2] + m[3] for o in found)]
+    return {m[0] for m in found}, [(r, c, kept[i][0], n) for r, c, i, n in outer]
+
+
 def plain_scan(text):
     if text is None:
         return []
-    import re
-
-    joined = re.sub(licences.WRAPPED, r"\1 \2", text).translate(str.maketrans(licences.CAPITALS, licences.SMALL))
-    lines = re.sub(licences.SENTENCE_END, "\\1\n", joined).split("\n")
-    ids = [licences.KNOWN.get(s) for s in (licences.normalised(x) for x in lines) if s]
-    found = [(r, c, i, len(w)) for r, c, w in licences.RULES for i in range(len(ids)) if tuple(ids[i : i + len(w)]) == w]
-    return [m for m in found if not any(o[3] > m[3] and o[2] <= m[2] and o[2] + o[3] >= m[2] + m[3] for o in found)]
+    (rules, found), (others, more) = plain_reading(text, False), plain_reading(text, True)
+    new = others - rules
+    return [m for m in found if not any(m[0] in licences.HOLDS[o] for o in new)] + [m for m in more if m[0] in new]
 
 
 def test_anchors_and_rules_cover_every_sentence():
-    assert all(any(a in text.lower() for a in licences.ANCHORS) for text in licences.SENTENCES.values())
-    assert {n for _, _, wanted in licences.RULES for n in wanted} == set(licences.SENTENCES)
-    assert len(licences.KNOWN) == len(licences.SENTENCES)
+    assert all(any(a in " ".join(licences.SENTENCES.get(n, "license") for n in wanted).lower() for a in licences.ANCHORS) for _, _, wanted in licences.RULES)
+    assert {n for _, _, wanted in licences.RULES for n in wanted} == set(licences.KNOWN.values())
+    assert len(licences.KNOWN) == len(licences.SENTENCES) + sum(map(len, licences.SPDX.values()))
 
 
 def test_scan(spark, documents, no_documents):
@@ -39,7 +55,7 @@ def test_scan(spark, documents, no_documents):
         s["rights"], f"Some words. {s['mit-released']} More.\n{s['cc-by-nc']}", f"{wrapped}\n\n{s['mit-notice']}",
         f"{s['mit-notice']}\n{s['mit-grant']}", s["rights"] * 3, f"{s['rights']}\n{s['mit-released']}", s["rights"].upper() + "!!",
         f"{s['apache-named']}\n{s['apache-comply']}\n{s['apache-copy']}\n\n http://x", "no licence here", "licence to rights", None, "",
-        "x. " * 5000 + s["gpl3-work"] + " y." * 5000, "\x0b".join([s["rights"]] * 2), s["spdx-mit"] + "\nCode",
+        "x. " * 5000 + s["gpl3-work"] + " y." * 5000, "\x0b".join([s["rights"]] * 2), "SPDX-License-Identifier: MIT" + "\nCode",
     ]
     rows = [(i, t, 1, "r") for i, t in enumerate(texts)] + [(None, s["rights"], 1, "r"), (0, texts[0], 1, "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, row int, rule string").repartition(3)
@@ -53,15 +69,13 @@ def test_scan(spark, documents, no_documents):
 
 
 def test_scan_whatever_stands_between_words(spark):
-    import re
-
     # Lines that go on in small letters are joined, but none after a line of one letter.
     line_end = lambda t: re.sub(r"(?<![.!?;:])(?<!\b\w) (?=[a-z(\"])", "\n", t)
     ways = [line_end] + [lambda t, gap=gap: t.replace(" ", gap) for gap in ("  ", "-", "\u00a0")]
-    alone = {w[0]: r for r, _, w in licences.RULES if len(w) == 1}
+    alone = {w[0]: r for r, _, w in licences.RULES if len(w) == 1 and w[0] in licences.SENTENCES}
     rows = [(f"{name}/{k}", way(licences.SENTENCES[name])) for name in alone for k, way in enumerate(ways)]
     anchored = "(?i)" + "|".join(licences.ANCHORS)
-    assert all(re.search(anchored, way(text)) for text in licences.SENTENCES.values() for way in ways)
+    assert all(re.search(anchored, way(text)) for name, text in licences.SENTENCES.items() for way in ways if name in alone)
     got = licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert sorted((r.doc_id, r.rule) for r in got) == sorted((i, alone[i.split("/")[0]]) for i, _ in rows)
 
@@ -92,6 +106,79 @@ def test_scan_of_numbered_notices(spark):
     assert found == sorted(want + [(5, "mit-text", 1, 2), (5, "cc-by-line", 5, 1)])
 
 
+#: Published notices and the licence that a reader takes them for.
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.""",
+    "BSD-2-Clause": BSD,
+    "BSD-3-Clause": BSD.replace("THIS SOFTWARE", """{2} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE"""),
+    "BSD-4-Clause": BSD.replace("THIS SOFTWARE", """{2} All advertising materials mentioning features or use of this software must display the following acknowledgement:
+   This product includes software developed by the Example Organization.
+
+THIS SOFTWARE"""),
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY.""",
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSL-1.0": """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt)""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+}
+TAGS = {
+    "SPDX-License-Identifier: BSD-3-Clause": {"BSD-3-Clause"}, "// SPDX-License-Identifier: GPL-2.0-only": {"GPL-2.0-only"},
+    "/* SPDX-License-Identifier: MIT OR Apache-2.0 */": {"MIT", "Apache-2.0"}, "# SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": {"GPL-2.0-only"},
+    "<!-- SPDX-License-Identifier: (MPL-2.0 AND ISC) OR CC0-1.0 -->": {"MPL-2.0", "ISC", "CC0-1.0"}, "SPDX-License-Identifier: none": set(),
+}
+
+
+def dressed(text, how):
+    """A notice wrapped at 72 characters, in a comment, or numbered in another way."""
+    marks = {"letters": ("a.", "b.", "c."), "stars": ("*", "*", "*")}.get(how, ("1.", "2.", "3."))
+    text = text.format(*marks) if "{0}" in text else text
+    if how != "plain":
+        parts = [" ".join(p.split()) for p in re.split(r"(?<=acknowledgement:)\n|\n(?=\s*\n|\d\.|[abc]\. |\* )", text)]
+        text = "\n".join(line for p in parts for line in (textwrap.wrap(p, 72) or [""]))
+    lead = {"block": " * ", "hash": "# ", "slashes": "// ", "dashes": "-- "}.get(how, "")
+    text = "\n".join((lead + line).rstrip() for line in text.split("\n"))
+    return f"/*\n{text}\n */\nint main() {{}}" if how == "block" else text
+
+
+def test_published_notices(spark, tmp_path):
+    rows, want = [], {}
+    for licence, text in NOTICES.items():
+        for how in ("plain", "wrapped", "letters", "stars", "block", "hash", "slashes", "dashes"):
+            want[len(rows)] = {licence}
+            rows.append((len(rows), dressed(text, how)))
+    for text, found in TAGS.items():
+        want[len(rows)] = found
+        rows.append((len(rows), text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in licences.scan(df).collect()]
+    assert sorted(got) == sorted((i, *m) for i, t in rows for m in plain_scan(t))
+    found = {i: {c for d, _, c, *_ in got if d == i and c != "all-rights-reserved"} for i in want}
+    assert found == want
+    df.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    assert sorted(con.execute(licences.scan_sql()).fetchall()) == sorted(got)
+
+
 # --- the helper that finds a threshold
 
 
