@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,7 +32,7 @@ from tideline.llm.packing import LETTERS, merges, part_ids, tokenizer
 BLOCK = 8 << 20
 
 #: Units whose alignment a worker remembers, and characters of such a unit at most.
-MEMO, SHORT = 100_000, 64
+MEMO, SHORT = 300_000, 64
 
 SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
@@ -345,9 +346,25 @@ class Block:
         self.figures = np.diff(sums, axis=1, prepend=0)  # n_a, n_b, n_groups and n_links of each text
         times = np.bincount(every, minlength=len(units))
         self.pairs, self.places = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_inverse=True)
-        self.owners = np.repeat(np.arange(len(units)), sizes[3])
+        self.links = sizes[3]  # of each unit, in the order of places
         self.counts = np.zeros(len(self.pairs), np.int64)
-        np.add.at(self.counts, self.places, times[self.owners])
+        np.add.at(self.counts, self.places, np.repeat(times, self.links))
+
+
+@functools.lru_cache(maxsize=1)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, byte by byte of all of them, compressed: most of the higher bytes are zero."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return _codec()[0].compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_codec()[1].decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -367,9 +384,9 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 "doc_id": pa.concat_arrays([doc_id, pa.nulls(1, doc_id.type)]),
                 **figures,
                 "groups_sha256": pa.array([*made.digests, None], pa.string()),
-                "words": pa.array([*(w.astype("<i4").tobytes() for w in made.words), None], pa.binary()),
-                "places": pa.array([None] * rows + [made.places.astype("<i4").tobytes()], pa.binary()),
-                "owners": pa.array([None] * rows + [made.owners.astype("<i4").tobytes()], pa.binary()),
+                "words": pa.array([*map(packed, made.words), None], pa.binary()),
+                "places": pa.array([None] * rows + [packed(made.places)], pa.binary()),
+                "links": pa.array([None] * rows + [packed(made.links)], pa.binary()),
                 "pairs": pa.concat_arrays([pa.nulls(rows, pa.list_(pa.int64())), _lists(made.pairs, np.array([0, len(made.pairs)]), pa.int64())]),
                 "counts": pa.concat_arrays([pa.nulls(rows, pa.list_(pa.int64())), _lists(made.counts, np.array([0, len(made.pairs)]), pa.int64())]),
             }
@@ -380,7 +397,7 @@ def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     return docs.mapInArrow(
         run,
         f"block long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, words binary, "
-        "places binary, owners binary, pairs array<long>, counts array<long>",
+        "places binary, links binary, pairs array<long>, counts array<long>",
     )
 
 
@@ -416,14 +433,14 @@ def link_statistics(
         block = asked.filter(pc.is_null(asked.column("words")))
         texts = asked.filter(pc.is_valid(asked.column("words")))
         place = told.column("place").to_numpy()
-        places, owners = (np.frombuffer(block.column(c)[0].as_py(), "<i4") for c in ("places", "owners"))
-        sums = []
+        places, links = (unpacked(block.column(c)[0].as_py()) for c in ("places", "links"))
+        owners, words, sums = np.repeat(np.arange(len(links)), links), [unpacked(w) for w in texts.column("words").to_pylist()], []
         for name in ("best", "count"):
             of_pair = np.zeros(len(place), np.int64)
             of_pair[place] = told.column(name).to_numpy()
-            of_unit = np.zeros(int(owners.max(initial=-1)) + 1, np.int64)
+            of_unit = np.zeros(len(links), np.int64)
             np.add.at(of_unit, owners, of_pair[places])
-            sums.append([int(of_unit[np.frombuffer(w, "<i4")].sum()) for w in texts.column("words").to_pylist()])
+            sums.append([int(of_unit[w].sum()) for w in words])
         return pa.table(
             {
                 **{c: texts.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")},
