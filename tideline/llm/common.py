@@ -33,12 +33,12 @@ def one_text(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def narrow(df: DataFrame) -> DataFrame:
-    """``df``, after texts were given smaller Arrow batches than the default where the session has that.
+    """``df``, after the session was given smaller Arrow batches than the default, unless it has a size of its own.
 
     A batch of ten thousand long texts would be larger than a worker's memory, or than Arrow allows.
     """
     conf = df.sparkSession.conf
-    if conf.get(BATCH, "10000") == "10000":
+    if BATCH not in conf.getAll:
         conf.set(BATCH, "500")
     return df
 
