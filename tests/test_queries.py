@@ -150,3 +150,14 @@ def test_weighted_stages_round_trip(spark, sf_dir, tmp_path):
     sizes = sizes[sizes["sexes"] == 2]
     assert len(sizes) >= 2 and abs(sizes["w"] - back.count()).max() < 1e-6
     assert read_stage(spark, str(tmp_path / "stages"), subgroup="sex.male").where("sex <> 'M'").count() == 0
+
+
+def test_queries_without_an_optional_library(monkeypatch):
+    """A library that only the training-data operators need is not there: their queries are not either."""
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("tideline.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    known = entry.queries()
+    assert "cox_weighted" in known and not any(n.startswith("op") and n[2].isdigit() for n in known) and set(entry.oracle_sql()) <= set(known)
