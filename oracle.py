@@ -367,6 +367,7 @@ def balance(out: str, by: str) -> str:
         abs(x.mean - y.mean) / sqrt((u.sd * u.sd + v.sd * v.sd) / 2) AS adj
       FROM pairs JOIN before u ON u."group" = g1 AND u.kind = 'numeric' JOIN before v ON v."group" = g2 AND v.variable = u.variable
       JOIN after x ON x."group" = g1 AND x.variable = u.variable JOIN after y ON y."group" = g2 AND y.variable = u.variable
+      UNION ALL SELECT g1, variable, level, kind, NULL, NULL FROM before JOIN pairs ON "group" IN (g1, g2) WHERE kind = 'numeric'
       UNION ALL
       SELECT g1, variable, level, kind, abs(sum(CASE WHEN "group" = g1 THEN pu ELSE -pu END)),
         abs(sum(CASE WHEN "group" = g1 THEN pa ELSE -pa END))
