@@ -22,9 +22,30 @@ def subjects(n=400, days=40, seed=3, competing=False, weighted=True):
     return pd.DataFrame({"group": [GROUPS[i] for i in g], "g": g, "time": t, "status": status, "weight": w})
 
 
-def cells_of(df):
-    d = df.assign(w2=df["weight"] ** 2)
-    return d.groupby(["group", "time", "status"], as_index=False).agg(n=("time", "size"), w=("weight", "sum"), w2=("w2", "sum"))
+def risk_of(df, weighted=True, competing=False, weight_censoring=False):
+    """Risk sets by their definition, subject by subject."""
+    df = df.assign(w=df["weight"] if weighted else 1.0)
+    rival = df["status"].eq(2) & competing
+    keep = censoring_keep(df, df["w"] if weight_censoring else None) if competing else dict.fromkeys(range(df["time"].max() + 1), 1.0)
+    rows = []
+    for t in sorted(df["time"].unique()):
+        for g in sorted(df["group"].unique()):
+            mine, today = df["group"].eq(g), df["time"].eq(t)
+            here, event = mine & today, df["status"].eq(1)
+            w, sq = lambda m: df.loc[m, "w"].sum(), lambda m: (df.loc[m, "w"] ** 2).sum()
+            gone = df[mine & rival & df["time"].lt(t)]
+            still = w(mine & df["time"].ge(t))
+            rows.append(
+                (g, t, here.sum(), w(here), (here & event).sum(), w(here & event), sq(here & ~event & ~rival), sq(here & event),
+                 sq(here & rival), df["time"].ge(t).sum(), keep[t], still,
+                 still + sum(x * keep[t] / keep[s] for s, x in zip(gone["time"], gone["w"]) if keep[s] > 0))
+            )
+    names = "group time n_day w_day n_event w_event w2_censored w2_event w2_competing n_risk g_before w_risk fg_risk"
+    return pd.DataFrame(rows, columns=names.split())
+
+
+def fitted(df, weighted=True, competing=False):
+    return hazards.fit(risk_of(df, weighted, competing), GROUPS)
 
 
 def row_level(df, beta, w=None, keep=None):
@@ -50,13 +71,14 @@ def gradient(f, x, h=1e-5):
     return np.array([(f(x + h * e) - f(x - h * e)) / (2 * h) for e in np.eye(len(x))])
 
 
-def censoring_keep(df):
+def censoring_keep(df, weights=None):
     t, s = df["time"].to_numpy(), df["status"].to_numpy()
+    w = np.ones(len(df)) if weights is None else weights.to_numpy()
     out, value = {}, 1.0
     for u in range(0, t.max() + 1):
         out[u] = value
-        left = (t >= u).sum() - ((t == u) & (s != 0)).sum()
-        lost = ((t == u) & (s == 0)).sum()
+        left = w[(t > u) | ((t == u) & (s == 0))].sum()
+        lost = w[(t == u) & (s == 0)].sum()
         if left:
             value *= 1 - lost / left
     return out
@@ -65,7 +87,7 @@ def censoring_keep(df):
 @pytest.mark.parametrize("weighted", [False, True])
 def test_cox_optimum(weighted):
     df = subjects(weighted=weighted)
-    f = hazards.fit(cells_of(df), GROUPS, weighted)
+    f = fitted(df, weighted)
     assert f.converged
     assert np.abs(gradient(lambda b: row_level(df, b), f.beta[1:])).max() < 1e-5
     at = row_level(df, f.beta[1:])
@@ -78,31 +100,33 @@ def _scale_term(df, scale):
     return w[df["status"].to_numpy() == 1].sum() * np.log(scale)
 
 
+def place(rs, row):
+    """Where the influence of a subject stands: end of follow-up, day, group."""
+    return row["status"], np.searchsorted(rs.times, row["time"]), rs.groups.index(row["group"])
+
+
 @pytest.mark.parametrize("competing", [False, True])
 def test_influences_are_derivatives_in_the_weights(competing):
     df = subjects(n=120, competing=competing)
     keep = censoring_keep(df) if competing else None
-    f = hazards.fit(cells_of(df), GROUPS, True, competing=competing)
+    f = fitted(df, competing=competing)
     beta, w = f.beta[1:], df["weight"].to_numpy()
     assert np.abs(gradient(lambda b: row_level(df, b, keep=keep), beta)).max() < 1e-5
-    cells = cells_of(df)
-    u = hazards.influence(cells, f.rs, f.at, competing)[:, 1:]
-    where = {k: i for i, k in enumerate(zip(cells["group"], cells["time"], cells["status"]))}
+    u = hazards.influence(f.rs, f.at)[..., 1:]
     for i in range(0, len(df), 7):
         up, down = w.copy(), w.copy()
         up[i] += 1e-4
         down[i] -= 1e-4
         slope = (gradient(lambda b: row_level(df, b, up, keep), beta) - gradient(lambda b: row_level(df, b, down, keep), beta)) / 2e-4
         row = df.iloc[i]
-        assert u[where[(row["group"], row["time"], row["status"])]] == pytest.approx(slope, abs=2e-4)
+        assert u[place(f.rs, row)] == pytest.approx(slope, abs=2e-4)
 
 
 def test_sandwich_is_row_level():
     df = subjects()
-    cells = cells_of(df)
-    f = hazards.fit(cells, GROUPS, True)
-    key = df[["group", "time", "status"]].merge(cells.reset_index(), on=["group", "time", "status"], how="left")["index"]
-    u = hazards.influence(cells, f.rs, f.at, False)[key.to_numpy()][:, 1:]
+    f = fitted(df)
+    every = hazards.influence(f.rs, f.at)[..., 1:]
+    u = np.array([every[place(f.rs, row)] for _, row in df.iterrows()])
     z = (df["weight"].to_numpy() * f.rs.scale)[:, None] * u @ f.model_cov
     n = len(df)
     assert np.allclose(z.sum(0), 0, atol=1e-9)
@@ -110,13 +134,12 @@ def test_sandwich_is_row_level():
 
 
 def test_unit_weights_give_the_crude_fit():
-    cells = cells_of(subjects(weighted=False))
-    assert np.allclose(hazards.fit(cells, GROUPS, True).beta, hazards.fit(cells, GROUPS, False).beta, atol=1e-12)
+    df = subjects(weighted=False)
+    assert np.allclose(fitted(df, True).beta, fitted(df, False).beta, atol=1e-12)
 
 
 def test_fine_gray_without_competing_events_is_cox():
-    cells = cells_of(subjects())
-    a, b = hazards.fit(cells, GROUPS, True, competing=True), hazards.fit(cells, GROUPS, True)
+    a, b = fitted(subjects(), competing=True), fitted(subjects())
     assert np.allclose(a.beta, b.beta, atol=1e-10) and np.allclose(a.robust_cov, b.robust_cov)
 
 
@@ -125,7 +148,7 @@ def test_fine_gray_with_common_end_keeps_competing_subjects():
     df = subjects(competing=True)
     df["time"] = df["time"].where(df["status"] != 0, 50)
     moved = df.assign(time=df["time"].where(df["status"] != 2, 50), status=(df["status"] == 1).astype(int))
-    a, b = hazards.fit(cells_of(df), GROUPS, True, competing=True), hazards.fit(cells_of(moved), GROUPS, True)
+    a, b = fitted(df, competing=True), fitted(moved)
     assert np.allclose(a.beta, b.beta, atol=1e-10) and np.allclose(a.robust_cov, b.robust_cov, atol=1e-12)
 
 
@@ -152,19 +175,19 @@ def test_days_with_many_events(share, d):
 def test_groups_without_estimates():
     df = subjects(n=200)
     df.loc[df["group"] == "3d", "status"] = 0
-    f = hazards.fit(cells_of(df), GROUPS, True)
+    f = fitted(df)
     assert f.beta[3] == -np.inf and f.converged and len(f.free) == 2
     df.loc[df["group"] == "X", "status"] = 0
-    assert np.isnan(hazards.fit(cells_of(df), GROUPS, True).beta).all()
+    assert np.isnan(fitted(df).beta).all()
     df["status"] = 0
-    assert np.isnan(hazards.fit(cells_of(df), GROUPS, True).beta).all()
+    assert np.isnan(fitted(df).beta).all()
 
 
 def test_monotone_likelihood_is_reported_as_infinite():
     """All of 1d die before anyone of X does."""
     rows = [("X", 10, 1, 3), ("X", 12, 0, 3), ("1d", 2, 1, 2), ("1d", 3, 1, 2)]
-    cells = pd.DataFrame(rows, columns=["group", "time", "status", "n"]).assign(w=lambda d: d["n"], w2=lambda d: d["n"])
-    f = hazards.fit(cells, GROUPS, False)
+    rows = [row[:3] for row in rows for _ in range(row[3])]
+    f = fitted(pd.DataFrame(rows, columns=["group", "time", "status"]).assign(weight=1.0), False)
     assert f.beta[1] == np.inf and f.free == []
 
 
@@ -179,7 +202,7 @@ def day_cells(spark, df):
 
 def test_spark_fit_equals_numpy(spark):
     df = subjects()
-    f = hazards.fit(cells_of(df), GROUPS, True)
+    f = fitted(df)
     got = V.hazard_ratios(V.cox_ph(day_cells(spark, df), ["outcome"], weighted=True)).toPandas().set_index("group")
     assert got.loc["2d", "log_hr"] == pytest.approx(f.beta[2], abs=1e-9)
     assert got.loc["2d", "se"] == pytest.approx(np.sqrt(f.robust_cov[1, 1]), abs=1e-9)
@@ -202,15 +225,23 @@ def test_fine_gray_risk_table_against_expansion(spark):
         assert row.g_before == pytest.approx(keep[row.time], rel=1e-10)
 
 
-@pytest.mark.parametrize("weight_censoring", [False, True])
-def test_spark_and_task_agree_on_fine_gray_risk(spark, weight_censoring):
+@pytest.mark.parametrize("weighted, competing, weight_censoring", [(True, False, False), (False, True, False), (True, True, True)])
+def test_risk_sets_against_the_subjects(spark, weighted, competing, weight_censoring):
     df = subjects(competing=True)
-    table = V.fine_gray_risk_table(day_cells(spark, df), ["outcome"], weight_censoring=weight_censoring).toPandas()
-    rs = hazards.risk_sets(cells_of(df), GROUPS, True, competing=True, weight_censoring=weight_censoring)
-    day = np.searchsorted(rs.times, table["time"])
-    col = table["group"].map({g: i for i, g in enumerate(rs.groups)})
-    assert np.allclose(table["fg_risk"] * rs.scale, rs.risk[day, col], rtol=1e-10)
-    assert np.allclose(table["g_before"], rs.keep[day], rtol=1e-10)
+    df = df[df["group"] != "2d"]  # a level without rows has none in the table
+    got = V.risk_sets(day_cells(spark, df), ["outcome"], GROUPS, weighted, competing, weight_censoring).toPandas()
+    got = got.sort_values(["time", "group"]).reset_index(drop=True)
+    want = risk_of(df, weighted, competing, weight_censoring)
+    assert (got[["group", "time", "n_day", "n_event", "n_risk"]] == want[["group", "time", "n_day", "n_event", "n_risk"]]).all().all()
+    numbers = ["w_day", "w_event", "w2_censored", "w2_event", "w2_competing", "g_before", "w_risk", "fg_risk"]
+    assert np.allclose(got[numbers], want[numbers], rtol=1e-10, atol=1e-12)
+
+
+def test_a_fit_needs_no_exchange_beyond_its_risk_sets(spark):
+    """One exchange brings the days of the cells together, one the days of a key; windows and solver share the latter."""
+    cells = day_cells(spark, subjects()).checkpoint()
+    plan = V.cox_ph(cells, ["outcome"], weighted=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
 
 
 def test_curve_and_zero_survivors(spark):
@@ -229,7 +260,7 @@ def test_curve_and_zero_survivors(spark):
 
 def test_cox_curve_follows_the_hazard_ratios(spark):
     curve = V.cox_curve(day_cells(spark, subjects()), ["outcome"]).toPandas().pivot(index="time", columns="group", values="cum_hazard")
-    f = hazards.fit(cells_of(subjects()), GROUPS, True)
+    f = fitted(subjects())
     assert np.allclose(curve["2d"] / curve["X"], np.exp(f.beta[2]))
     assert (curve["X"].diff().dropna() > 0).all()
 
@@ -250,7 +281,7 @@ def test_ph_test_finds_a_reversal(spark):
 def test_ph_score_is_the_derivative_in_the_slope():
     """The score of a coefficient that changes with g(t), by differences of the row-level likelihood."""
     df = subjects(n=150, weighted=False)
-    f = hazards.fit(cells_of(df), GROUPS, False)
+    f = fitted(df, False)
     g = 1 - hazards.survival_before(f.rs)
     g = g - np.average(g, weights=f.rs.deaths)
     total = (g[:, None] * f.at.score).sum(0)

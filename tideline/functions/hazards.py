@@ -1,8 +1,8 @@
-"""Cox steps on aggregated cells, used inside one task per analysis.
+"""Cox steps on the risk sets of one analysis, used inside one task per analysis.
 
-A cell is (group, time, status) with n rows, sum of weights w and sum of squared weights w2. With whole
-days and few groups there are at most days x statuses x groups cells per analysis, however many
-subjects there are, so one analysis always fits a task. Ties follow Efron.
+The risk sets come from Spark (``operators.survival.risk_sets``): a row per day and group. With whole days and
+few groups these are few rows per analysis, however many subjects there are, so one analysis always fits a
+task. Ties follow Efron.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 TIE_BLOCK = 1 << 20
 LONG_DAY = 1 << 12
 TAIL = 1 << 10
+#: What ends the follow-up of a subject, as it matters for its influence.
+CENSORED, EVENT, COMPETING = range(3)
 
 
 @dataclass
@@ -29,51 +31,28 @@ class RiskSets:
     mean_weight: np.ndarray  # mean event weight per day
     keep: np.ndarray         # censoring survival just before the day; ones without competing events
     n_risk: np.ndarray       # rows at risk per day
+    squares: np.ndarray      # sums of squared weights, end of follow-up x day x group
     n: int
     scale: float
 
 
-def risk_sets(
-    cells: pd.DataFrame,
-    levels: list[str],
-    weighted: bool,
-    competing: bool = False,
-    weight_censoring: bool = False,
-) -> RiskSets:
-    present = set(cells["group"])
+def risk_sets(table: pd.DataFrame, levels: list[str]) -> RiskSets:
+    """The rows of one analysis as arrays, with weights of mean 1: the estimates do not change, the information
+    is on the scale of the rows."""
+    present = set(table["group"])
     groups = [g for g in levels if g in present]
-    times = np.sort(cells["time"].unique())
-    row = np.searchsorted(times, cells["time"].to_numpy())
-    col = cells["group"].map({g: i for i, g in enumerate(groups)}).to_numpy()
-    status = cells["status"].to_numpy()
-    n = cells["n"].to_numpy(float)
-    # Mean weight 1: the estimates do not change, the information is on the scale of the rows.
-    scale = n.sum() / cells["w"].sum() if weighted else 1.0
-    w = cells["w"].to_numpy(float) * scale if weighted else n
-
-    def table(values, mask):
-        out = np.zeros((len(times), len(groups)))
-        np.add.at(out, (row[mask], col[mask]), values[mask])
-        return out
-
-    everyone = np.ones(len(cells), bool)
-    events = table(w, status == 1)
-    deaths = table(n, status == 1).sum(1)
-    risk = table(w, everyone)[::-1].cumsum(0)[::-1]
-    n_risk = table(n, everyone).sum(1)[::-1].cumsum()[::-1]
-    keep = np.ones(len(times))
-    if competing:
-        base = w if weight_censoring else n
-        left = table(base, everyone).sum(1)[::-1].cumsum()[::-1] - table(base, status != 0).sum(1)
-        lost = table(base, status == 0).sum(1)
-        step = np.where(left > 0, 1 - np.divide(lost, left, out=np.zeros_like(lost), where=left > 0), 1.0)
-        keep = np.concatenate([[1.0], np.cumprod(step)[:-1]])
-        ended = np.divide(
-            table(w, status == 2), keep[:, None], out=np.zeros_like(risk), where=keep[:, None] > 0
-        ).cumsum(0)
-        risk = risk + keep[:, None] * np.vstack([np.zeros(len(groups)), ended[:-1]])
-    mean_weight = np.divide(events.sum(1), deaths, out=np.zeros(len(times)), where=deaths > 0)
-    return RiskSets(groups, times, deaths, events, risk, mean_weight, keep, n_risk, int(n.sum()), scale)
+    days = {n: part.sort_values("time") for n, part in table.groupby("group")}
+    wide = lambda name: np.column_stack([days[g][name].to_numpy(float) for g in groups])
+    first = days[groups[0]]
+    n = wide("n_day").sum()
+    scale = n / wide("w_day").sum()
+    events, deaths = wide("w_event") * scale, wide("n_event").sum(1)
+    mean_weight = np.divide(events.sum(1), deaths, out=np.zeros(len(first)), where=deaths > 0)
+    squares = np.stack([wide(name) for name in ("w2_censored", "w2_event", "w2_competing")]) * scale**2
+    return RiskSets(
+        groups, first["time"].to_numpy(), deaths, events, wide("fg_risk") * scale, mean_weight,
+        first["g_before"].to_numpy(float), first["n_risk"].to_numpy(float), squares, int(n), scale,
+    )
 
 
 @dataclass
@@ -195,21 +174,13 @@ class Fit:
     converged: bool
 
 
-def fit(
-    cells: pd.DataFrame,
-    levels: list[str],
-    weighted: bool,
-    competing: bool = False,
-    robust: bool = True,
-    weight_censoring: bool = False,
-    max_iter: int = 50,
-) -> Fit:
+def fit(table: pd.DataFrame, levels: list[str], robust: bool = True, max_iter: int = 50) -> Fit:
     """Newton on the groups; the first level is the baseline.
 
     A group without events gets -inf, the limit of its coefficient; see _settle for other limits. Without
     events at all, or without events in the baseline, nothing can be estimated: all coefficients are NaN.
     """
-    rs = risk_sets(cells, levels, weighted, competing, weight_censoring)
+    rs = risk_sets(table, levels)
     had = rs.events.sum(0) > 0
     beta = np.full(len(rs.groups), np.nan)
     empty = np.zeros((0, 0))
@@ -239,7 +210,7 @@ def fit(
     reported, free = _settle(beta, at, free, step)
     info = at.info.sum(0)[np.ix_(free, free)]
     model_cov = np.linalg.inv(info) if free else empty
-    robust_cov = sandwich(cells, rs, at, free, model_cov, weighted, competing) if robust and free else None
+    robust_cov = sandwich(rs, at, free, model_cov) if robust and free else None
     return Fit(rs, reported, free, model_cov, robust_cov, at, converged)
 
 
@@ -264,43 +235,33 @@ def _settle(beta: np.ndarray, at: Likelihood, free: list[int], step: np.ndarray)
     return reported, kept
 
 
-def influence(cells: pd.DataFrame, rs: RiskSets, at: Likelihood, competing: bool) -> np.ndarray:
-    """Score residual of one row of each cell (per unit weight), cell x group."""
+def influence(rs: RiskSets, at: Likelihood) -> np.ndarray:
+    """Score residual of one row (per unit weight): end of follow-up x day x group of the row x group."""
     m, t = rs.mean_weight[:, None], at.ties
     R, E, r = rs.risk * at.ratio, rs.events * at.ratio, at.ratio
     G = len(r)
     share = np.divide(
         R * t.s0[:, None] - E * t.s1[:, None], rs.deaths[:, None], out=np.zeros_like(R), where=rs.deaths[:, None] > 0
     )
-    row = np.searchsorted(rs.times, cells["time"].to_numpy())
-    position = {g: i for i, g in enumerate(rs.groups)}
-    col = cells["group"].map(position).to_numpy()
-    status = cells["status"].to_numpy()
-    out = np.zeros((len(cells), G))
+    out = np.zeros((3, len(rs.times), G, G))
     for g in range(G):
         unit = np.eye(G)[g]
         passed = m * (unit * t.s0[:, None] - (R * t.q0[:, None] - E * t.q1[:, None]))
         own = m * (unit * (t.s0 - t.s1)[:, None] - (R * (t.q0 - t.q1)[:, None] - E * (t.q1 - t.q2)[:, None]))
         through = passed.cumsum(0)
-        before = through - passed
-        mine = col == g
-        at_row = row[mine]
-        died = (status[mine] == 1)[:, None]
-        u = np.where(died, unit - share[at_row] - r[g] * (before + own)[at_row], -r[g] * through[at_row])
-        if competing:
-            kept = rs.keep[:, None] * passed
-            later = kept[::-1].cumsum(0)[::-1] - kept
-            tail = np.divide(later, rs.keep[:, None], out=np.zeros_like(later), where=rs.keep[:, None] > 0)
-            u = u - np.where((status[mine] == 2)[:, None], r[g] * tail[at_row], 0.0)
-        out[mine] = u
+        kept = rs.keep[:, None] * passed
+        later = kept[::-1].cumsum(0)[::-1] - kept
+        tail = np.divide(later, rs.keep[:, None], out=np.zeros_like(later), where=rs.keep[:, None] > 0)
+        out[CENSORED, :, g] = -r[g] * through
+        out[EVENT, :, g] = unit - share - r[g] * (through - passed + own)
+        out[COMPETING, :, g] = -r[g] * (through + tail)
     return out
 
 
-def sandwich(cells, rs, at, free, model_cov, weighted, competing) -> np.ndarray:
-    """n/(n-1) times the sum of squared weighted influences; equal within a cell, so w2 carries it."""
-    w2 = cells["w2"].to_numpy(float) * rs.scale**2 if weighted else cells["n"].to_numpy(float)
-    u = influence(cells, rs, at, competing)[:, free]
-    meat = (u * w2[:, None]).T @ u
+def sandwich(rs: RiskSets, at: Likelihood, free: list[int], model_cov: np.ndarray) -> np.ndarray:
+    """n/(n-1) times the sum of squared weighted influences; rows of one day, group and end have the same."""
+    u = influence(rs, at)[..., free].reshape(-1, len(free))
+    meat = (u * rs.squares.reshape(-1, 1)).T @ u
     factor = rs.n / (rs.n - 1) if rs.n > 1 else 1.0
     return factor * model_cov @ meat @ model_cov
 

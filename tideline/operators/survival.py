@@ -58,56 +58,84 @@ def survival_curve(cells: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def fine_gray_risk_table(
-    cells: DataFrame, by: list[str], levels: list[str] = S.DOSE_LEVELS, weight_censoring: bool = False
+def risk_sets(
+    cells: DataFrame,
+    by: list[str],
+    levels: list[str] = S.DOSE_LEVELS,
+    weighted: bool = True,
+    competing: bool = False,
+    weight_censoring: bool = False,
 ) -> DataFrame:
-    """Risk weights of the sub-distribution hazard at each event day and group.
-
-    A subject with a competing event on day s stays at risk with weight w G(t-) / G(s-), G being the
-    survival of the censoring time (events before censorings on the same day). Summed over subjects this
-    is a running sum over days, so no subject is expanded into rows.
+    """Per key a row for each of its days and groups: who leaves that day and what is at risk. All fits read these rows.
+
+    n_day, w_day leave; n_event, w_event of them with the event; the squared weights are kept by how follow-up ends.
+    n_risk are the rows of all groups at risk, w_risk the weight of the group, fg_risk the same with what
+    competing events leave behind: a subject with one on day s stays at risk with weight w G(t-) / G(s-), G being
+    the survival of the censoring time (events before censorings on the same day). Summed over subjects this is
+    a running sum over days, so no subject is expanded into rows. Without ``competing`` status 2 is a censoring and
+    G is one; without ``weighted`` every row weighs one. Groups that are no level are left out.
     """
-    cells = cells.where("n > 0")
+    cells = cells.where((F.col("n") > 0) & F.col("group").isin(levels))
+    if not weighted:
+        cells = cells.withColumns({"w": F.col("n").cast("double"), "w2": F.col("n").cast("double")})
     base = "w" if weight_censoring else "n"
+    event, rival = F.col("status") == 1, (F.col("status") == 2) & F.lit(competing)
+
+    def of_level(level: str) -> Column:
+        mine = F.col("group") == level
+        total = lambda value, which: F.sum(F.when(mine & which, F.col(value)).otherwise(0))
+        every = F.lit(True)
+        return F.struct(
+            F.lit(level).alias("group"),
+            total("n", every).alias("n_day"), total("w", every).alias("w_day"),
+            total("n", event).alias("n_event"), total("w", event).alias("w_event"), total("w", rival).alias("w_competing"),
+            total("w2", ~event & ~rival).alias("w2_censored"), total("w2", event).alias("w2_event"),
+            total("w2", rival).alias("w2_competing"),
+        )
+
+    # Levels as columns of the day, so that days without rows of a group need no join.
+    days = cells.groupBy(*by, "time").agg(
+        F.sum(base).alias("all"), _at(0, base).alias("lost"), F.sum("n").alias("day_n"), _at(1, "n").alias("day_events"),
+        F.array(*map(of_level, levels)).alias("groups"),
+    )
     day = Window.partitionBy(*by).orderBy("time")
+    earlier = day.rowsBetween(Window.unboundedPreceding, -1)
     onwards = Window.partitionBy(*by).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    totals = cells.groupBy(*by, "time").agg(
-        F.sum(base).alias("all"), _at(0, base).alias("lost"), _at(1, "n").alias("day_events")
-    )
     left = F.sum("all").over(onwards) - (F.col("all") - F.col("lost"))
-    steps = totals.withColumn("left", left).withColumn("stay", F.coalesce(1 - F.try_divide("lost", "left"), F.lit(1.0)))
-    earlier = day.rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.min("stay").over(earlier) <= 0
-    log_keep = F.sum(F.when(F.col("stay") > 0, F.log("stay")).otherwise(0.0)).over(earlier)
-    grid = steps.select(
-        *by, "time", "day_events",
-        F.when(ended, 0.0).otherwise(F.coalesce(F.exp(log_keep), F.lit(1.0))).alias("g_before"),
-    ).withColumn("group", F.explode(F.array(*[F.lit(v) for v in levels])))
-    per_group = cells.groupBy(*by, "group", "time").agg(
-        F.sum("w").alias("w_day"), _at(1, "n").alias("n_event"), _at(1, "w").alias("w_event"), _at(2, "w").alias("w_comp")
+    days = days.withColumns({"left": left, "n_risk": F.sum("day_n").over(onwards)}).withColumn(
+        "stay", F.when(F.col("left") > 0, 1 - F.col("lost") / F.col("left")).otherwise(1.0)
     )
-    dense = grid.join(per_group, [*by, "group", "time"], "left").fillna(
-        0, ["w_day", "n_event", "w_event", "w_comp"]
+    log_keep = F.sum(F.when(F.col("stay") > 0, F.log("stay")).otherwise(0.0)).over(earlier)
+    survival = F.when(F.min("stay").over(earlier) <= 0, 0.0).otherwise(F.coalesce(F.exp(log_keep), F.lit(1.0)))
+    rows = days.withColumn("g_before", survival if competing else F.lit(1.0)).select(
+        *by, "time", "day_events", "n_risk", "g_before", F.inline("groups")
     )
     own = Window.partitionBy(*by, "group")
-    at_risk = F.sum("w_day").over(own.orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    carried = F.coalesce(
-        F.sum(F.coalesce(F.try_divide("w_comp", "g_before"), F.lit(0.0))).over(
-            own.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-        F.lit(0.0),
-    )
+    at_risk = own.orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    before = own.orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    left_behind = F.when(F.col("g_before") > 0, F.col("w_competing") / F.col("g_before")).otherwise(0.0)
+    carried = F.coalesce(F.sum(left_behind).over(before), F.lit(0.0)) if competing else F.lit(0.0)
     return (
-        dense.withColumn("w_risk", at_risk)
-        .withColumn("fg_risk", F.col("w_risk") + F.col("g_before") * carried)
-        .where((F.col("day_events") > 0) & (F.col("fg_risk") > 0))
-        .select(*by, "group", "time", "n_event", "w_event", "g_before", "w_risk", "fg_risk")
+        rows.withColumns({"in_group": F.sum("n_day").over(own), "w_risk": F.sum("w_day").over(at_risk), "carried": carried})
+        .where("in_group > 0")
+        .withColumn("fg_risk", F.col("w_risk") + F.col("g_before") * F.col("carried"))
+        .drop("in_group", "carried", "w_competing")
+    )
+
+
+def fine_gray_risk_table(
+    cells: DataFrame, by: list[str], levels: list[str] = S.DOSE_LEVELS, weight_censoring: bool = False
+) -> DataFrame:
+    """Risk weights of the sub-distribution hazard at each event day and group."""
+    rows = risk_sets(cells, by, levels, competing=True, weight_censoring=weight_censoring)
+    return rows.where((F.col("day_events") > 0) & (F.col("fg_risk") > 0)).select(
+        *by, "group", "time", "n_event", "w_event", "g_before", "w_risk", "fg_risk"
     )
 
 
-def _per_key(cells: DataFrame, by: list[str], solve, schema: str) -> DataFrame:
-    """Run ``solve`` on the cells of each key; a key holds at most days x statuses x groups rows."""
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*by).schema)
+def _per_key(risk: DataFrame, by: list[str], solve, schema: str) -> DataFrame:
+    """Run ``solve`` on the risk sets of each key; a key holds at most days x groups rows, already in one partition."""
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in risk.select(*by).schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = solve(pdf)
@@ -115,8 +143,7 @@ def _per_key(cells: DataFrame, by: list[str], solve, schema: str) -> DataFrame:
             out.insert(i, k, pdf[k].iloc[0])
         return out
 
-    needed = cells.where(F.col("group").isNotNull() & (F.col("n") > 0)).select(*by, "group", "time", "status", "n", "w", "w2")
-    return needed.groupBy(*by).applyInPandas(run, f"{key_schema}, {schema}")
+    return risk.drop("day_events", "w_risk").groupBy(*by).applyInPandas(run, f"{key_schema}, {schema}")
 
 
 COX_SCHEMA = (
@@ -143,10 +170,9 @@ def cox_ph(
     variance = variance or ("design" if weighted or competing else "model")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = hazards.fit(pdf, levels, weighted, competing, robust=variance == "design", weight_censoring=weight_censoring)
+        f = hazards.fit(pdf, levels, robust=variance == "design")
         cov = f.robust_cov if variance == "design" else f.model_cov
-        by_group = pdf.groupby("group")["n"].sum()
-        events = pdf[pdf["status"] == 1].groupby("group")["n"].sum()
+        by_group = pdf.groupby("group")[["n_day", "n_event"]].sum()
         rows = []
         for i, g in enumerate(f.rs.groups):
             k = f.free.index(i) if i in f.free else None
@@ -154,8 +180,8 @@ def cox_ph(
             rows.append(
                 (
                     g,
-                    int(by_group[g]),
-                    int(events.get(g, 0)),
+                    int(by_group.loc[g, "n_day"]),
+                    int(by_group.loc[g, "n_event"]),
                     float(f.beta[i]) if i and not np.isnan(f.beta[i]) else None,
                     float(np.sqrt(cov[k, k])) if k is not None else None,
                     float(np.sqrt(f.model_cov[k, k])) if k is not None else None,
@@ -166,7 +192,7 @@ def cox_ph(
         names = ["group", "n", "events", "log_hr", "se", "se_model", "expected", "converged"]
         return pd.DataFrame(rows, columns=names)
 
-    return _per_key(cells, by, solve, COX_SCHEMA)
+    return _per_key(risk_sets(cells, by, levels, weighted, competing, weight_censoring), by, solve, COX_SCHEMA)
 
 
 def fine_gray(
@@ -206,7 +232,7 @@ def ph_test(
     """Score test of hazard ratios that change with 1 - S(t-): one row per group and one for all."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = hazards.fit(pdf, levels, weighted, competing, robust=False)
+        f = hazards.fit(pdf, levels, robust=False)
         rows = hazards.ph_score_test(f) if f.free else []
         out = pd.DataFrame(rows, columns=["term", "chisq", "df"])
         p = np.full(len(out), np.nan)
@@ -216,14 +242,14 @@ def ph_test(
         out["p"] = p
         return out
 
-    return _per_key(cells, by, solve, "term string, chisq double, df int, p double")
+    return _per_key(risk_sets(cells, by, levels, weighted, competing), by, solve, "term string, chisq double, df int, p double")
 
 
 def cox_score(cells: DataFrame, by: list[str], levels: list[str] = S.DOSE_LEVELS, weighted: bool = False) -> DataFrame:
     """Score vector and information matrix at no effect, one row per pair of non-baseline groups."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rs = hazards.risk_sets(pdf, levels, weighted)
+        rs = hazards.risk_sets(pdf, levels)
         at = hazards.likelihood(rs, np.zeros(len(rs.groups)))
         score, info = at.score.sum(0), at.info.sum(0)
         rows = [
@@ -233,14 +259,14 @@ def cox_score(cells: DataFrame, by: list[str], levels: list[str] = S.DOSE_LEVELS
         ]
         return pd.DataFrame(rows, columns=["group", "group2", "score", "info"])
 
-    return _per_key(cells, by, solve, "`group` string, group2 string, score double, info double")
+    return _per_key(risk_sets(cells, by, levels, weighted), by, solve, "`group` string, group2 string, score double, info double")
 
 
 def cox_curve(cells: DataFrame, by: list[str], levels: list[str] = S.DOSE_LEVELS, weighted: bool = True) -> DataFrame:
     """Model-based survival per group at the event days, with log(-log S)."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = hazards.fit(pdf, levels, weighted, robust=False)
+        f = hazards.fit(pdf, levels, robust=False)
         if f.at is None:
             return pd.DataFrame(columns=["group", "time", "cum_hazard", "surv", "cloglog"])
         days = f.rs.deaths > 0
@@ -257,4 +283,4 @@ def cox_curve(cells: DataFrame, by: list[str], levels: list[str] = S.DOSE_LEVELS
             )
         return pd.concat(parts)
 
-    return _per_key(cells, by, solve, "`group` string, time int, cum_hazard double, surv double, cloglog double")
+    return _per_key(risk_sets(cells, by, levels, weighted), by, solve, "`group` string, time int, cum_hazard double, surv double, cloglog double")
