@@ -190,6 +190,11 @@ ORACLE["dose_in_window_rows"] = sql("""SELECT subject_id FROM elig WHERE EXISTS
   WHERE urgent.o_custkey = elig.subject_id AND urgent.d >= index_date AND urgent.d < index_date + 28)""")
 ORACLE["exclude_matched_sets"] = sql(f"""SELECT subject_id, "match" FROM ana WHERE NOT EXISTS (
   SELECT 1 FROM (SELECT DISTINCT "match" AS m FROM person WHERE {_ADDED}) e WHERE e.m IS NOT DISTINCT FROM ana."match")""")
+ORACLE["exclude_stored_sets"] = sql(f"""SELECT subject_id, "match" FROM ana WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT DISTINCT "match" AS m FROM ana WHERE {_ADDED}) e WHERE e.m IS NOT DISTINCT FROM ana."match")""")
+ORACLE["added_dose_flags_stored"] = sql(f"""SELECT subject_id, "match", CAST(max(a) OVER s AS INTEGER) AS added_acute,
+  CAST(max(CASE WHEN death_date IS NULL OR death_date >= index_date + 28 THEN a ELSE 0 END) OVER s AS INTEGER) AS added_post
+FROM (SELECT *, CASE WHEN {_ADDED} THEN 1 ELSE 0 END AS a FROM ana) WINDOW s AS (PARTITION BY "match")""")
 SUBGROUPS = {
     "age.l65": "age < 65", "age.ge65": "age >= 65", "sex.male": "sex = 'M'", "sex.female": "sex = 'F'",
     "cci.l4": "score_cci_age < 4", "cci.ge4": "score_cci_age >= 4", "sev1": "severity = 1", "sev0": "severity = 0",

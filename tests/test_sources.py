@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tideline import schema as S
 from tideline.operators import cohort as K
 from tideline.sources import (
-    add_total_row, definition_filter, kept_stage, materialise, read_cohort, read_definitions, read_report, read_stage, run,
-    write_report, write_stage, write_tables,
+    add_total_row, definition_filter, kept_stage, materialise, read_cohort, read_definitions, read_report, read_set_stage,
+    read_stage, run, write_report, write_set_stage, write_stage, write_tables,
 )
 from tideline.sources.ordered import numbered
 from tideline.sources.sample import person_table
@@ -164,3 +164,47 @@ def test_sample_counts(spark, sf_dir):
 @pytest.mark.parametrize("column", [f.name for f in S.PERSON_SCHEMA if f.name.startswith(("outcome", "dose"))][:3])
 def test_sample_types(spark, sf_dir, column):
     assert dict(person_table(spark, sf_dir).dtypes)[column] == "date"
+
+
+def sets_of(spark):
+    """Sets of five, a third of all rows without an id, two extra columns and an empty set of doses in most."""
+    df = spark.range(0, 3000, 1, 6).selectExpr("id", "IF(id % 3 = 0, NULL, id % 600) AS match", "id % 100 = 1 AS dosed")
+    return df.withColumn("excluded_key_2", F.lit("x"))
+
+
+def test_stored_sets_need_no_exchange(spark, tmp_path):
+    """Work on whole sets of a bucketed stage moves no row: only the scalar of the rows without id has an exchange."""
+    df, path = sets_of(spark), str(tmp_path / "sets")
+    write_set_stage(df, path, buckets=8)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stage = read_set_stage(spark, path)
+        kept, flagged = K.exclude_stored_sets(stage, F.col("dosed")), K.flag_stored_sets(stage, {"any_dose": F.col("dosed")})
+        for plan_text in (plan(kept), plan(flagged)):
+            assert "SortMergeJoin" in plan_text and "Exchange hashpartitioning" not in plan_text
+            assert "SelectedBucketsCount: 8 out of 8" in plan_text
+        want = K.exclude_matched_sets(df, df.where("dosed"))
+        assert sorted(r["id"] for r in kept.collect()) == sorted(r["id"] for r in want.collect())
+        dosed = {r["match"] for r in df.where("dosed").collect()}
+        assert None in dosed and all(r["any_dose"] == (r["match"] in dosed) for r in flagged.collect())
+        assert flagged.count() == 3000
+        assert {r["match"] for r in K.exclude_stored_sets(stage, F.col("dosed") & F.col("match").isNotNull()).collect()} >= {None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_sets_of_another_session_and_empty_ones(spark, tmp_path):
+    path = str(tmp_path / "sets")
+    write_set_stage(sets_of(spark), path, buckets=4)
+    other = spark.newSession()
+    assert read_set_stage(other, path).rows.count() == 3000
+    write_set_stage(sets_of(spark).where("false"), path, buckets=2)
+    empty = read_set_stage(spark, path)
+    assert K.exclude_stored_sets(empty, F.col("dosed")).count() == 0
+    assert K.flag_stored_sets(empty, {"any_dose": F.col("dosed")}).columns[-1] == "any_dose"
+    broken = sets_of(spark).withColumn("id", F.when(F.col("id") == 7, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="lost"):
+        write_set_stage(broken, path, buckets=2)
+    with pytest.raises(ValueError, match="to its end"):
+        read_set_stage(spark, path)

@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from functools import reduce
 from operator import and_
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline import schema as S
 from tideline.functions import columns as C
 
+if TYPE_CHECKING:
+    from tideline.sources.matched import SetStage
+
 
 def index_from(df: DataFrame, date: str = S.STUDY_START) -> DataFrame:
     return df.where(F.col("index_date") >= F.lit(date).cast("date"))
@@ -170,6 +174,25 @@ def exclude_matched_sets(df: DataFrame, excluded: DataFrame, key: str = "match")
     return df.join(ids, F.col(key).eqNullSafe(F.col("excluded_key")), "left_anti")
 
 
+def exclude_stored_sets(stage: SetStage, condition: Column) -> DataFrame:
+    """Drop every row whose set holds a row with ``condition``, as ``exclude_matched_sets`` does, without a shuffle.
+
+    Sets meet in their bucket. The rows without an id are one set: they stay or go by a scalar.
+    """
+    ids = stage.sets.where(condition).select(F.col(stage.key).alias("excluded_key")).distinct()
+    kept = stage.sets.join(ids, F.col(stage.key) == F.col("excluded_key"), "left_anti")
+    return kept.unionByName(stage.none.where(~stage.none.where(condition).exists()))
+
+
+def flag_stored_sets(stage: SetStage, flags: dict[str, Column]) -> DataFrame:
+    """Add per flag 1 if the set of the row holds a row that meets it, 0 otherwise, without a shuffle of rows."""
+    any_of = [F.max(F.when(c, 1).otherwise(0)).alias(name) for name, c in flags.items()]
+    of_set = stage.sets.groupBy(F.col(stage.key).alias("flagged_key")).agg(*any_of)
+    named = stage.sets.join(of_set, F.col(stage.key) == F.col("flagged_key")).drop("flagged_key")
+    scalars = {name: stage.none.agg(c).scalar() for name, c in zip(flags, any_of)}
+    return named.unionByName(stage.none.withColumns(scalars))
+
+
 def subgroup_conditions() -> dict[str, Column]:
     """The ten subgroup definitions."""
     baseline = F.col("group") == S.DOSE_LEVELS[0]

@@ -16,6 +16,7 @@ from tideline.plans.variants import VARIANTS
 from tideline.session import shared_folder
 from tideline.sources.cohort import normalise_dates, read_cohort as read_cohort_file
 from tideline.sources.definitions import definition_filter, read_definitions, with_places
+from tideline.sources.matched import SetStage, read_set_stage, write_set_stage
 from tideline.sources.ordered import numbered
 from tideline.sources.reports import concat_tables, read_report, write_report, write_tables
 from tideline.sources.sample import SAMPLE_STUDY_END, person_table
@@ -224,6 +225,30 @@ def exclude_matched_sets(spark, sf):
     return K.exclude_matched_sets(K.analysable(K.eligible(persons)), excluded).select("subject_id", "match")
 
 
+def stored_sets(spark, sf) -> SetStage:
+    path = f"{shared_folder(spark).rstrip('/')}/files/sets-{uuid.uuid4().hex}"
+    write_set_stage(analysable(spark, sf).select("subject_id", "match", "index_date", "death_date", *S.ALL_DOSE_DATES), path)
+    return read_set_stage(spark, path)
+
+
+def dosed_early() -> Column:
+    index = F.col("index_date")
+    return C.any_date_between(S.ALL_DOSE_DATES, index, F.date_add(index, S.ACUTE_DAYS))
+
+
+@query
+def exclude_stored_sets(spark, sf):
+    """Sets with an early dose of an analysable subject leave, on a stage that is bucketed by set."""
+    return K.exclude_stored_sets(stored_sets(spark, sf), dosed_early()).select("subject_id", "match")
+
+
+@query
+def added_dose_flags_stored(spark, sf):
+    """Per subject whether its set has an early dose, of anyone and of someone alive at the landmark."""
+    flags = {"added_acute": dosed_early(), "added_post": dosed_early() & (C.survives_to(S.ACUTE_DAYS) == 1)}
+    return K.flag_stored_sets(stored_sets(spark, sf), flags).select("subject_id", "match", *flags)
+
+
 @query
 def subgroup_membership(spark, sf):
     return K.subgroups(analysable(spark, sf)).select("subject_id", "subgroup")
