@@ -824,3 +824,45 @@ ORACLE["ordered_report"] = sql("""SELECT outcome, "group", count(*) AS n, CAST(s
   row_number() OVER (ORDER BY outcome, list_position(['X', '1d', '2d', '3d'], "group")) - 1 AS place
 FROM acute GROUP BY outcome, "group\"""", ACUTE)
 ORACLE["kept_stages"] = sql('SELECT "group", count(*) AS "count", count(*) AS again FROM ana GROUP BY "group"')
+
+# The multinomial fit with several covariates: ascent with a fixed bound of the information (twice the inverse Gram
+# matrix, mixed over the groups), which needs no matrix of the fit itself. x is the row of the design.
+_WIDTH, _STEPS = 8, 4000
+_PLACES = f"range(1, {_WIDTH + 1})"
+_ETA = ", ".join(f"exp(list_dot_product(x, b{k})) AS r{k}" for k in (1, 2, 3))
+_UPHILL = ", ".join(
+    "[" + ", ".join(f"sum(x[{i}] * (n{k} + n1 + n2 + n3 - n * (r{k} + r1 + r2 + r3) / (1 + r1 + r2 + r3)))" for i in range(1, _WIDTH + 1)) + f"] AS u{k}"
+    for k in (1, 2, 3)
+)
+MULTINOMIAL = f"""design AS MATERIALIZED (SELECT *, [1.0::DOUBLE, (age - avg(age) OVER ()) / stddev_pop(age) OVER (),
+    (score_cci - avg(score_cci) OVER ()) / stddev_pop(score_cci) OVER (), CASE WHEN sex = 'M' THEN 1 ELSE 0 END]
+    || [CASE WHEN segment = s THEN 1.0::DOUBLE ELSE 0 END FOR s IN (SELECT list(DISTINCT segment ORDER BY segment)[2:] FROM ana)] AS x
+  FROM ana),
+patterns AS MATERIALIZED (SELECT x, count(*) AS n, {', '.join(f"count(*) FILTER (WHERE \"group\" = '{GROUPS[k]}') AS n{k}" for k in (1, 2, 3))}
+  FROM design GROUP BY x),
+gram AS MATERIALIZED (SELECT list(row_i ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS row_i FROM (
+    SELECT i, j, sum(n * x[i] * x[j]) AS v FROM patterns, range(1, {_WIDTH + 1}) a(i), range(1, {_WIDTH + 1}) b(j) GROUP BY i, j)
+  GROUP BY i)),
+inverted_gram AS (SELECT 1 AS k, m FROM gram UNION ALL
+  SELECT k + 1, [[CASE WHEN i = k AND j = k THEN 1 / m[k][k] WHEN i = k THEN m[k][j] / m[k][k] WHEN j = k THEN -m[i][k] / m[k][k]
+    ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END FOR j IN {_PLACES}] FOR i IN {_PLACES}]
+  FROM inverted_gram WHERE k <= {_WIDTH}),
+bound AS MATERIALIZED (SELECT m FROM inverted_gram WHERE k = {_WIDTH + 1}),
+ascent AS (SELECT 0 AS step, {', '.join(f'[0.0::DOUBLE FOR i IN {_PLACES}] AS b{k}' for k in (1, 2, 3))}
+  UNION ALL
+  SELECT step + 1, {', '.join(f'[b{k}[i] + 2 * list_dot_product(m[i], u{k}) FOR i IN {_PLACES}] AS b{k}' for k in (1, 2, 3))}
+  FROM (SELECT step, any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, any_value(m) AS m, {_UPHILL}
+    FROM (SELECT step, b1, b2, b3, m, x, n, n1, n2, n3, {_ETA} FROM ascent, patterns, bound WHERE step < {_STEPS}) GROUP BY step)),
+multinomial AS MATERIALIZED (SELECT *, (1 + r1 + r2 + r3) / CASE "group" WHEN 'X' THEN 1 WHEN '1d' THEN r1 WHEN '2d' THEN r2 ELSE r3 END AS weight
+  FROM (SELECT d.*, {_ETA} FROM design d, ascent WHERE step = {_STEPS}))"""
+ORACLE["propensity_multinomial"] = sql(summary("multinomial"), MULTINOMIAL)
+ORACLE["analysis_multinomial"] = sql(
+    f"""SELECT c.outcome, c."group", n, events, {r3('w_events')} AS w_events, {r3('pt')} AS pt,
+      {r6('w_events / pt')} AS rate, {r6('lo / pt')} AS rate_lo, {r6('hi / pt')} AS rate_hi, {HR_OUT}
+    FROM counts c JOIN p_lim ON x = w_events LEFT JOIN hr ON hr.outcome = c.outcome AND hr."group" = c."group\"""",
+    MULTINOMIAL, censored("multinomial", "follow", ACUTE_BOUND, False, MAIN, extra=", weight"),
+    CELLS.format(status="status", w="weight", where=""),
+    """counts AS MATERIALIZED (SELECT outcome, "group", count(*) AS n, CAST(sum(status) AS BIGINT) AS events,
+      sum(weight * status) AS w_events, sum(weight * "time") AS pt FROM follow GROUP BY outcome, "group")""",
+    gamma_limits("p", "counts", "w_events"), NO_KEEP, GRID, TIES, NEWTON, SANDWICH, ROBUST_SE,
+)

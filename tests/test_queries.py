@@ -21,13 +21,23 @@ def con(sf_dir):
     return connection(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+#: Fits of several covariates have no maximum in the 53 subjects of the smallest tables, as a group has one subject.
+MORE_SUBJECTS = ["analysis_multinomial", "propensity_multinomial"]
+
+
+@pytest.mark.parametrize("name", MORE_SUBJECTS)
+def test_fits_of_several_covariates_equal_sql(spark, sf_dir, name):
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    assert compare(QUERIES[name](spark, larger), connection(larger), ORACLE[name], tolerance=2e-6) == ""
+
+
+@pytest.mark.parametrize("name", sorted(set(ORACLE) - set(MORE_SUBJECTS)))
 def test_equals_sql(spark, sf_dir, con, name):
     # Tolerance for the last digit: at this scale some fits diverge and both sides stop near the limit.
     assert compare(QUERIES[name](spark, sf_dir), con, ORACLE[name], tolerance=2e-6) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) | set(MORE_SUBJECTS)))
 def test_rows_only(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 

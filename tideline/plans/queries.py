@@ -603,6 +603,14 @@ def analysis_missing_covariate(spark, sf):
     return rounded(result.select("outcome", "group", "n", "events", "n_missing", *RESULT_NUMBERS), *RESULT_NUMBERS)
 
 
+@query
+def analysis_multinomial(spark, sf):
+    """The acute analysis of all outcomes with weights of several covariates."""
+    variants = [v for v in VARIANTS if (v.name, v.phase) == ("no_added_dose", "acute")]
+    result = analysis.run_analysis(eligible(spark, sf), TERMS, [replace(variants[0], exclude_added_dose=False)], SAMPLE_STUDY_END)
+    return rounded(result.select("outcome", "group", "n", "events", *RESULT_NUMBERS), *RESULT_NUMBERS)
+
+
 @query
 def subgroup_results(spark, sf):
     variants = [v for v in VARIANTS if v.name == "subgroup"]
