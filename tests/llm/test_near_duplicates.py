@@ -183,3 +183,10 @@ def test_bound_holds_and_prunes():
     assert topk.bound(qa.centre, qa.radius, qa.size, qb.centre, qb.radius, qb.size) >= (a @ b.T).max()
     rows = np.sort(np.concatenate([c.rows for c in qa.children])) if qa.children else qa.rows
     assert rows.tolist() == list(range(50))
+
+
+def test_top_k_sends_nodes_where_pairs_are(spark):
+    nodes = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "node string, ids int")
+    pairs = spark.createDataFrame([("x", "a", 0), ("y", "a", 0), ("z", "a", 7), ("x", "c", 0)], "ask string, node string, salt int")
+    got = sorted(map(tuple, topk._called(nodes, pairs).select("node", "ids", "salt").collect()))
+    assert got == [("a", 1, 0), ("a", 1, 7), ("c", 3, 0)]

@@ -248,6 +248,11 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _called(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Nodes with each salt that a pair of theirs has: a node travels only to where pruning left something of it."""
+    return nodes.join(pairs.select("node", "salt").distinct(), "node")
+
+
 def exact_top_k(
     vectors: DataFrame, asks: Column, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", embedding: str = "embedding"
 ) -> DataFrame:
@@ -293,16 +298,17 @@ def exact_top_k(
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)).cast("array<bigint>"))
     ask_side = groups.select("node", "centre", "radius", "size", "worst", part(down).alias("i"), every(across).alias("j"))
     data_side = data.select("node", "centre", "radius", "size", every(down).alias("i"), part(across).alias("j"))
-    pairs = ask_side.groupBy("i", "j").cogroup(data_side.groupBy("i", "j")).applyInArrow(
-        lambda a, d: _prune(a, d), "ask string, node string"
+    pairs = materialise(
+        ask_side.groupBy("i", "j").cogroup(data_side.groupBy("i", "j")).applyInArrow(lambda a, d: _prune(a, d), "ask string, node string"),
+        "search-pairs",
     )
     salts = max(1, -(-counts.get("ask", 0) // GROUPS))
-    salt = F.pmod(F.xxhash64("ask"), F.lit(salts))
-    meeting = pairs.join(
-        groups.select(F.col("node").alias("ask"), "vectors", "keys", "kth"), "ask"
-    ).select("node", salt.alias("salt"), "vectors", "keys", "kth")
-    salted = data.select("node", every(salts).alias("salt"), "vectors", "keys", "ids")
-    met = salted.groupBy("node", "salt").cogroup(meeting.groupBy("node", "salt")).applyInArrow(
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("ask"), F.lit(salts)))
+    meeting = salted.join(groups.select(F.col("node").alias("ask"), "vectors", "keys", "kth"), "ask").select(
+        "node", "salt", "vectors", "keys", "kth"
+    )
+    called = _called(data.select("node", "vectors", "keys", "ids"), salted)
+    met = called.groupBy("node", "salt").cogroup(meeting.groupBy("node", "salt")).applyInArrow(
         _search(k, width), "query long, key long, id long, score long"
     )
     seeds = groups.select("keys", "found_query", "found_key", "found_id", "found_score").mapInArrow(
