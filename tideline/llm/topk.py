@@ -250,7 +250,8 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _called(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Nodes with each salt that a pair of theirs has: a node travels only to where pruning left something of it."""
-    return nodes.join(pairs.select("node", "salt").distinct(), "node")
+    joined = nodes.join(pairs.select("node", "salt").distinct(), "node")
+    return joined.select(*(F.col(c).alias(c) for c in joined.columns))  # columns of its own beside the other side's
 
 
 def exact_top_k(
