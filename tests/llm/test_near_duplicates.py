@@ -1,5 +1,7 @@
 """Near-duplicate operators and top-k search against brute force."""
 
+import sys
+
 import numpy as np
 import pytest
 import xxhash
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm import embeddings, simhash, topk
 from tideline.llm.components import components
+from tideline.sources import stages
 
 
 def union(n, pairs):
@@ -84,6 +87,26 @@ def test_keep_one(documents, no_documents):
     assert simhash.keep_one(no_documents).count() == 0
 
 
+def test_near_duplicates_broadcast_nothing(spark, documents, monkeypatch):
+    """Neither the cells that fingerprints are sent to, nor nor links go through the driver, however small their files."""
+    plans = []
+
+    def planned(df, label):
+        plans.append((label, df._jdf.queryExecution().sparkPlan().toString()))
+        return stages.materialise(df, label)
+
+    monkeypatch.setattr(simhash, "materialise", planned)
+    monkeypatch.setattr(sys.modules[components.__module__], "materialise", planned)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        planned(simhash.groups(documents), "groups")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 5  # pairs, rounds and results
+    assert [label for label, plan in plans if "Broadcast" in plan] == []
+
+
 def vectors(spark, seed=3, n=260, width=12):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, width))

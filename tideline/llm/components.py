@@ -19,7 +19,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     not matter. Each round hangs all larger neighbours of a node on its smallest neighbour (large star), then all
     smaller ones (small star); the rounds end when a round changes nothing, so after about log(longest path)
     rounds. Every round writes its links to the shared folder. A hub with very many links costs a partial
-    aggregate and one join side that the adaptive join can split, never a list. No links give no rows.
+    aggregate and one join side that the adaptive join can split, never a list; the joins are by merge, so the
+    driver never holds the nodes for a broadcast. No links give no rows.
     """
     u, v = F.col("u"), F.col("v")
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a) != F.col(b))
@@ -27,11 +28,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
         large = (
-            both.join(_smallest_beside(both), "u").where(v > u)
+            both.hint("merge").join(_smallest_beside(both), "u").where(v > u)
             .select(v.alias("u"), F.col("m").alias("v"))
         )
         kept = large.where(u != v).distinct()
-        small = kept.join(_smallest_beside(kept), "u").select(
+        small = kept.hint("merge").join(_smallest_beside(kept), "u").select(
             F.when(v == F.col("m"), u).otherwise(v).alias("u"), F.col("m").alias("v")
         )
         edges = materialise(small.where(u != v).distinct(), "links")

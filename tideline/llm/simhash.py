@@ -75,7 +75,8 @@ def near_pairs(prints: DataFrame, distance: int = 2, segments: int = 8) -> DataF
     ``prints`` has distinct ``bits``. A differing bit changes the count of one segment by one, so the Manhattan
     distance of the counts never exceeds the bit distance. Equal counts make a grid cell; a fingerprint is
     sent to half of the cells in reach, and the bits themselves are compared where two meet. Cells with very many
-    fingerprints are split by the adaptive join; only verified pairs leave it.
+    fingerprints are split by the adaptive join; only verified pairs leave it. The join is always by merge: Spark
+    takes the size of the guests from the file before they are sent out, and would broadcast all of them.
     """
     home = prints.select(F.col("bits").alias("a"), _cell(F.col("bits"), segments, distance).alias("cell"))
     reach = F.explode(F.array(*(F.lit(s) for s in _steps(segments, distance))))
@@ -83,7 +84,7 @@ def near_pairs(prints: DataFrame, distance: int = 2, segments: int = 8) -> DataF
         "b", (F.col("cell") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("same")
     )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
-    return home.join(guest, (home.cell == guest.cell) & near & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
+    return home.hint("merge").join(guest, (home.cell == guest.cell) & near & (~F.col("same") | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def groups(
@@ -96,17 +97,18 @@ def groups(
     grouping, so thousands of copies cost one row in the search. Words are runs without ASCII white space after
     lower-casing A-Z, shingles ``width`` words, repeats included; fewer words are one shingle, and a text
     without words (NULL too) has fingerprint zero, linked like any other. Repeated rows give a row each; a NULL
-    id gets a row and the component of its fingerprint.
+    id gets a row and the component of its fingerprint. Written tables are joined by merge, as the size of a
+    compressed file does not tell how much a broadcast of it would take on the driver.
     """
     prints = materialise(fingerprints(docs, width, doc_id, text), "fingerprints")
     distinct = materialise(prints.groupBy("bits").agg(F.min("doc_id").alias("smallest")), "distinct-fingerprints")
     linked = components(near_pairs(distinct, distance, segments))
-    rooted = distinct.join(linked, distinct.bits == linked.node, "left").select(
+    rooted = distinct.hint("merge").join(linked, distinct.bits == linked.node, "left").select(
         "bits", "smallest", F.coalesce("root", "bits").alias("group")
     )
     smallest = rooted.groupBy("group").agg(F.min("smallest").alias("component_id"))
-    named = rooted.select("bits", "group").join(smallest, "group")
-    return prints.join(named, "bits").select(
+    named = rooted.select("bits", "group").hint("merge").join(smallest, "group")
+    return prints.hint("merge").join(named, "bits").select(
         "doc_id",
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         "component_id",
