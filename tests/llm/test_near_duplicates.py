@@ -88,7 +88,7 @@ def test_keep_one(documents, no_documents):
 
 
 def test_near_duplicates_broadcast_nothing(spark, documents, monkeypatch):
-    """Neither the cells that fingerprints are sent to, nor nor links go through the driver, however small their files."""
+    """Neither the cells that fingerprints are sent to, nor links, nor documents go through the driver, however small their files."""
     plans = []
 
     def planned(df, label):
@@ -100,10 +100,11 @@ def test_near_duplicates_broadcast_nothing(spark, documents, monkeypatch):
     held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+        planned(simhash.keep_one(documents), "kept")
         planned(simhash.groups(documents), "groups")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
-    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 5  # pairs, rounds and results
+    assert sum("SortMergeJoin" in plan for _, plan in plans) >= 6  # pairs, rounds and results
     assert [label for label, plan in plans if "Broadcast" in plan] == []
 
 

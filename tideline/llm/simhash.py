@@ -120,7 +120,7 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2, segments: int =
     """``docs`` with one document of each near-duplicate group: the one with the smallest id (columns unchanged).
 
     A document without id stays only where its group has no id; a hash of the row decides between several, and of
-    equal rows one stays.
+    equal rows one stays. Documents are joined by merge, never broadcast: a file of many copies is small.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     key = F.struct(
@@ -129,5 +129,5 @@ def keep_one(docs: DataFrame, width: int = 3, distance: int = 2, segments: int =
     )
     found = groups(docs.select(key.alias("key"), "text"), width, distance, segments, doc_id="key")
     chosen = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
-    kept = docs.select(key.alias("key"), row).join(chosen, "key").dropDuplicates(["key"])
+    kept = docs.select(key.alias("key"), row).hint("merge").join(chosen, "key").dropDuplicates(["key"])
     return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
