@@ -168,3 +168,27 @@ def test_the_closest_path_is_taken_first():
     copy = close | {"hashes": [1, 3], "widths": [9, 90]}
     assert P.site_lines(page, [far, copy]) == [True, False, True]
     assert P.site_lines(page, [None, copy]) == [True, True, True]
+
+
+def test_differencing_chooses_among_articles(spark, prose):
+    """Every page is compared: an article element that the nearest page has too is the site's, one with own lines is whole."""
+    pick = "<article><h2>Picked by us</h2><p>The same on every page</p></article>"
+    passage = prose(7, 30)
+    rows, want = [], {}
+    for k in range(6):
+        own = [prose(100 * k + j, 25) for j in range(4)]
+        lines = [f"Title {k}", *own[:2], passage, *own[2:]]  # a passage that all articles quote stays
+        html = f"<main><p>Top</p>{pick}<article>" + "".join(f"<p>{line}</p>" for line in lines) + "</article></main>"
+        rows.append((k, f"https://a.example.org/{k}", html))
+        want[k] = "\n\n".join(lines)
+    for k in range(6, 9):  # the only article element is the site's, the main element holds the text
+        own = [prose(100 * k + j, 25) for j in range(4)]
+        rows.append((k, f"https://b.example.org/{k}", f"<main>{pick}" + "".join(f"<p>{line}</p>" for line in own) + "</main>"))
+        want[k] = "\n\n".join(own)
+    rows.append((9, "https://c.example.org/9", rows[0][2]))  # alone in its host: what markup says
+    want[9] = "\n\n".join(["Picked by us", "The same on every page", want[0]])
+    rows += [(10, "https://d.example.org/a", "<article><p>x</p></article>"), (11, "https://d.example.org/b", "<article><p>x</p><p>y</p></article>")]
+    want |= {10: "x", 11: "x\n\ny"}
+    got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+    assert {r.page_id: r.n_lines for r in got} == {k: t.count("\n\n") + 1 for k, t in want.items()}

@@ -1,8 +1,9 @@
 """Main text of web pages: markup, then differencing against the page with the nearest URL.
 
 A page is cut into lines, one for each block. Markup says of some that they are menus, notices, scripts and so on,
-and of others that they are the article. What markup leaves open is compared with the page of the same host whose
-path is nearest: lines on a longest common subsequence of both belong to the site, not to the page, and go.
+and of others that they are the article. Every page is compared with the page of the same host whose path is nearest:
+lines on a longest common subsequence of both belong to the site, the others are the page's own. Article and main
+elements that hold own lines are the main text, as a whole; on a page without such elements the own lines are.
 """
 
 from __future__ import annotations
@@ -96,25 +97,28 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, noise, best zone
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, noise, best zone, number of the element that gave it
         self.found: list[tuple[str, int]] = []
+        self.parts: list[int] = []  # for each line the article or main element around it; 0 without one
         self.said: list[str] = []
         self.zone = OPEN
+        self.part = self.last = 0
 
     def end_line(self) -> None:
         if self.said:
             line = " ".join("".join(self.said).split())
             if line:
                 self.found.append((line, self.zone))
+                self.parts.append(self.part)
             self.said = []
 
     def settle(self) -> None:
         """A line ends where what markup says changes."""
-        tag, noise, zone = self.open[-1] if self.open else ("", False, OPEN)
+        _, noise, zone, part = self.open[-1] if self.open else ("", False, OPEN, 0)
         now = DROPPED if noise else zone
-        if now != self.zone:
+        if now != self.zone or part != self.part:
             self.end_line()
-            self.zone = now
+            self.zone, self.part = now, part
 
     def pop_to(self, place: int) -> None:
         del self.open[place:]
@@ -140,7 +144,8 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         known = dict(attrs)
-        _, noise, zone = self.open[-1] if self.open else ("", False, OPEN)
+        _, noise, around, part = self.open[-1] if self.open else ("", False, OPEN, 0)
+        zone = around
         if not noise:
             noise = is_noise(tag, known, zone >= MAIN)
         if tag == "article":
@@ -151,7 +156,9 @@ class Lines(HTMLParser):
             f"{known.get('class') or ''} {known.get('id') or ''}".lower().split()
         ):
             zone = max(zone, NAMED)
-        self.open.append((tag, noise, zone))
+        if zone > around and zone >= MAIN:
+            self.last = part = self.last + 1
+        self.open.append((tag, noise, zone, part))
         self.settle()
 
     def handle_startendtag(self, tag, attrs):
@@ -180,24 +187,35 @@ class Lines(HTMLParser):
         return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
 
 
-def page_lines(html: str) -> list[tuple[str, int]]:
+def page_parts(html: str) -> tuple[list[tuple[str, int]], list[int]]:
+    """The lines with what markup says of them, and for each the number of the article or main element around it."""
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.end_line()
-    return parser.found
+    return parser.found, parser.parts
+
+
+def page_lines(html: str) -> list[tuple[str, int]]:
+    return page_parts(html)[0]
 
 
 def main_lines(found: list[tuple[str, int]]) -> tuple[list[int], bool]:
-    """Places of the lines that are or may be main text, and whether markup settles it.
+    """Places of the lines that may be main text as far as one page tells, and whether they are in article or main elements.
 
-    An article element, or else a main element, is the main text. Otherwise lines of an element named like content,
-    or else all lines that are not noise, are open.
+    These are the lines of article elements, or else of main elements, of elements named like content, or else all
+    lines that are not noise. Which of them are the page's own the nearest page tells (``own_lines``).
     """
     best = max((zone for _, zone in found), default=DROPPED)
     return [i for i, (_, zone) in enumerate(found) if zone == best and zone != DROPPED], best >= MAIN
 
 
+def compared_lines(found: list[tuple[str, int]]) -> list[int]:
+    """Places of the lines that differencing decides on: those of all article and main elements, or else ``main_lines``."""
+    places, elements = main_lines(found)
+    return [i for i, (_, zone) in enumerate(found) if zone >= MAIN] if elements else places
+
+
 def _rows(a: list[int], b: list[int]) -> list[int]:
     """Bit j of row i is 0 where the common subsequence of a[:i] and b[:j + 1] is longer than that of b[:j]."""
     everything = (1 << len(b)) - 1
@@ -284,30 +302,47 @@ def site_lines(page: dict, neighbours: list[dict]) -> list[bool]:
     return stays
 
 
+def own_lines(page: dict, neighbours: list[dict]) -> list[bool]:
+    """For each compared line of ``page`` whether it is main text.
+
+    Without article and main elements the lines that differencing leaves are. Otherwise a page is told by whole
+    elements, so that a passage which two articles share stays in both: the article elements that differencing leaves
+    a line of, or else such main elements; where it leaves nothing, the best elements of the page. The page has zones
+    and parts of the compared lines besides what ``site_lines`` takes.
+    """
+    stays, zones, parts = site_lines(page, neighbours), page["zones"], page["parts"]
+    if not zones or max(zones) < MAIN:
+        return stays
+    for zone in (ARTICLE, MAIN):
+        own = {part for part, z, left in zip(parts, zones, stays) if left and z == zone}
+        if own:
+            return [z == zone and part in own for part, z in zip(parts, zones)]
+    return [z == max(zones) for z in zones]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, text (main text where markup settles it), lines (open ones), hashes and widths of
-    all lines, places of the open ones among them."""
+    """page_id, url, host, path, hashes and widths of all lines, places of the compared ones among them, their lines,
+    zones and parts, and ``content``, which is equal for pages with the same lines and markup."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            text, lines, hashes, widths, places = [], [], [], [], []
+            lines, hashes, widths, places, zones, parts = [], [], [], [], [], []
             for html in batch.column("html").to_pylist():
-                found = page_lines((html or b"").decode("utf-8", "replace"))
-                kept, settled = main_lines(found)
-                chosen = [found[i][0] for i in kept]
-                text.append("\n\n".join(chosen) if settled or not chosen else None)
-                lines.append(None if settled or not chosen else chosen)
-                places.append(kept)
+                found, part_of = page_parts((html or b"").decode("utf-8", "replace"))
+                compared = compared_lines(found)
+                lines.append([found[i][0] for i in compared])
+                zones.append([found[i][1] for i in compared])
+                parts.append([part_of[i] for i in compared])
+                places.append(compared)
                 hashes.append([xxhash.xxh64_intdigest(line.encode()) - (1 << 63) for line, _ in found])
                 widths.append([len(line) for line, _ in found])
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("page_id", "url", "host", "path")),
-                    pa.array(text, pa.string()), pa.array(lines, pa.list_(pa.string())),
-                    pa.array(hashes, pa.list_(pa.int64())), pa.array(widths, pa.list_(pa.int32())),
-                    pa.array(places, pa.list_(pa.int32())),
+                    pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())),
+                    *(pa.array(x, pa.list_(pa.int32())) for x in (widths, places, zones, parts)),
                 ],
-                ["page_id", "url", "host", "path", "text", "lines", "hashes", "widths", "places"],
+                ["page_id", "url", "host", "path", "lines", "hashes", "widths", "places", "zones", "parts"],
             )
 
     site = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?"
@@ -316,11 +351,13 @@ def parsed(pages: DataFrame) -> DataFrame:
         F.regexp_extract("url", site + "[^/?#]*([^?#]*)", 1).alias("path"), F.col("html").cast("binary").alias("html"),
     )
     kind = pages.schema["page_id"].dataType.simpleString()
-    return narrow(located).mapInArrow(
+    made = narrow(located).mapInArrow(
         run,
-        f"page_id {kind}, url string, host string, path string, text string, lines array<string>, hashes array<long>, "
-        "widths array<int>, places array<int>",
+        f"page_id {kind}, url string, host string, path string, lines array<string>, hashes array<long>, widths array<int>, "
+        "places array<int>, zones array<int>, parts array<int>",
     )
+    said = F.concat_ws(";", *(F.array_join(c, ",") for c in ("hashes", "places", "zones", "parts")))
+    return made.withColumn("content", F.unhex(F.md5(said.cast("binary"))))
 
 
 def with_neighbours(df: DataFrame, host: str, order: list[str], carried: list[str]) -> DataFrame:
@@ -352,13 +389,13 @@ def with_neighbours(df: DataFrame, host: str, order: list[str], carried: list[st
 
 
 def kept_lines(pages: DataFrame) -> DataFrame:
-    """host, content and ``stays`` (for each open line) of every different page with open lines.
+    """host, content and ``stays`` (for each compared line) of every different page with compared lines.
 
     Pages with the same lines are one page here, so that copies are not compared with each other; pages without
     lines are none.
     """
     different = pages.where(F.size("hashes") > 0).groupBy("host", "content").agg(
-        F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("hashes", "widths", "places", "open"))
+        F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("hashes", "widths", "places", "zones", "parts"))
     )
     beside = with_neighbours(different, "host", ["path", "content"], ["path", "hashes", "widths", "places"])
 
@@ -366,13 +403,13 @@ def kept_lines(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 rows = batch.slice(start, 64)
-                stays = [site_lines(r, [r["before"], r["after"]]) for r in rows.to_pylist()]
+                stays = [own_lines(r, [r["before"], r["after"]]) for r in rows.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("host"), rows.column("content"), pa.array(stays, pa.list_(pa.bool_()))],
                     ["host", "content", "stays"],
                 )
 
-    return beside.where("open").drop("open").mapInArrow(run, "host string, content binary, stays array<boolean>")
+    return beside.where(F.size("places") > 0).mapInArrow(run, "host string, content binary, stays array<boolean>")
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -380,28 +417,21 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
     Returns page_id, url, text and n_lines, one row per input row: the blocks in page order, white space in each as
     one blank, joined by an empty line; '' if there is none. Elements, roles and names of menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, styles and comments are left out. If the page has an article
-    element, its blocks are the text, or else those of a main element. Pages without either are compared with the
-    page next to them by path in their host, or the one after that if it is a copy; lines that both share in order
-    are left out. A page alone in its host, or without a URL that names one, or whose neighbours are copies, keeps
-    all its open lines. A NULL html is empty; NULL and repeated ids and repeated rows give a row each; further
-    columns are not read. Parsed pages are written to the shared folder; only pages with open lines are joined.
+    sidebars, notices, adverts, forms, scripts, styles and comments are left out. Every page is compared with the page
+    next to it by path in its host, or the one after that if it is a copy; lines that both share in order are the
+    site's. Article elements with lines of the page's own are the text, each as a whole, or else such main elements;
+    on pages without either the own lines are. A page alone in its host, or without a URL that names one, or whose
+    neighbours are copies, keeps the lines that markup leaves. A NULL html is empty; NULL and repeated ids and
+    repeated rows give a row each; further columns are not read. Hashes of lines are compared and written to the shared
+    folder; the lines themselves are cut a second time and travel once, to meet what was decided.
     """
     rows = only(pages, page_id=page_id, url=url, html=html)
-    said = F.concat_ws(";", F.array_join("hashes", ","), F.array_join("places", ","), F.col("open").cast("string"))
-    lined = parsed(rows).withColumn("open", F.col("lines").isNotNull())
-    made = materialise(lined.withColumn("content", F.unhex(F.sha2(said.cast("binary"), 256))), "pages")
-    settled = made.where(~F.col("open")).select("page_id", "url", "text", F.size("places").alias("n_lines"))
-    stays = kept_lines(made.where(F.col("host").isNotNull()).select("host", "path", "content", "hashes", "widths", "places", "open"))
-    asked = made.where("open").select("page_id", "url", "host", "content", "lines")
-    joined = asked.join(
-        stays.select(F.col("host").alias("_host"), F.col("content").alias("_content"), "stays"),
-        (F.col("host") == F.col("_host")) & (F.col("content") == F.col("_content")), "left",
-    )
-    left = F.when(F.col("stays").isNull(), F.col("lines")).otherwise(
-        F.filter("lines", lambda line, i: F.get(F.col("stays"), i))
-    )
-    cleaned = joined.withColumn("lines", left).select(
+    cut = parsed(rows)
+    stays = kept_lines(cut.where("host IS NOT NULL")).select(F.col("host").alias("_host"), F.col("content").alias("_content"), "stays")
+    alone = F.transform("zones", lambda zone: zone == F.array_max("zones"))
+    asked = cut.select("page_id", "url", "host", "content", "lines", alone.alias("alone"))
+    joined = asked.join(stays, (F.col("host") == F.col("_host")) & (F.col("content") == F.col("_content")), "left")
+    left = F.filter("lines", lambda line, i: F.get(F.coalesce("stays", "alone"), i))
+    return joined.withColumn("lines", left).select(
         "page_id", "url", F.array_join("lines", "\n\n").alias("text"), F.size("lines").alias("n_lines")
     )
-    return settled.unionByName(cleaned)
